@@ -26,14 +26,14 @@ MANY_VALUES, RARE_VALUES = 50, 100
 PRIORITIES = ["critical", "high", "medium", "low"]
 
 
-def _finding(rule, category, item=F.lit(0), severity=None, message=None, details=F.lit("")):
+def _finding(rule, category, severity, message, item=None, details=None):
     return [
         F.lit(rule).alias("rule"),
-        item.cast("int").alias("item"),
+        (F.lit(0) if item is None else item).cast("int").alias("item"),
         F.lit(category).alias("category"),
         severity.alias("severity"),
         message.alias("message"),
-        details.alias("details"),
+        (F.lit("") if details is None else details).alias("details"),
     ]
 
 
@@ -204,7 +204,7 @@ class Insights:
         if pairs.isEmpty():
             return self._rows((5, 0, "correlations", "info", "no correlation above 0.7", ""))
         listed = F.transform(
-            F.slice(F.array_sort(F.collect_list(F.struct(-F.abs("correlation"), "i", "j", "col1", "col2"))), 1, 5),
+            F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("correlation")).alias("size"), "i", "j", "col1", "col2"))), 1, 5),
             lambda x: F.concat(x["col1"], F.lit(" ~ "), x["col2"]),
         )
         grouped = pairs.groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ", ").alias("top"))

@@ -421,7 +421,8 @@ class Profile:
                 low, high = low - 0.5, high + 0.5
             width = (high - low) / bins
             place = F.least(F.floor((named(c).cast("double") - low) / width), F.lit(bins - 1).cast("bigint"))
-            keys.append(place.alias(str(i)))
+            # least() skips nulls, so a null must be kept out of the last bin by hand
+            keys.append(F.when(named(c).isNotNull(), place).alias(str(i)))
             frame += [
                 {"slot": str(i), "column_name": c, "bin": b, "bin_start": low + b * width} for b in range(bins)
             ]

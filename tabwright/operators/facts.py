@@ -149,22 +149,25 @@ def _width(field) -> int:
     return fixed.get(field.dataType.simpleString(), 8)
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
-    """{family: (slot, value, n)}: how often every non-null value of every column occurs."""
-    fields = [(i, f) for i, f in enumerate(df.schema.fields) if kind_of(f.dataType) != "other"]
-    if columns is not None:
-        fields = [(i, f) for i, f in fields if f.name in set(columns)]
+def value_counts(df: DataFrame, columns: list[str], labels: bool = False) -> dict[str, DataFrame]:
+    """{family: (slot, value, n)}: how often every non-null value of every column occurs.
+
+    With `labels` long texts are kept as they are, so that they can be shown.
+    """
     families: dict[str, list] = {}
-    for i, f in fields:
-        family, key = exact_key(f.name, f.dataType)
-        families.setdefault(family, []).append(key.alias(str(i)))
+    for i, f in enumerate(df.schema.fields):
+        if f.name in set(columns) and kind_of(f.dataType) != "other":
+            family, key = exact_key(f.name, f.dataType)
+            if labels and family == "text":
+                key = named(f.name).cast("string")
+            families.setdefault(family, []).append((str(i), key.alias(str(i))))
     counted = {}
-    for family, keys in families.items():
-        names = [str(i) for i, f in fields if exact_key(f.name, f.dataType)[0] == family]
+    for family, members in families.items():
+        names, keys = zip(*members)
         if len(names) == 1:
             long = df.select(F.lit(names[0]).alias("slot"), *[k.alias("value") for k in keys])
         else:
-            long = df.select(*keys).unpivot([], names, "slot", "value")
+            long = df.select(*keys).unpivot([], list(names), "slot", "value")
         counted[family] = long.where("value is not null").groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
     return counted
 
@@ -266,17 +269,8 @@ def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """
     spark = df.sparkSession
     names = {i: f.name for i, f in enumerate(df.schema.fields)}
-    texts = {f.name: f for f in df.schema.fields if exact_key(f.name, f.dataType)[0] == "text"}
     parts = []
-    for family, counted in value_counts(df, columns).items():
-        if family == "text":
-            # labels must be the whole value, so long texts are grouped as they are
-            slots = [(str(i), n) for i, n in names.items() if n in texts and n in set(columns)]
-            long = functools.reduce(
-                DataFrame.unionByName,
-                [df.select(F.lit(s).alias("slot"), named(n).cast("string").alias("value")) for s, n in slots],
-            )
-            counted = long.where("value is not null").groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    for counted in value_counts(df, columns, labels=True).values():
         rank = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), F.asc("value")))
         ranked = counted.withColumn("rank", rank).where(F.col("rank") <= k)
         parts.append(ranked.select("slot", "rank", F.col("value").cast("string").alias("value"), "n"))

@@ -9,20 +9,31 @@ from tabwright.functions.columns import named
 from tabwright.session import BROADCAST_ROWS
 
 HOT_SHARE = 0.001  # a value above this share of rows is hot; there are at most 1000 of them
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def value_bound(df: DataFrame, column: str) -> tuple[int, int]:
+    """(rows, bytes) that a table of the column's distinct values stays below."""
+    row = df.agg(
+        F.approx_count_distinct(named(column)).alias("n"),
+        F.max(F.octet_length(named(column).cast("string"))).alias("width"),
+    ).first()
+    rows = int(row["n"] * 1.2) + 1  # the sketch's deviation is 5 %
+    return rows, rows * ((row["width"] or 0) + 16)
 
 
 def map_values(
-    df: DataFrame, column: str, mapping: DataFrame, size: int, out: str, weight: str | None = None
+    df: DataFrame, column: str, mapping: DataFrame, bound: tuple[int, int], out: str, weight: str | None = None
 ) -> DataFrame:
     """Left join of `mapping` (value, <out>[, weight]) onto `df[column]`.
 
-    A mapping of at most BROADCAST_ROWS rows is broadcast. A larger one is joined by
-    shuffle, except that rows with hot values (known from `weight`, the value's row count)
+    `bound` is the mapping's largest number of rows and bytes. Within BROADCAST_ROWS and
+    BROADCAST_BYTES it is broadcast. A larger one is joined by shuffle, except that rows with hot values (known from `weight`, the value's row count)
     meet a broadcast of those few values, so no task receives a hot key.
     """
     key = named(column)
     mapping = mapping.select("value", out, *([weight] if weight else []))
-    if size <= BROADCAST_ROWS:
+    if bound[0] <= BROADCAST_ROWS and bound[1] <= BROADCAST_BYTES:
         return _joined(df, key, F.broadcast(mapping.select("value", out)))
     if weight is None:
         return _joined(df, key, mapping)

@@ -157,7 +157,7 @@ SCALES = {
     "standard": ("avg({c})", "stddev_pop({c})"),
     "minmax": ("min({c})", "max({c}) - min({c})"),
     "robust": ("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
-    "maxabs": ("0", "max(abs({c}))"),
+    "maxabs": ("0 * count(*)", "max(abs({c}))"),
 }
 
 

@@ -136,7 +136,8 @@ def undersample(df: DataFrame, target: str, *keys: str) -> DataFrame:
 
 def fill_constant(df: DataFrame, number: str = "mean", text: str = "Unknown") -> DataFrame:
     """Strings get a label, numbers their mean or median."""
-    numeric = columns_of(df, "numeric")
+    shares = st.null_shares(df)
+    numeric = [c for c in columns_of(df, "numeric") if shares[c] > 0]
     if number == "median":
         step = st.fit_median(df, numeric)
     else:
@@ -202,7 +203,8 @@ def configured(
     if impute == "median":
         found.append(st.fit_median(df, numeric))
     elif impute == "mean":
-        values = {c: m.get("mean") for c, m in st.moments_of(df, numeric).items()}
+        shares = st.null_shares(df)
+        values = {c: m.get("mean") for c, m in st.moments_of(df, numeric).items() if shares[c] > 0}
         found.append({"op": "fill_number", "values": {c: v for c, v in values.items() if v is not None}})
     elif impute == "most_frequent":
         found.append(st.fit_mode(df, numeric))

@@ -124,3 +124,33 @@ def numbered(values: DataFrame, column: str, out: str, bound: int | None) -> Dat
         .withColumn(out, (F.col("_before") + F.col("_row")).cast("bigint"))
         .drop("_part", "_row", "_before")
     )
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, bound: int, group: str | None = None) -> DataFrame:
+    """Sum of `value` over the rows before each row in `order` (per `group`); order values are unique.
+
+    `bound` is the largest number of rows: up to 100k one window per group is enough,
+    beyond that every range partition sums itself and adds what lies before it.
+    """
+    keys = [group] if group else []
+    if bound <= 100_000:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], F.col(order)).withColumn("_part", F.spark_partition_id())
+    split = cut_lineage(ranged)
+    sums = split.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        split.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), [*keys, "_part"])
+        .withColumn(out, F.col("_before") + F.col("_own"))
+        .drop("_part", "_own", "_before")
+    )
+
+
+def hash_bucket(buckets: int, seed: int, *keys: Column) -> Column:
+    """Reproducible bucket of a row: 32 bits of an md5 of seed and keys, modulo `buckets`."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))

@@ -161,9 +161,13 @@ def sample_cap(spark, sf):
     return sample_rows(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 3000, "o_orderkey")
 
 
-@register("sample_share")
+@register(
+    "sample_share",
+    """SELECT o_orderkey, o_custkey FROM orders
+    WHERE CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) % 1000000 < 200000""",
+)
 def sample_share_query(spark, sf):
-    return sample_share(load(spark, sf, "orders"), 0.2, "o_orderkey")
+    return sample_share(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), 0.2, "o_orderkey")
 
 
 @register("scatter_sample", "SELECT o_totalprice AS x, o_custkey AS y, o_orderstatus AS color FROM orders "

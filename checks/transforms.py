@@ -379,13 +379,24 @@ def auto_duplicates(spark, sf):
     return auto_preprocess(load(spark, sf, "events_dup"))
 
 
+LABELLED = view_sql("labels_docs")
+
+
 @register(
     "auto_preprocess_text",
-    None,
-    "",
+    f"""WITH documents AS ({LABELLED}), {TERMS}, s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS sd,
+      quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25) AS iqr FROM documents)
+    SELECT doc_id, quality, (n_chars - m) / sd AS n_chars,
+    CAST(doc_id IN (SELECT doc_id FROM tf JOIN vocab ON tf.term = vocab.term) AS INT)::DOUBLE AS length FROM documents, s""",
+    "n_chars length",
+    6,
 )
 def auto_text(spark, sf):
-    return auto_preprocess(load(spark, sf, "labels_docs"), "quality")
+    """The TF-IDF columns are checked by the length of each row's vector."""
+    done = auto_preprocess(load(spark, sf, "labels_docs"), "quality")
+    weights = [F.col(f"`{c}`") for c in done.columns if c.startswith("text_tfidf_")]
+    squared = F.aggregate(F.array(*weights), F.lit(0.0), lambda a, x: a + x * x)
+    return done.select("doc_id", "quality", "n_chars", F.sqrt(squared).alias("length"))
 
 
 @register("feature_names", "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderdate_year', 'o_orderdate_month', 'o_orderdate_day', "

@@ -54,12 +54,14 @@ def _long(df: DataFrame, fields: list, cast: str) -> DataFrame:
         long = df.select(F.lit(str(fields[0][0])).alias("slot"), columns[0].alias("x"))
     else:
         long = df.select(*columns).unpivot([], [str(i) for i, _ in fields], "slot", "x")
-    return long.where("x is not null").groupBy("slot")
+    return long.where("x is not null")
 
 
-def _numeric_scan(df: DataFrame, fields: list) -> DataFrame:
+def numeric_scan(df: DataFrame, fields: list) -> DataFrame:
+    """Count, moments and extremes per (position, field), keyed by `slot`."""
     x = F.col("x")
-    return _long(df, fields, "double").agg(
+    return _long(df, fields, "double").groupBy("slot").agg(
+        F.count(x).alias("non_null"),
         F.avg(x).alias("mean"),
         F.stddev_pop(x).alias("std_pop"),
         F.skewness(x).alias("skew_pop"),
@@ -72,25 +74,26 @@ def _numeric_scan(df: DataFrame, fields: list) -> DataFrame:
 
 
 def _string_scan(df: DataFrame, fields: list) -> DataFrame:
-    x, length = F.col("x"), F.length("x")
-    first, last = F.min(as_time(x)), F.max(as_time(x))
-    return _long(df, fields, "string").agg(
+    x, length, time = F.col("x"), F.length("x"), F.col("t")
+    read = _long(df, fields, "string").withColumn("t", as_time(x))
+    return read.groupBy("slot").agg(
+        F.count(x).alias("non_null"),
         F.avg(length).alias("avg_length"),
         F.max(length).cast("bigint").alias("max_length"),
         F.min(length).cast("bigint").alias("min_length"),
         F.count_if(x == "").alias("empty_strings"),
         F.count_if(x.rlike(UUID_PATTERN)).alias("uuids"),
         F.count_if(x.rlike(DIGITS_PATTERN)).alias("digits"),
-        F.count(as_time(x)).alias("dates"),
-        F.date_format(first, TIME_FORMAT).alias("min_date"),
-        F.date_format(last, TIME_FORMAT).alias("max_date"),
-        F.floor((F.unix_micros(last) - F.unix_micros(first)) / MICROS_PER_DAY).alias("range_days"),
+        F.count(time).alias("dates"),
+        F.date_format(F.min(time), TIME_FORMAT).alias("min_date"),
+        F.date_format(F.max(time), TIME_FORMAT).alias("max_date"),
+        F.floor((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / MICROS_PER_DAY).alias("range_days"),
         F.sum(F.octet_length(x).cast("bigint")).alias("text_bytes"),
     )
 
 
-def _count_scan(df: DataFrame, fields: list) -> dict:
-    """Row count, non-null count of every column and the range of each time column."""
+def _other_scan(df: DataFrame, fields: list) -> dict:
+    """Row count, and the non-null count and time range of columns that are neither number nor text."""
     exprs = [F.count(F.lit(1)).alias("total")]
     for i, f in fields:
         c = named(f.name)
@@ -107,22 +110,27 @@ def _count_scan(df: DataFrame, fields: list) -> dict:
 
 
 def scan(df: DataFrame, approx: bool = False) -> list[dict]:
-    """Raw aggregates per column; wide tables are scanned in slices of columns.
+    """Raw aggregates per column; every column is read once, by the scan of its kind.
 
     Numbers and texts are each unpivoted and aggregated by column, so the generated
     code stays the size of one column's aggregate however wide the table is.
     """
     rows = []
+    total = None
     for group in batches(list(enumerate(df.schema.fields)), COLUMNS_PER_JOB):
-        counted = _count_scan(df, group)
-        found: dict[int, dict] = {
-            i: {k.split(":")[1]: v for k, v in counted.items() if k.startswith(f"{i}:")} for i, _ in group
-        }
-        for kind, scanner in (("numeric", _numeric_scan), ("string", _string_scan)):
+        found: dict[int, dict] = {i: {"non_null": 0} for i, _ in group}
+        for kind, scanner in (("numeric", numeric_scan), ("string", _string_scan)):
             fields = [(i, f) for i, f in group if kind_of(f.dataType) == kind]
             if fields:
                 for r in scanner(df, fields).collect():
                     found[int(r["slot"])] |= r.asDict()
+        others = [(i, f) for i, f in group if kind_of(f.dataType) not in ("numeric", "string")]
+        if others or total is None:
+            counted = _other_scan(df, others)
+            total = counted.pop("total")
+            for key, value in counted.items():
+                i, name = key.split(":")
+                found[int(i)][name] = value
         if approx:
             sketched = [(i, f) for i, f in group if kind_of(f.dataType) != "other"]
             row = df.agg(*[F.approx_count_distinct(named(f.name), 0.01).alias(str(i)) for i, f in sketched]).first()
@@ -137,7 +145,7 @@ def scan(df: DataFrame, approx: bool = False) -> list[dict]:
                     "kind": kind_of(f.dataType),
                     "is_integer": isinstance(f.dataType, INTEGERS),
                     "width": _width(f),
-                    "total": counted["total"],
+                    "total": total,
                     **found[i],
                 }
             )
@@ -173,26 +181,41 @@ def value_counts(df: DataFrame, columns: list[str], labels: bool = False) -> dic
 
 
 def _value_facts(df: DataFrame, columns: list[str], non_null: dict[int, int]) -> dict[int, dict]:
-    """Distinct count, mode (smallest of ties), entropy and extremes per column."""
+    """Distinct count, largest count and entropy per column; labels where there are at most two values.
+
+    All aggregation buffers have a fixed width, so both groupings are hash aggregates.
+    """
     if not columns:
         return {}
     share = F.col("n") / F.element_at(
         F.create_map(*[x for i, n in non_null.items() for x in (F.lit(str(i)), F.lit(max(n, 1)))]), F.col("slot")
     )
-    parts = []
-    for counted in value_counts(df, columns).values():
-        parts.append(
-            counted.groupBy("slot").agg(
-                F.count(F.lit(1)).alias("unique_count"),
-                F.max("n").alias("top_count"),
-                F.min_by(F.col("value").cast("string"), F.struct(-F.col("n"), F.col("value"))).alias("top_value"),
-                (-F.sum(share * F.log2(share + F.lit(1e-10)))).alias("entropy"),
-                F.min("value").cast("string").alias("min_label"),
-                F.max("value").cast("string").alias("max_label"),
-            )
+    parts = [
+        counted.groupBy("slot").agg(
+            F.count(F.lit(1)).alias("unique_count"),
+            F.max("n").alias("top_count"),
+            (-F.sum(share * F.log2(share + F.lit(1e-10)))).alias("entropy"),
         )
-    long = functools.reduce(DataFrame.unionByName, parts)
-    return {int(r["slot"]): r.asDict() for r in long.collect()}
+        for counted in value_counts(df, columns).values()
+    ]
+    found = {int(r["slot"]): r.asDict() for r in functools.reduce(DataFrame.unionByName, parts).collect()}
+    few = [df.columns[i] for i, v in found.items() if v["unique_count"] <= 2]
+    if few:
+        labelled = [
+            c.select("slot", F.col("value").cast("string").alias("value"), "n")
+            for c in value_counts(df, few, labels=True).values()
+        ]
+        seen: dict[int, list] = {}
+        for r in functools.reduce(DataFrame.unionByName, labelled).collect():  # two rows per column
+            seen.setdefault(int(r["slot"]), []).append((r["value"], r["n"]))
+        for i, values in seen.items():
+            values.sort()
+            found[i] |= {
+                "min_label": values[0][0],
+                "max_label": values[-1][0],
+                "top_value": min(values, key=lambda v: (-v[1], v[0]))[0],
+            }
+    return found
 
 
 def collect_facts(df: DataFrame, distinct: str = EXACT) -> list[dict]:
@@ -210,11 +233,10 @@ def collect_facts(df: DataFrame, distinct: str = EXACT) -> list[dict]:
 
 def _near_threshold(row: dict) -> bool:
     """Does a rule depend on the exact distinct count, given a 1 % sketch of it?"""
-    sketch, total = row["sketch"], max(row["total"], 1)
-    ratio = sketch / total
+    sketch, ratio = row["sketch"], row["sketch"] / max(row["total"], 1)
     if sketch <= 150 or ratio >= 0.85:
         return True
-    return any(abs(ratio / edge - 1) < 0.1 for edge in (0.05, 0.1, 0.3, 0.5))
+    return row["kind"] == "string" and ratio < 0.55  # may be nominal, whose balance is reported
 
 
 def _finish(r: dict, v: dict) -> dict:

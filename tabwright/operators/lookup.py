@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import named
-from tabwright.session import BROADCAST_ROWS
+from tabwright.session import BROADCAST_ROWS, cut_lineage
 
 HOT_SHARE = 0.001  # a value above this share of rows is hot; there are at most 1000 of them
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -37,6 +37,7 @@ def map_values(
         return _joined(df, key, F.broadcast(mapping.select("value", out)))
     if weight is None:
         return _joined(df, key, mapping)
+    mapping = cut_lineage(mapping)  # used three times below
     total = mapping.agg(F.sum(weight)).first()[0] or 0
     hot = mapping.where(F.col(weight) > HOT_SHARE * total).select("value", out)
     values = [r["value"] for r in hot.select("value").collect()]  # at most 1 / HOT_SHARE

@@ -157,9 +157,17 @@ class Profile:
 
     @functools.cached_property
     def rows_with_missing(self) -> int:
-        missing = functools.reduce(lambda a, b: a | b, [named(c).isNull() for c in self.df.columns])
+        holes = self.columns_with_nulls
+        if not holes:
+            return 0
+        missing = functools.reduce(lambda a, b: a | b, [named(c).isNull() for c in holes])
         return self.df.agg(F.count_if(missing)).first()[0]
 
+    @functools.cached_property
+    def columns_with_nulls(self) -> list[str]:
+        """Only these need to be read again by anything that looks at nulls."""
+        return [r["column_name"] for r in self.rows if r["null_count"]]
+
     @functools.cached_property
     def overview_row(self) -> dict:
         cells = self.n_rows * len(self.rows)
@@ -360,7 +368,10 @@ class Profile:
 
     def missing_pattern(self) -> DataFrame:
         """Every combination of null flags (one digit per column, in order) and its row count."""
-        flags = F.concat(*[F.when(named(c).isNull(), "1").otherwise("0") for c in self.df.columns])
+        holes = set(self.columns_with_nulls)
+        flags = F.concat(
+            *[F.when(named(c).isNull(), "1").otherwise("0") if c in holes else F.lit("0") for c in self.df.columns]
+        )
         return self.df.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("n_rows"))
 
     @functools.cached_property

@@ -10,11 +10,10 @@ shifted by the sizes of the partitions before it.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.functions.columns import named, order_hash
 from tabwright.session import cut_lineage
 
 PREFIX_STEP = 3  # hex digits per level: 4096 buckets
@@ -37,7 +36,7 @@ def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | Non
     length = 0
     while todo:
         length += PREFIX_STEP
-        narrowed = base.where(_any(_in_prefix(g, prefix.get(g, "")) for g in todo))
+        narrowed = base.where(_in_prefix({g: prefix.get(g, "") for g in todo}))
         counts = narrowed.groupBy("g", F.substring("h", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n"))
         running = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
         need = F.create_map(*[x for g, k in todo.items() for x in (F.lit(g), F.lit(k))])
@@ -58,7 +57,7 @@ def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | Non
             if edges[g]["n"] <= FINAL_BUCKET or length >= HASH_LENGTH:
                 last[g] = todo.pop(g)
         if last:
-            hashes = base.where(_any(_in_prefix(g, prefix[g]) for g in last))
+            hashes = base.where(_in_prefix({g: prefix[g] for g in last}))
             if length >= HASH_LENGTH:
                 hashes = hashes.distinct()
             bucket: dict[str, list] = {}
@@ -70,40 +69,33 @@ def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | Non
     return found
 
 
-def _in_prefix(group: str, prefix: str) -> Column:
-    return (F.col("g") == group) & F.col("h").startswith(prefix)
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])
 
 
-def _any(tests) -> Column:
-    return functools.reduce(lambda a, b: a | b, tests)
+def _in_prefix(prefixes: dict[str, str]) -> Column:
+    """Rows of the given groups whose hash starts with the group's prefix."""
+    return F.coalesce(F.col("h").startswith(_literal_map(prefixes)[F.col("g")]), F.lit(False))
 
 
 def within_cutoff(hash_: Column, cutoffs: dict, group: Column | None = None) -> Column:
     """True for the selected rows; a narrow filter with one literal per group."""
+    # a hash consists of hex digits, so "g" lies above and "" below every hash
+    limits = {g: "g" if cutoff is None else cutoff for g, cutoff in cutoffs.items()}
     if group is None:
-        cutoff = cutoffs[""]
-        return F.lit(True) if cutoff is None else hash_ <= F.lit(cutoff)
-    chosen = F.lit(False)
-    for g, cutoff in cutoffs.items():
-        hit = F.lit(True) if cutoff is None else hash_ <= F.lit(cutoff)
-        chosen = F.when(group.cast("string") == g, hit).otherwise(chosen)
-    return chosen
+        return hash_ <= F.lit(limits[""])
+    return hash_ <= F.coalesce(_literal_map(limits)[group.cast("string")], F.lit(""))
 
 
 def sample_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Exactly n rows (or all, when there are fewer), chosen by the hash of unique keys."""
-    from tabwright.functions.columns import named, order_hash
-
     hash_ = order_hash(*[named(k) for k in keys])
     return df.where(within_cutoff(hash_, hash_cutoffs(df, hash_, {"": n})))
 
 
 def sample_share(df: DataFrame, share: float, *keys: str, seed: int = 42) -> DataFrame:
     """About `share` of the rows by a hash threshold; one narrow filter, any size of data."""
-    from tabwright.functions.columns import named
-
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[named(k) for k in keys]), F.lit(1_000_000))
-    return df.where(bucket < int(share * 1_000_000))
+    return df.where(hash_bucket(1_000_000, seed, *[named(k) for k in keys]) < int(share * 1_000_000))
 
 
 def numbered(values: DataFrame, column: str, out: str, bound: int | None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import as_time, columns_of, kind_of, kinds, named
-from tabwright.operators.facts import _numeric_scan, top_values
+from tabwright.operators.facts import numeric_scan, top_values
 from tabwright.operators.lookup import map_values, value_bound
 from tabwright.operators.profile import FENCE
 from tabwright.operators.quantiles import exact_quantiles
@@ -45,7 +45,7 @@ def quantiles_of(df: DataFrame, columns: list[str], probs: list[float]) -> dict[
 def moments_of(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     place = {f.name: i for i, f in enumerate(df.schema.fields)}
     fields = [(place[c], df.schema[c]) for c in columns]
-    found = {r["slot"]: r.asDict() for r in _numeric_scan(df, fields).collect()} if fields else {}
+    found = {r["slot"]: r.asDict() for r in numeric_scan(df, fields).collect()} if fields else {}
     return {c: found.get(str(place[c]), {}) for c in columns}
 
 

@@ -18,6 +18,7 @@ from tabwright.session import batches, local_table
 
 QUARTILES = [0.25, 0.5, 0.75]
 BOUND_COLUMNS_PER_JOB = 8
+WIDE, PAIRS_PER_JOB = 24, 40  # above WIDE columns all pairs come from one vector pass
 # Outlier fence, z limit, correlation limits, missing-value severity limits.
 FENCE, Z_LIMIT = 1.5, 3.0
 HIGH_CORRELATION, STRONG_CORRELATION = 0.7, 0.8
@@ -257,10 +258,9 @@ class Profile:
         return top_values(self.df, few, k).select("column_name", "rank", "value", "n")
 
     def _with_share(self, top: DataFrame) -> DataFrame:
-        counts = self.facts.select("column_name", "non_null")
-        return top.join(F.broadcast(counts), "column_name").select(
-            "column_name", "rank", "value", "n", (F.col("n") / F.col("non_null") * 100).alias("pct")
-        )
+        counts = F.array(*[F.lit(r["non_null"]) for r in self.rows])
+        share = F.col("n") / F.element_at(counts, F.col("position") + 1)
+        return top.select("column_name", "rank", "value", "n", (share * 100).alias("pct"))
 
     def category_balance(self) -> DataFrame:
         return self.facts.where(F.col("type").isin(sem.CATEGORY_TYPES)).select(
@@ -293,8 +293,11 @@ class Profile:
         if len(complete) > 1 and self.n_rows > 1:
             varying = [c for c in complete if self.by_name[c]["std_pop"]]
             pairs |= {p: None for p in itertools.combinations(complete, 2)}
-            if len(varying) > 1:
+            if len(varying) > WIDE:
                 pairs |= _dense_correlation(self.df, varying)
+            else:
+                for group in batches(list(itertools.combinations(varying, 2)), PAIRS_PER_JOB):
+                    pairs |= _scaled_products(self.df, group, self.by_name)
         rest = [p for p in itertools.combinations(columns, 2) if p not in pairs]
         for group in batches(rest, 500):
             pairs |= _pairwise_correlation(self.df, group)
@@ -448,8 +451,17 @@ class Profile:
         )
 
 
+def _scaled_products(df: DataFrame, pairs: list[tuple[str, str]], facts: dict[str, dict]) -> dict:
+    """Columns without nulls: means of products of standardised values, inside generated code."""
+    z = {c: (named(c).cast("double") - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std_pop"]) for p in pairs for c in p}
+    place = {c: f"z{i}" for i, c in enumerate(z)}
+    scaled = df.select(*[e.alias(place[c]) for c, e in z.items()])
+    row = scaled.agg(*[F.avg(F.col(place[a]) * F.col(place[b])).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    return {p: row[i] for i, p in enumerate(pairs)}
+
+
 def _dense_correlation(df: DataFrame, columns: list[str]) -> dict:
-    """Columns without nulls: one pass over assembled vectors, a k x k matrix comes back."""
+    """Many columns without nulls: one pass over assembled vectors, a k x k matrix comes back."""
     stage = VectorAssembler(inputCols=[f"c{i}" for i in range(len(columns))], outputCol="v")
     vectors = stage.transform(df.select(*[named(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()

@@ -64,15 +64,16 @@ def _narrowed(df, columns, probs, counts, limit):
     proven: dict[tuple[str, int], dict] = {}
     while unproven:
         keys = list(unproven)
-        brackets = df.agg(*[_bracket(k[0], unproven[k]).alias(f"s{i}") for i, k in enumerate(keys)]).first()
-        tried = {k: {**unproven[k], "lo": brackets[f"s{i}"][0], "hi": brackets[f"s{i}"][1]} for i, k in enumerate(keys)}
+        brackets = _brackets(df, unproven)
+        tried = {k: {**unproven[k], "lo": brackets[k][0], "hi": brackets[k][1]} for k in keys}
         checks = []
         for i, key in enumerate(keys):
             held = _inside(key[0], tried[key])
             checks += [
                 F.count_if(named(key[0]) < F.lit(tried[key]["lo"])).alias(f"b{i}"),
                 F.count(held).alias(f"n{i}"),
-                F.approx_count_distinct(held).alias(f"d{i}"),
+                # a bracket that must be small by its share needs no distinct count
+                (F.approx_count_distinct(held) if _expected(unproven[key]) > limit else F.count(held)).alias(f"d{i}"),
             ]
         proof = df.agg(*checks).first()
         for i, key in enumerate(keys):
@@ -97,17 +98,39 @@ def _narrowed(df, columns, probs, counts, limit):
     return resolved
 
 
+def _expected(state):
+    """About how many rows the next bracket will hold."""
+    return 2 * state["margin"] * state["inside"]
+
+
 def _share(state):
     """Position of the wanted rank among the values of the bracket, in [0, 1]."""
     return min(max((state["at"] - state["below"]) / max(state["inside"] - 1, 1), 0.0), 1.0)
 
 
-def _bracket(name, state):
-    held = _inside(name, state)
-    if state["margin"] >= 1:
-        return F.array(F.min(held), F.max(held))
-    low, high = max(_share(state) - state["margin"], 0.0), min(_share(state) + state["margin"], 1.0)
-    return F.percentile_approx(held, F.array(F.lit(low), F.lit(high)), SKETCH_ACCURACY)
+def _brackets(df, states):
+    """(low, high) value around every wanted rank; ranks of one set of values share one sketch."""
+    groups: dict[tuple, list] = {}
+    for key, s in states.items():
+        whole = s["margin"] >= 1
+        groups.setdefault((key[0], s["lo"], s["hi"], whole), []).append(key)
+    exprs = []
+    for i, ((name, _, _, whole), keys) in enumerate(groups.items()):
+        held = _inside(name, states[keys[0]])
+        if whole:
+            exprs.append(F.array(F.min(held), F.max(held)).alias(f"s{i}"))
+            continue
+        shares = []
+        for key in keys:
+            at, margin = _share(states[key]), states[key]["margin"]
+            shares += [F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0))]
+        exprs.append(F.percentile_approx(held, F.array(*shares), SKETCH_ACCURACY).alias(f"s{i}"))
+    row = df.agg(*exprs).first()
+    found = {}
+    for i, ((_, _, _, whole), keys) in enumerate(groups.items()):
+        for j, key in enumerate(keys):
+            found[key] = tuple(row[f"s{i}"]) if whole else (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
+    return found
 
 
 def _inside(name, state):

@@ -42,11 +42,11 @@ def quantiles_of(df: DataFrame, columns: list[str], probs: list[float]) -> dict[
     return exact_quantiles(df, columns, probs, counts, {c: sketch[i] for i, c in enumerate(columns)})
 
 
-def moments_of(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+def moments_of(df: DataFrame, columns: list[str], shape: bool = True) -> dict[str, dict]:
     place = {f.name: i for i, f in enumerate(df.schema.fields)}
     fields = [(place[c], df.schema[c]) for c in columns]
-    found = {r["slot"]: r.asDict() for r in numeric_scan(df, fields).collect()} if fields else {}
-    return {c: found.get(str(place[c]), {}) for c in columns}
+    found = numeric_scan(df, fields, shape) if fields else {}
+    return {c: found.get(place[c], {}) for c in columns}
 
 
 def null_shares(df: DataFrame) -> dict[str, float]:
@@ -108,7 +108,7 @@ def fit_scale(df: DataFrame, columns: list[str], method: str) -> dict:
             if q1 is not None:
                 scales[c] = [q2, (q3 - q1) or 1.0]
     else:
-        for c, m in moments_of(df, columns).items():
+        for c, m in moments_of(df, columns, shape=method == "standard").items():
             if not m:
                 continue
             if method == "standard":

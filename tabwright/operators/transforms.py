@@ -141,7 +141,7 @@ def fill_constant(df: DataFrame, number: str = "mean", text: str = "Unknown") ->
     if number == "median":
         step = st.fit_median(df, numeric)
     else:
-        means = {c: m.get("mean") for c, m in st.moments_of(df, numeric).items()}
+        means = {c: m.get("mean") for c, m in st.moments_of(df, numeric, shape=False).items()}
         step = {"op": "fill_number", "values": {c: v for c, v in means.items() if v is not None}}
     return apply_step(df, step).fillna(text, subset=columns_of(df, "string"))
 
@@ -204,7 +204,7 @@ def configured(
         found.append(st.fit_median(df, numeric))
     elif impute == "mean":
         shares = st.null_shares(df)
-        values = {c: m.get("mean") for c, m in st.moments_of(df, numeric).items() if shares[c] > 0}
+        values = {c: m.get("mean") for c, m in st.moments_of(df, numeric, shape=False).items() if shares[c] > 0}
         found.append({"op": "fill_number", "values": {c: v for c, v in values.items() if v is not None}})
     elif impute == "most_frequent":
         found.append(st.fit_mode(df, numeric))

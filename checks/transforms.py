@@ -14,6 +14,7 @@ from tabwright.operators import transforms as tr
 from tabwright.operators.steps import apply_step
 from tabwright.plans.preprocess import PreprocessPlan, auto_preprocess
 from tabwright.session import scratch_path
+from tabwright.sources.readers import spread
 
 MISSING, DUP, OUTLIER = (view_sql(v) for v in ("orders_missing", "events_dup", "lineitem_outlier"))
 
@@ -285,14 +286,18 @@ TERMS = f"""words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text),
   vocab AS (SELECT * FROM counts WHERE doc_count >= 2 ORDER BY corpus_count DESC, term LIMIT 100)"""
 
 
+def _texts(spark, sf):
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
+
+
 @register("term_counts", f"WITH {TERMS} SELECT term, corpus_count, doc_count FROM counts")
 def term_counts(spark, sf):
-    return textvec.term_counts(load(spark, sf, "documents"), "text")
+    return textvec.term_counts(_texts(spark, sf), "text")
 
 
 @register("tfidf_vocabulary", f"WITH {TERMS} SELECT term, corpus_count, doc_count FROM vocab")
 def tfidf_vocabulary(spark, sf):
-    return textvec.vocabulary(load(spark, sf, "documents"), "text")
+    return textvec.vocabulary(_texts(spark, sf), "text")
 
 
 @register(
@@ -304,7 +309,7 @@ def tfidf_vocabulary(spark, sf):
     6,
 )
 def tfidf(spark, sf):
-    df = load(spark, sf, "documents").select("doc_id", "text")
+    df = _texts(spark, sf)
     step = textvec.fit_tfidf(df, "text", df.count())
     wide = textvec.tfidf_columns(df, step).drop("text")
     cells = [F.struct(F.lit(t).alias("term"), F.col(f"text_tfidf_{i}").alias("weight")) for i, t in enumerate(step["terms"])]

@@ -30,5 +30,5 @@ def tokens(text: Column) -> Column:
 def grams(words: Column) -> Column:
     """The words followed by all pairs of neighbouring words."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(words, pairs)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import named
 from tabwright.functions.text import grams, tokens
+from tabwright.session import local_table
 
 MAX_TERMS, MIN_DOCS = 100, 2
 
@@ -21,21 +22,47 @@ def _grams(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn("_words", tokens(named(column))).withColumn(out, grams(F.col("_words"))).drop("_words")
 
 
+def _corpus_counts(listed: DataFrame) -> DataFrame:
+    return listed.select(F.explode("_grams").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
+
+
+def _doc_counts(listed: DataFrame) -> DataFrame:
+    once = listed.select(F.explode(F.array_distinct("_grams")).alias("term"))
+    return once.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"))
+
+
 def term_counts(df: DataFrame, column: str) -> DataFrame:
-    """(term, corpus_count, doc_count) of every 1- and 2-gram; counted map-side before the shuffle."""
+    """(term, corpus_count, doc_count) of every 1- and 2-gram.
+
+    Both counts are combined map-side and shuffled by term, so the join adds no shuffle.
+    """
     listed = _grams(df.select(named(column)), column, "_grams")
-    seen = F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("occ"), F.lit(0).alias("doc")))
-    once = F.transform(
-        F.array_distinct("_grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("occ"), F.lit(1).alias("doc"))
-    )
-    rows = listed.select(F.inline(F.concat(seen, once)))
-    return rows.groupBy("term").agg(F.sum("occ").alias("corpus_count"), F.sum("doc").alias("doc_count"))
+    return _corpus_counts(listed).join(_doc_counts(listed), "term")
 
 
 def vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The most frequent terms that occur in enough documents; ties by term."""
-    kept = term_counts(df, column).where(F.col("doc_count") >= min_docs)
-    return kept.orderBy(F.desc("corpus_count"), "term").limit(max_terms)
+    """The most frequent terms that occur in enough documents; ties by term.
+
+    Document counts are needed for the leading terms only. If too few of those occur in
+    enough documents, more leading terms are looked at until the answer is certain.
+    """
+    listed = _grams(df.select(named(column)), column, "_grams")
+    looked_at = 4 * max_terms
+    while True:
+        leading = _corpus_counts(listed).orderBy(F.desc("corpus_count"), "term").limit(looked_at).collect()
+        terms = [r["term"] for r in leading]
+        held = listed.select(F.filter("_grams", lambda g: g.isin(terms)).alias("_grams"))
+        docs = {r["term"]: r["doc_count"] for r in _doc_counts(held).collect()} if terms else {}
+        rows = [
+            {"term": r["term"], "corpus_count": r["corpus_count"], "doc_count": docs[r["term"]]}
+            for r in leading
+            if docs[r["term"]] >= min_docs
+        ]
+        if len(rows) >= max_terms or len(leading) < looked_at:
+            return local_table(df.sparkSession, rows[:max_terms], "term string, corpus_count bigint, doc_count bigint")
+        if leading[-1]["corpus_count"] < min_docs:  # no later term can qualify
+            return local_table(df.sparkSession, rows, "term string, corpus_count bigint, doc_count bigint")
+        looked_at *= 4
 
 
 def fit_tfidf(df: DataFrame, column: str, n_docs: int) -> dict | None:

@@ -76,7 +76,10 @@ class Trainer:
             classification = TaskAdvice(Profile(df), target).task_type in CLASSIFICATION
         self.classification = classification
         labelled = clean.where(named(target).isNotNull())
-        self.data = splits.with_fold(splits.hash_split(labelled, keys, test_share, seed), keys, folds, seed)
+        split = splits.with_fold(splits.hash_split(labelled, keys, test_share, seed), keys, folds, seed)
+        used = dict.fromkeys([*(keys or []), *self.features, target])
+        # read by every statistic, fit and fold: only the used columns are kept
+        self.data = split.select(*[named(c) for c in used], "is_test", "fold").persist()
         self.train = self.data.where("not is_test").drop("is_test")
         self.test = self.data.where("is_test").drop("is_test", "fold")
         self.models: dict[str, PipelineModel] = {}
@@ -241,9 +244,14 @@ class Trainer:
                 self.train_model(name, cross_validate)
             except Exception as error:  # a model that cannot be fitted must not stop the others
                 self.failures[name] = str(error)[:200]
-        self._train_vectors.unpersist()
+        self.release()
         return self.leaderboard()
 
+    def release(self) -> None:
+        """Drop the cached training data; trained models and results stay usable."""
+        self._train_vectors.unpersist()
+        self.data.unpersist()
+
     def leaderboard(self) -> DataFrame:
         ordered = sorted(self.results, key=lambda r: -r["score"])
         rows = [{**r, "rank": i + 1} for i, r in enumerate(ordered)]

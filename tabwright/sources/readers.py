@@ -43,6 +43,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer partitions than the cluster has cores.
+
+    Meant for sources Spark cannot split (one gzip file, one Parquet row group) in front of
+    heavy work per row, such as tokenizing. A scan with enough partitions is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _batches_of(content) -> pa.ipc.RecordBatchFileReader:
     return pa.ipc.open_file(pa.BufferReader(content))
 

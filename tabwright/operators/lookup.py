@@ -23,31 +23,46 @@ def value_bound(df: DataFrame, column: str) -> tuple[int, int]:
 
 
 def map_values(
-    df: DataFrame, column: str, mapping: DataFrame, bound: tuple[int, int], out: str, weight: str | None = None
+    df: DataFrame,
+    column: str,
+    mapping: DataFrame,
+    bound: tuple[int, int],
+    out: str,
+    weight: str | None = None,
+    source: str | None = None,
 ) -> DataFrame:
-    """Left join of `mapping` (value, <out>[, weight]) onto `df[column]`.
+    """Left join of `mapping` (value, <source or out>[, weight]) onto `df[column]`, as column `out`.
 
     `bound` is the mapping's largest number of rows and bytes. Within BROADCAST_ROWS and
     BROADCAST_BYTES it is broadcast. A larger one is joined by shuffle, except that rows with hot values (known from `weight`, the value's row count)
     meet a broadcast of those few values, so no task receives a hot key.
     """
-    key = named(column)
-    mapping = mapping.select("value", out, *([weight] if weight else []))
+    mapping = mapping.select(
+        F.col("value").alias("_value"),
+        named(source or out).alias("_mapped"),
+        *([named(weight).alias("_weight")] if weight else []),
+    )
+    return _mapped(df, named(column), mapping, bound, weight is not None).select(
+        *[named(c) for c in df.columns], F.col("_mapped").alias(out)
+    )
+
+
+def _mapped(df: DataFrame, key, mapping: DataFrame, bound: tuple[int, int], weighted: bool) -> DataFrame:
+    pairs = mapping.select("_value", "_mapped")
     if bound[0] <= BROADCAST_ROWS and bound[1] <= BROADCAST_BYTES:
-        return _joined(df, key, F.broadcast(mapping.select("value", out)))
-    if weight is None:
-        return _joined(df, key, mapping)
+        return _joined(df, key, F.broadcast(pairs))
+    if not weighted:
+        return _joined(df, key, pairs)
     mapping = cut_lineage(mapping)  # used three times below
-    total = mapping.agg(F.sum(weight)).first()[0] or 0
-    hot = mapping.where(F.col(weight) > HOT_SHARE * total).select("value", out)
-    values = [r["value"] for r in hot.select("value").collect()]  # at most 1 / HOT_SHARE
+    total = mapping.agg(F.sum("_weight")).first()[0] or 0
+    hot = mapping.where(F.col("_weight") > HOT_SHARE * total).select("_value", "_mapped")
+    values = [r["_value"] for r in hot.select("_value").collect()]  # at most 1 / HOT_SHARE
     if not values:
-        return _joined(df, key, mapping.select("value", out))
+        return _joined(df, key, pairs)
     is_hot = F.coalesce(key.isin(values), F.lit(False)) | key.isNull()
-    cold = mapping.where(F.col(weight) <= HOT_SHARE * total).select("value", out)
+    cold = mapping.where(F.col("_weight") <= HOT_SHARE * total).select("_value", "_mapped")
     return _joined(df.where(is_hot), key, F.broadcast(hot)).unionByName(_joined(df.where(~is_hot), key, cold))
 
 
-def _joined(df: DataFrame, key, mapping: DataFrame) -> DataFrame:
-    right = mapping.withColumnRenamed("value", "_value")
-    return df.join(right, key == F.col("_value"), "left").drop("_value")
+def _joined(df: DataFrame, key, pairs: DataFrame) -> DataFrame:
+    return df.join(pairs, key == F.col("_value"), "left").drop("_value")

@@ -477,5 +477,7 @@ def _pairwise_correlation(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
         for i, (a, b) in enumerate(pairs)
     ]
     long = df.select(F.inline(F.array(*tagged))).where("x is not null and y is not null")
-    found = {r["slot"]: r["r"] for r in long.groupBy("slot").agg(F.corr("x", "y").alias("r")).collect()}
+    # corr() fails on a constant side; its own definition with a guarded division gives null
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = {row["slot"]: row["r"] for row in long.groupBy("slot").agg(r.alias("r")).collect()}
     return {p: found.get(i) for i, p in enumerate(pairs)}

@@ -237,8 +237,8 @@ def _one_hot(df, step, tables):
 
 def _codes(df, step, tables):
     c = step["column"]
-    coded = map_values(df, c, tables[c], tuple(step["bound"]), "code", "n")
-    code = F.col("code") if step["missing"] is None else F.coalesce("code", F.lit(step["missing"]).cast("bigint"))
+    coded = map_values(df, c, tables[c], tuple(step["bound"]), "_code", "n", source="code")
+    code = F.col("_code") if step["missing"] is None else F.coalesce("_code", F.lit(step["missing"]).cast("bigint"))
     return coded.select(*[code.alias(c) if x == c else named(x) for x in df.columns])
 
 

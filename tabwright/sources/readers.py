@@ -175,4 +175,5 @@ def preview(df: DataFrame, n: int = 5, *keys: str) -> DataFrame:
 
 def union_chunks(*frames: DataFrame) -> DataFrame:
     """Chunks below each other; a column missing from a chunk is null there."""
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    rows = [f.select("*") for f in frames]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)

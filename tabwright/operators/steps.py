@@ -6,6 +6,8 @@ have any number of distinct values.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,8 +69,11 @@ def literal(text: str, dtype: T.DataType) -> Column:
     """A value as `top_values` names it, back in its column's type."""
     if isinstance(dtype, T.DateType):
         return F.date_from_unix_date(F.lit(int(text)))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_micros(F.lit(int(text))).cast(dtype)
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(int(text)))
+    if isinstance(dtype, T.TimestampNTZType):  # through text, so that no time zone is involved
+        moment = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(text))
+        return F.lit(moment.isoformat(sep=" ")).cast(dtype)
     return F.lit(text).cast(dtype)
 
 

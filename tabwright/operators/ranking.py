@@ -17,10 +17,20 @@ from tabwright.functions.columns import named, order_hash
 from tabwright.session import cut_lineage
 
 PREFIX_STEP = 3  # hex digits per level: 4096 buckets
-FINAL_BUCKET = 10_000  # most hashes per group fetched at the last level
+FINAL_BUCKET = 50_000  # most hashes of all groups together fetched at the last level
+MAX_GROUPS = 1_000  # a label with more values is no class label
 HASH_LENGTH = 32
 
 
+def class_counts(df: DataFrame, label: Column) -> dict[str, int]:
+    """{class as text: rows} of a label column, nulls left out; fails on more than MAX_GROUPS classes."""
+    counted = df.where(label.isNotNull()).groupBy(label.cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"the label has more than {MAX_GROUPS} classes")
+    return {r["g"]: r["n"] for r in rows}
+
+
 def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | None = None) -> dict:
     """{group: largest hash that still belongs to its `wanted[group]` smallest}.
 
@@ -54,7 +64,7 @@ def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | Non
                 continue
             prefix[g] = edges[g]["p"]
             todo[g] -= edges[g]["upto"] - edges[g]["n"]
-            if edges[g]["n"] <= FINAL_BUCKET or length >= HASH_LENGTH:
+            if edges[g]["n"] <= max(FINAL_BUCKET // len(left), 1) or length >= HASH_LENGTH:
                 last[g] = todo.pop(g)
         if last:
             hashes = base.where(_in_prefix({g: prefix[g] for g in last}))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import named, order_hash, row_digest
-from tabwright.operators.ranking import hash_bucket, hash_cutoffs, within_cutoff
+from tabwright.operators.ranking import class_counts, hash_bucket, hash_cutoffs, within_cutoff
 
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 5
 FINE = 10_000
@@ -36,8 +36,7 @@ def exact_split(
         wanted = {"": math.ceil(share * df.count())}
         return df.withColumn("is_test", within_cutoff(hash_, hash_cutoffs(df, hash_, wanted)))
     group = named(label)
-    counts = df.where(group.isNotNull()).groupBy(group.cast("string").alias("g")).count().collect()
-    wanted = {r["g"]: math.floor(share * r["count"] + 0.5) for r in counts}
+    wanted = {g: math.floor(share * n + 0.5) for g, n in class_counts(df, group).items()}
     return df.withColumn("is_test", within_cutoff(hash_, hash_cutoffs(df, hash_, wanted, group), group))
 
 

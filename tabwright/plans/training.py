@@ -21,11 +21,11 @@ from tabwright.functions.columns import columns_of, named, nan_to_null, quoted
 from tabwright.operators import metrics, splits
 from tabwright.operators import steps as st
 from tabwright.operators.profile import Profile
+from tabwright.operators.ranking import class_counts
 from tabwright.operators.tasks import CLASSIFICATION, REGRESSION, TRAINABLE, TaskAdvice
 from tabwright.operators.textvec import fit_tfidf, tfidf_vector
 from tabwright.session import local_table
 
-MAX_CLASSES = 1000
 LINEAR = ("logistic_regression", "linear_regression", "ridge")
 CLASSIFIERS = ["logistic_regression", "random_forest", "gradient_boosting"]
 REGRESSORS = ["linear_regression", "ridge", "random_forest", "gradient_boosting"]
@@ -91,10 +91,7 @@ class Trainer:
     @functools.cached_property
     def labels(self) -> list[str]:
         """Class labels in order of their text."""
-        found = self.data.groupBy(named(self.target).cast("string").alias("g")).count().limit(MAX_CLASSES + 1).collect()
-        if len(found) > MAX_CLASSES:
-            raise ValueError(f"target {self.target} has more than {MAX_CLASSES} classes")
-        return sorted(r["g"] for r in found)
+        return sorted(class_counts(self.data, named(self.target)))
 
     @functools.cached_property
     def preparation(self) -> PipelineModel:
@@ -306,7 +303,7 @@ def train_text_baseline(df: DataFrame, text: str, target: str, keys: list[str] |
     step = fit_tfidf(train, text, train.count())
     if step is None:
         raise ValueError(f"no term of {text} occurs in two documents")
-    labels = sorted(r["g"] for r in train.groupBy(named(target).cast("string").alias("g")).count().collect())
+    labels = sorted(class_counts(train, named(target)))
     indexer = StringIndexerModel.from_labels(labels, "_target_text", "_label", handleInvalid="skip")
 
     def ready(part):

@@ -92,3 +92,8 @@ def test_auc_of_perfect_and_constant_scores(spark):
     assert metrics.roc_auc(df, "y", "s").first()[0] == 1.0
     assert metrics.roc_auc(df, "y", "c").first()[0] == 0.5
     assert metrics.roc_auc(df.where("y = 1"), "y", "s").first()[0] is None
+
+
+def test_a_label_with_too_many_classes_is_refused(spark, skewed):
+    with pytest.raises(ValueError):
+        exact_split(skewed, ["id"], "id")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tabwright.llm import decontaminate  # noqa: F401
+from tabwright.llm import decontaminate, packing, shards, toxicity  # noqa: F401
 from tabwright.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -104,26 +104,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _spans(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for every span, by one running sum."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix64((total[ends] - total[starts]) * down[starts] + lengths)
+class Spans:
+    """Hashes of values[start:end] by one running sum."""
 
+    def __init__(self, values: np.ndarray, base: int):
+        up, self.down = powers(base, len(values) + 1)
+        self.total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[:-1], out=self.total[1:])
 
-def words_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """(text with A-Z lower-cased, starts, ends, 64-bit hashes) of its words.
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
-    A word is a longest run of ASCII letters, digits and non-ASCII characters.
-    """
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
+    """(bytes with A-Z lower-cased, starts, ends of the words, hashes of byte spans)."""
     low = LOWER[np.frombuffer(data, dtype=np.uint8)]
     edge = np.zeros(len(low) + 2, dtype=np.int8)
     edge[1:-1] = IS_WORD[low]
     step = np.diff(edge)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return low.tobytes(), starts, ends, _spans(low.astype(np.uint64) + np.uint64(1), 0, starts, ends)
+    return low, starts, ends, Spans(low.astype(np.uint64) + np.uint64(1), 0)
+
+
+def words_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(text with A-Z lower-cased, starts, ends, 64-bit hashes) of its words.
+
+    A word is a longest run of ASCII letters, digits and non-ASCII characters.
+    """
+    low, starts, ends, spans = word_spans(data)
+    return low.tobytes(), starts, ends, spans(starts, ends)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +141,7 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         return hashes
     n = min(n, len(hashes))
     starts = np.arange(len(hashes) - n + 1)
-    return _spans(hashes, 1, starts, starts + n)
+    return Spans(hashes, 1)(starts, starts + n)
 
 
 def digest16(*arrays: np.ndarray) -> bytes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,5 +22,16 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def importable(spark) -> None:
+    """Let Python workers of this machine import the library; on a cluster it is installed or sent along."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    held = spark.sparkContext.environment
+    parts = held.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in parts:
+        held["PYTHONPATH"] = os.pathsep.join(p for p in [*parts, root] if p)
+
+
 def table(spark, sf_dir: str, name: str):
+    """A table of the test data."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

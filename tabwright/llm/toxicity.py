@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
 Fit, over all labelled rows outside the held-out fold: in how many distinct texts of each class a token
-occurs, its log-odds under an informative Dirichlet prior (pooled share of the token, plus a floor), and
-the standard error. Tokens whose log-odds lie `z` errors above 0 keep the value; all others form one
-class with one, negative, score. Copies of a text count once per class, so a text that was copied a
-thousand times is one witness.
+form occurs (the word, or its first 4 to 9 bytes, so that inflected and compound words share a form), its
+log-odds under an informative Dirichlet prior (pooled share of the form, plus a floor), and the standard
+error. Forms whose log-odds lie `z` errors above 0 keep the value; a token scores as its highest such
+form, and all tokens without one form one class with one, negative, score. Copies of a text count once per
+class, so a text that was copied a thousand times is one witness.
 
 Score, one narrow pass: a linear scan finds every maximal scoring segment of the whole text. A segment of
 score S in n tokens is expected E = K n exp(-lambda S) times by chance; lambda solves
@@ -31,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabwright.llm.common import stored, text_digest, words_of
+from tabwright.llm.common import stored, text_digest, word_spans
 from tabwright.llm.registry import register, table
 
 FOLDS = 5
 MAX_TERMS = 50_000
 BINS = 400  # of evidence, for the curve
+PREFIXES = range(4, 10)  # bytes
 
 SEGMENTS = "n_tokens long, evidence double, seg_from array<int>, seg_to array<int>, seg_score array<double>"
 
@@ -70,24 +72,36 @@ def maximal_segments(position: list[int], score: list[float], other: float) -> l
 
 
 class Model:
-    """Scores of tokens, and what turns segment scores into probabilities."""
-
-    def __init__(self, terms: dict[str, float], other: float, lam: float):
-        self.terms, self.other, self.lam = terms, other, lam
-        self.k = self.slope = self.intercept = 0.0
-
-    def arrays(self):
-        known = {}
-        for term, score in self.terms.items():
-            known[int(words_of(term.encode())[3][0])] = score
-        hashes = np.array(sorted(known), dtype=np.uint64)
-        return hashes, np.array([known[h] for h in hashes.tolist()])
-
-
-def _tokens_sql(text: Column) -> Column:
-    """Distinct tokens of a text, the same words as `words_of`."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    """Scores of token forms (by hash), and what turns segment scores into probabilities."""
+
+    def __init__(self, terms: dict[int, float]):
+        self.hashes = np.array(sorted(terms), dtype=np.uint64)
+        self.values = np.array([terms[h] for h in self.hashes.tolist()])
+        self.other, self.lam, self.k, self.slope, self.intercept = -1.0, 1.0, 1.0, 0.0, 0.0
+
+    def found(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(tokens, positions of scored tokens, their scores)."""
+        count, forms = token_forms(text)
+        if not len(self.hashes) or not count:
+            return count, np.zeros(0, dtype=np.int64), np.zeros(0)
+        best = np.full(count, -np.inf)
+        for owners, hashes in forms:
+            place = np.searchsorted(self.hashes, hashes)
+            place[place == len(self.hashes)] = 0
+            hit = self.hashes[place] == hashes
+            np.maximum.at(best, owners[hit], self.values[place[hit]])
+        where = np.flatnonzero(best > -np.inf)
+        return count, where, best[where]
+
+
+def token_forms(text: str | None) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """(tokens, [(token numbers, hashes of one form)]): whole words, then prefixes of words that are longer."""
+    _, starts, ends, spans = word_spans((text or "").encode())
+    forms = [(np.arange(len(starts)), spans(starts, ends))]
+    for n in PREFIXES:
+        own = np.flatnonzero(ends - starts > n)
+        forms.append((own, spans(starts[own], starts[own] + n) ^ np.uint64(n)))
+    return len(starts), forms
 
 
 def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float = 0.5, max_terms: int = MAX_TERMS) -> Model:
@@ -98,47 +112,77 @@ def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float =
         .join(known, F.col("doc_id") == F.col("_label_id"))
         .select("text", "toxic")
     )
-    train = stored(
-        train.groupBy(text_digest(F.col("text")).alias("d"), "toxic").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")),
-        "toxicity-train",
+    train = train.groupBy(text_digest(F.col("text")).alias("d"), "toxic").agg(
+        F.first("text").alias("text"), F.count(F.lit(1)).alias("n")
     )
+    train = stored(_with_forms(train.select("toxic", "text", "n")), "toxicity-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
-        model = Model({}, -1.0, 1.0)
+        model = Model({})
         model.intercept = 40.0 if bad else -40.0  # the only class there is
         return model
-    counts = (
-        train.select("toxic", F.explode(_tokens_sql(F.col("text"))).alias("t"))
-        .where(F.col("t") != "")
-        .groupBy("t")
-        .agg(F.count_if("toxic").alias("y1"), F.count_if(~F.col("toxic")).alias("y0"))
-    )
-    counts = stored(counts, "toxicity-counts")
+    counts = train.select("toxic", F.explode("forms").alias("h")).groupBy("h")
+    counts = stored(counts.agg(F.count_if("toxic").alias("y1"), F.count_if(~F.col("toxic")).alias("y0")), "toxicity-counts")
     n1, n0, v = counts.agg(F.sum("y1"), F.sum("y0"), F.count(F.lit(1))).head()
     n1, n0 = n1 or 0, n0 or 0
-    # prior: as many pseudo-tokens as there are kinds, shared out by pooled frequency, and the floor
+    # prior: a hundredth of a pseudo-count per form, shared out by pooled frequency, and the floor
     prior = F.lit(floor) + F.lit(float(v)) * (F.col("y1") + F.col("y0")) / F.lit(float(max(n1 + n0, 1)) * 100)
     a0 = floor * v + v / 100
     a1, b1 = F.col("y1") + F.col("a"), F.col("y0") + F.col("a")
     odds = F.log(a1 / (F.lit(n1 + a0) - a1)) - F.log(b1 / (F.lit(n0 + a0) - b1))
     ranked = (
         counts.withColumn("a", prior)
-        .select("t", "y1", "y0", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / b1)).alias("z"))
+        .select("h", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / b1)).alias("z"))
         .where(F.col("z") >= z)
-        .orderBy(F.desc("z"), "t")
+        .orderBy(F.desc("z"), "h")
         .limit(max_terms)
         .collect()
     )
-    terms = {r["t"]: r["odds"] for r in ranked}
-    s1, s0 = sum(r["y1"] for r in ranked), sum(r["y0"] for r in ranked)
-    other = min(-1e-3, math.log((n1 - s1 + 1) / (n1 + 1)) - math.log((n0 - s0 + 1) / (n0 + 1)))
-    share = [((r["y0"] + floor) / (n0 + floor * (len(terms) + 1)), r["odds"]) for r in ranked]
-    model = Model(terms, other, _lambda(share, other))
+    model = Model({r["h"] & (2**64 - 1): r["odds"] for r in ranked})
+    _background(model, train)
     _calibrate(model, train)
     return model
 
 
+def _with_forms(train: DataFrame) -> DataFrame:
+    """Distinct forms of each text, as signed 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [np.unique(np.concatenate([h for _, h in token_forms(t)[1]])).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, type=pa.list_(pa.int64()))], names=[*batch.schema.names, "forms"])
+
+    return train.mapInArrow(run, StructType([*train.schema.fields, *StructType.fromDDL("forms array<long>").fields]))
+
+
+def _background(model: Model, train: DataFrame) -> None:
+    """Score of all other tokens, and lambda, from how often each class has each score."""
+    held = train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: dict[tuple, int] = {}
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                count, _, scores = held.value.found(text)
+                total[toxic, 0.0] = total.get((toxic, 0.0), 0) + count - len(scores)
+                for s in np.round(scores * 8) / 8:
+                    total[toxic, float(s)] = total.get((toxic, float(s)), 0) + 1
+            rows = [(t, s, n) for (t, s), n in total.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=k) for c, k in zip(columns, (pa.bool_(), pa.float64(), pa.int64()), strict=True)], names=["toxic", "s", "n"]
+            )
+
+    seen = train.select("toxic", "text").mapInArrow(run, "toxic boolean, s double, n long")
+    rows = {(r["toxic"], r["s"]): r["n"] for r in seen.groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect()}
+    size = {t: sum(n for (c, _), n in rows.items() if c == t) for t in (True, False)}
+    plain = [(rows.get((t, 0.0), 0) + 1) / (size[t] + 1) for t in (True, False)]
+    model.other = min(-1e-3, math.log(plain[0]) - math.log(plain[1]))
+    share = [((n + 0.5) / (size[False] + 1), s) for (c, s), n in rows.items() if not c and s]
+    model.lam = _lambda(share, model.other)
+
+
 def _lambda(share: list[tuple[float, float]], other: float) -> float:
     """The positive root of sum p exp(lambda s) = 1 over the clean class, by bisection."""
     rest = 1 - sum(p for p, _ in share)
@@ -160,14 +204,14 @@ def _lambda(share: list[tuple[float, float]], other: float) -> float:
 def _calibrate(model: Model, train: DataFrame) -> None:
     """K from the segments of clean training texts, then the curve over evidence bins."""
     model.k = 1.0
-    found = stored(segments(train, model), "toxicity-segments")
+    found = stored(segments(train.select("toxic", "text", "n"), model).drop("text"), "toxicity-segments")
     clean = found.where(~F.col("toxic"))
     tokens = clean.agg(F.sum("n_tokens")).head()[0] or 0
-    least = min(model.terms.values(), default=1.0)
+    least = float(model.values.min()) if len(model.values) else 1.0
     above = clean.select(F.explode("seg_score").alias("s")).where(F.col("s") >= least).count()
     # E(least) = K n exp(-lambda least) is what was seen; half a segment where none was
     model.k = max((above + 0.5) / max(tokens, 1) * math.exp(min(model.lam * least, 500)), 1e-300)
-    again = segments(train.select("text", "toxic", "n"), model)
+    again = segments(train.select("toxic", "text", "n"), model)
     bins = again.groupBy(F.least(F.floor(F.col("evidence") * 4), F.lit(BINS)).alias("b"), "toxic").agg(F.sum("n").alias("n")).collect()
     model.slope, model.intercept = _logistic([(r["b"] / 4, r["toxic"], r["n"]) for r in bins])
 
@@ -194,23 +238,18 @@ def segments(documents: DataFrame, model: Model, text: str = "text") -> DataFram
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     documents = documents.drop(*names)
     at = documents.columns.index(text)
-    held = documents.sparkSession.sparkContext.broadcast((*model.arrays(), model.other, model.lam, model.k))
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, value, other, lam, k = held.value
+        model = held.value
         for batch in batches:
             rows = []
             for text in batch.columns[at]:
-                _, _, _, hashes = words_of((text.as_py() or "").encode())
-                found: list[tuple[int, int, float]] = []
-                if len(known) and len(hashes):
-                    place = np.searchsorted(known, hashes)
-                    place[place == len(known)] = 0
-                    where = np.flatnonzero(known[place] == hashes)
-                    found = maximal_segments(where.tolist(), value[place[where]].tolist(), other)
-                chance = math.log(k * len(hashes)) if len(hashes) else 0.0
-                evidence = sum(max(0.0, lam * s - chance) for _, _, s in found)
-                rows.append((len(hashes), evidence, [a for a, _, _ in found], [b for _, b, _ in found], [s for _, _, s in found]))
+                count, where, scores = model.found(text.as_py())
+                found = maximal_segments(where.tolist(), scores.tolist(), model.other)
+                chance = math.log(model.k * count) if count else 0.0
+                evidence = sum(max(0.0, model.lam * s - chance) for _, _, s in found)
+                rows.append((count, evidence, [a for a, _, _ in found], [b for _, b, _ in found], [s for _, _, s in found]))
             kinds = (pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
             made = [pa.array([r[j] for r in rows], type=kind) for j, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])

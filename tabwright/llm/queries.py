@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tabwright.llm import decontaminate, licenses, lines, neardup, packing, shards, topk, toxicity  # noqa: F401
+from tabwright.llm import decontaminate, licenses, lines, neardup, packing, repeats, shards, topk, toxicity  # noqa: F401
 from tabwright.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -379,8 +379,8 @@ def high_quality_columns(spark, sf):
 section("dtype_counts", "lineitem", "dtype_counts", "SELECT dtype, count(*) AS n_columns FROM facts GROUP BY dtype")
 
 
-def _histogram(view, bins, limit=10):
-    names = [n for n, d in COLUMNS[view] if d in ("int", "bigint", "double")][:limit]
+def _histogram(view, bins):
+    names = [n for n, d in COLUMNS[view] if d in ("int", "bigint", "double")]
     return f"WITH t AS ({view_sql(view)}) " + " UNION ALL ".join(
         f"""SELECT '{n}' AS column_name, b.bin, lo + b.bin * w AS bin_start, coalesce(h.n, 0) AS n
         FROM (SELECT range AS bin FROM range({bins})) b

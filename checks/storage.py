@@ -164,7 +164,7 @@ def sample_cap(spark, sf):
 @register(
     "sample_share",
     """SELECT o_orderkey, o_custkey FROM orders
-    WHERE CAST('0x' || substr(md5('42|' || o_orderkey), 1, 8) AS BIGINT) % 1000000 < 200000""",
+    WHERE CAST('0x' || substr(md5('42|' || o_orderkey), 1, 15) AS BIGINT) < CAST(floor(0.2::DOUBLE * 1152921504606846976) AS BIGINT)""",
 )
 def sample_share_query(spark, sf):
     return sample_share(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), 0.2, "o_orderkey")

@@ -10,6 +10,7 @@ the rows is one partial row per task, so hot values do not skew the shuffle.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,26 +65,36 @@ def numeric_scan(df: DataFrame, fields: list, shape: bool = True) -> dict[int, d
     far less work per value than running moments, and is the more exact method.
     """
     x = F.col("x")
+    finite = F.when(F.abs(x) < float("inf"), x)
     numbers = {i: named(f.name).cast("double") for i, f in fields}
     first = _long(df, numbers).groupBy("slot").agg(
         F.count(x).alias("non_null"),
         F.avg(x).alias("mean"),
         F.min(x).alias("min_num"),
         F.max(x).alias("max_num"),
+        F.min(finite).alias("min_finite"),
+        F.max(finite).alias("max_finite"),
         F.count_if(x == 0).alias("zeros"),
         F.count_if(x < 0).alias("negative"),
     )
     found = {int(r["slot"]): r.asDict() for r in first.collect()}
     if not shape or not found:
         return found
-    centred = {i: numbers[i] - F.lit(r["mean"]) for i, r in found.items()}
+    for own in found.values():  # a column with an infinite value has no spread
+        own |= {"std_pop": None, "skew_pop": None, "kurt_pop": None}
+    # distances as shares of the largest one: their powers neither vanish nor overflow
+    scales = {i: max(r["max_num"] - r["mean"], r["mean"] - r["min_num"]) for i, r in found.items()}
+    plain = [i for i, scale in scales.items() if math.isfinite(scale)]
+    centred = {i: (numbers[i] - F.lit(found[i]["mean"])) / F.lit(scales[i] or 1.0) for i in plain}
+    if not centred:
+        return found
     second = _long(df, centred).groupBy("slot").agg(
         F.avg(x * x).alias("m2"), F.avg(x * x * x).alias("m3"), F.avg(x * x * x * x).alias("m4")
     )
     for r in second.collect():
         own = found[int(r["slot"])]
-        flat = own["min_num"] == own["max_num"]  # rounding may leave a trace of spread
-        own["std_pop"] = 0.0 if flat else r["m2"] ** 0.5
+        flat = own["min_num"] == own["max_num"] or not r["m2"]  # rounding may leave a trace of spread
+        own["std_pop"] = 0.0 if flat else r["m2"] ** 0.5 * scales[int(r["slot"])]
         own["skew_pop"] = None if flat else r["m3"] / r["m2"] ** 1.5
         own["kurt_pop"] = None if flat else r["m4"] / r["m2"] ** 2 - 3
     return found
@@ -126,6 +137,16 @@ def _other_scan(df: DataFrame, fields: list) -> dict:
     return df.agg(*exprs).first().asDict()
 
 
+def non_null_counts(df: DataFrame) -> dict:
+    """Rows, and present values of every column, in one narrow pass per COLUMNS_PER_JOB columns."""
+    total, present = 0, {}
+    for group in batches(list(df.columns), COLUMNS_PER_JOB):
+        row = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(named(c)).alias(f"c{i}") for i, c in enumerate(group)]).first()
+        total = row["total"]
+        present |= {c: row[f"c{i}"] for i, c in enumerate(group)}
+    return {"total": total, "non_null": present}
+
+
 def scan(df: DataFrame, approx: bool = False) -> list[dict]:
     """Raw aggregates per column; every column is read once, by the scan of its kind.
 
@@ -235,9 +256,9 @@ def _value_facts(df: DataFrame, columns: list[str], non_null: dict[int, int]) ->
     return found
 
 
-def collect_facts(df: DataFrame, distinct: str = EXACT) -> list[dict]:
+def collect_facts(df: DataFrame, distinct: str = EXACT, scanned: list[dict] | None = None) -> list[dict]:
     """Facts of every column as driver-side rows (bounded by the number of columns)."""
-    rows = scan(df, approx=distinct == HYBRID)
+    rows = scanned or scan(df, approx=distinct == HYBRID)
     wanted = [r["column_name"] for r in rows if r["kind"] != "other"]
     if distinct == HYBRID:
         wanted = [r["column_name"] for r in rows if r["kind"] != "other" and _near_threshold(r)]
@@ -248,6 +269,11 @@ def collect_facts(df: DataFrame, distinct: str = EXACT) -> list[dict]:
     return [_finish(r, values.get(r["position"], {})) for r in rows]
 
 
+def value_bytes(r: dict) -> int:
+    """Bytes of the values of a column: text as UTF-8, everything else by the width of its type."""
+    return r.get("text_bytes") or 0 if r["kind"] == "string" else r["width"] * r["non_null"]
+
+
 def _near_threshold(row: dict) -> bool:
     """Does a rule depend on the exact distinct count, given a 1 % sketch of it?"""
     sketch, ratio = row["sketch"], row["sketch"] / max(row["total"], 1)
@@ -284,7 +310,7 @@ def _finish(r: dict, v: dict) -> dict:
         "balance": balance,
         "min_label": v.get("min_label"),
         "max_label": v.get("max_label"),
-        "bytes": r.get("text_bytes") or 0 if r["kind"] == "string" else r["width"] * n,
+        "bytes": value_bytes(r),
     }
     for share, count in (("uuid_share", "uuids"), ("digit_share", "digits"), ("date_share", "dates")):
         out[share] = out[count] / n if count in out and n else None

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import semantics as sem
-from tabwright.functions.columns import columns_of, kinds, named, nan_to_null, row_digest
-from tabwright.operators.facts import EXACT, collect_facts, facts_table, top_values
+from tabwright.functions.columns import columns_of, dtype_name, kinds, named, nan_to_null, row_digest
+from tabwright.operators.facts import EXACT, HYBRID, collect_facts, facts_table, non_null_counts, scan, top_values, value_bytes
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.session import batches, local_table
 
@@ -33,7 +33,12 @@ def severity_of(pct):
 
 
 class Profile:
-    """Facts are computed once, on first use, and shared by all sections.
+    """Facts are computed once, on first use, in layers, so that no section pays for more than it shows.
+
+    schema   no job at all
+    counts   rows and non-null values per column, one narrow pass
+    scanned  moments, extremes, lengths and patterns, narrow passes
+    rows     all facts; adds the grouping of all values, the only shuffle
 
     distinct: 'exact' or 'hybrid' (a sketch decides which columns need the exact count).
     id_rule:  'reference' or 'strict' (only integers and strings are ids by value).
@@ -48,9 +53,26 @@ class Profile:
 
     # ---- shared facts -------------------------------------------------------------
 
+    @functools.cached_property
+    def counts(self) -> dict:
+        """{"total": rows, "non_null": {column: present values}}."""
+        for layer in ("rows", "scanned"):
+            if layer in self.__dict__:
+                own = self.__dict__[layer]
+                return {"total": own[0]["total"], "non_null": {r["column_name"]: r["non_null"] for r in own}}
+        return non_null_counts(self.df)
+
+    @functools.cached_property
+    def scanned(self) -> list[dict]:
+        return self.rows if "rows" in self.__dict__ else scan(self.df, approx=self.distinct == HYBRID)
+
+    @functools.cached_property
+    def by_scan(self) -> dict[str, dict]:
+        return {r["column_name"]: r for r in self.scanned}
+
     @functools.cached_property
     def rows(self) -> list[dict]:
-        return collect_facts(self.df, self.distinct)
+        return collect_facts(self.df, self.distinct, self.__dict__.get("scanned"))
 
     @functools.cached_property
     def facts(self) -> DataFrame:
@@ -67,7 +89,7 @@ class Profile:
 
     @functools.cached_property
     def n_rows(self) -> int:
-        return self.rows[0]["total"]
+        return self.counts["total"]
 
     def of_type(self, *types: str) -> list[str]:
         return [c for c in self.df.columns if self.types[c] in types]
@@ -82,21 +104,30 @@ class Profile:
             self.df,
             self.numeric_columns,
             QUARTILES,
-            {c: self.by_name[c]["non_null"] for c in self.numeric_columns},
-            {c: self.by_name[c]["unique_count"] for c in self.numeric_columns},
+            self.counts["non_null"],
+            {c: self._distinct_bound(c) for c in self.numeric_columns},
         )
 
+    def _distinct_bound(self, column: str) -> int:
+        """At most so many distinct values: the exact count if it is there, else what the scan proves."""
+        if "rows" in self.__dict__:
+            return self.by_name[column]["unique_count"]
+        r = self.by_scan[column]
+        if r["is_integer"] and r["non_null"]:
+            return min(r["non_null"], int(r["max_num"] - r["min_num"]) + 1)
+        return r["non_null"]
+
     @functools.cached_property
     def spread(self) -> dict[str, dict]:
         """Quartiles, fences, outlier counts and whiskers per numeric column."""
         found = {}
-        filled = [c for c in self.numeric_columns if self.by_name[c]["non_null"]]
+        filled = [c for c in self.numeric_columns if self.counts["non_null"][c]]
         for group in batches(filled, BOUND_COLUMNS_PER_JOB):
             exprs = []
             for i, c in enumerate(group):
                 q1, _, q3 = self.quartiles[c]
                 low, high = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)
-                x, mean, sd = named(c).cast("double"), self.by_name[c]["mean"], self.by_name[c]["std_pop"]
+                x, mean, sd = named(c).cast("double"), self.by_scan[c]["mean"], self.by_scan[c]["std_pop"]
                 z = F.count_if(F.abs((x - F.lit(mean)) / F.lit(sd)) > Z_LIMIT) if sd else F.lit(0).cast("bigint")
                 exprs += [
                     F.count_if((x < low) | (x > high)).alias(f"o{i}"),
@@ -167,20 +198,23 @@ class Profile:
     @functools.cached_property
     def columns_with_nulls(self) -> list[str]:
         """Only these need to be read again by anything that looks at nulls."""
-        return [r["column_name"] for r in self.rows if r["null_count"]]
+        return [c for c, n in self.counts["non_null"].items() if n < self.n_rows]
+
+    @functools.cached_property
+    def missing_cells(self) -> int:
+        return sum(self.n_rows - n for n in self.counts["non_null"].values())
 
     @functools.cached_property
     def overview_row(self) -> dict:
-        cells = self.n_rows * len(self.rows)
-        missing = sum(r["null_count"] for r in self.rows)
+        cells = self.n_rows * len(self.df.columns)
         return {
             "n_rows": self.n_rows,
-            "n_columns": len(self.rows),
+            "n_columns": len(self.df.columns),
             "total_cells": cells,
-            "missing_cells": missing,
-            "missing_pct": missing / cells * 100 if cells else 0.0,
+            "missing_cells": self.missing_cells,
+            "missing_pct": self.missing_cells / cells * 100 if cells else 0.0,
             "duplicate_rows": self.duplicate_rows,
-            "bytes": sum(r["bytes"] for r in self.rows),
+            "bytes": sum(value_bytes(r) for r in self.scanned),
         }
 
     def overview(self) -> DataFrame:
@@ -251,8 +285,8 @@ class Profile:
         columns = [c for c in columns if self.by_name[c]["non_null"]]
         return self._with_share(top_values(self.df, columns, k))
 
-    def category_counts(self, max_columns: int = 6, k: int = 15) -> DataFrame:
-        """Top values of the first string columns with at most 30 distinct values."""
+    def category_counts(self, max_columns: int | None = None, k: int = 15) -> DataFrame:
+        """Top values of the (first) string columns with at most 30 distinct values."""
         columns = [c for c, kind in kinds(self.df).items() if kind == "string"]
         few = [c for c in columns if 0 < self.by_name[c]["unique_count"] <= 30][:max_columns]
         return top_values(self.df, few, k).select("column_name", "rank", "value", "n")
@@ -288,16 +322,17 @@ class Profile:
         columns = self.numeric_columns
         if len(columns) < 2:
             return []
-        complete = [c for c in columns if self.by_name[c]["null_count"] == 0 and self.by_name[c]["non_null"]]
+        present = self.counts["non_null"]
+        complete = [c for c in columns if 0 < present[c] == self.n_rows and self.by_scan[c]["std_pop"] is not None]
         pairs: dict[tuple[str, str], float | None] = {}
         if len(complete) > 1 and self.n_rows > 1:
-            varying = [c for c in complete if self.by_name[c]["std_pop"]]
+            varying = [c for c in complete if self.by_scan[c]["std_pop"]]
             pairs |= {p: None for p in itertools.combinations(complete, 2)}
             if len(varying) > WIDE:
                 pairs |= _dense_correlation(self.df, varying)
             else:
                 for group in batches(list(itertools.combinations(varying, 2)), PAIRS_PER_JOB):
-                    pairs |= _scaled_products(self.df, group, self.by_name)
+                    pairs |= _scaled_products(self.df, group, self.by_scan)
         rest = [p for p in itertools.combinations(columns, 2) if p not in pairs]
         for group in batches(rest, 500):
             pairs |= _pairwise_correlation(self.df, group)
@@ -316,9 +351,8 @@ class Profile:
     def correlation_matrix(self) -> DataFrame:
         """Full matrix in long form, diagonal included."""
         pairs = self.correlation_table
-        own = self.facts.where((F.col("kind") == "numeric") & (F.col("std_pop") > 0)).select(
-            F.col("column_name").alias("col1"), F.col("column_name").alias("col2"), F.lit(1.0).alias("correlation")
-        )
+        varying = [{"col1": c, "col2": c, "correlation": 1.0} for c in self.numeric_columns if self.by_scan[c].get("std_pop")]
+        own = local_table(self.spark, varying, "col1 string, col2 string, correlation double")
         upper = pairs.select("col1", "col2", "correlation")
         lower = pairs.select(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "correlation")
         return upper.unionByName(lower).unionByName(own)
@@ -341,22 +375,25 @@ class Profile:
     def missing_by_column(self) -> DataFrame:
         """Columns with missing values: count, rounded percentage and severity."""
         pct = F.round("null_pct", 2)
-        return self.facts.where(F.col("null_count") > 0).select(
-            "position",
-            "column_name",
-            F.col("null_count").alias("missing"),
-            pct.alias("missing_pct"),
-            severity_of(pct).alias("severity"),
+        return self._null_table().where(F.col("missing") > 0).select(
+            "position", "column_name", "missing", pct.alias("missing_pct"), severity_of(pct).alias("severity")
         )
 
+    def _null_table(self) -> DataFrame:
+        rows = [
+            {"position": i, "column_name": c, "missing": self.n_rows - n, "null_pct": (self.n_rows - n) / max(self.n_rows, 1) * 100}
+            for i, (c, n) in enumerate(self.counts["non_null"].items())
+        ]
+        return local_table(self.spark, rows, "position int, column_name string, missing bigint, null_pct double")
+
     def missing_summary(self) -> DataFrame:
-        o = self.overview_row
-        with_missing = sum(1 for r in self.rows if r["null_count"])
+        cells = self.n_rows * len(self.df.columns)
+        with_missing = len(self.columns_with_nulls)
         row = {
-            "total_missing": o["missing_cells"],
-            "missing_pct": o["missing_pct"],
+            "total_missing": self.missing_cells,
+            "missing_pct": self.missing_cells / cells * 100 if cells else 0.0,
             "columns_with_missing": with_missing,
-            "complete_columns": len(self.rows) - with_missing,
+            "complete_columns": len(self.df.columns) - with_missing,
             "rows_with_missing": self.rows_with_missing,
             "rows_complete": self.n_rows - self.rows_with_missing,
         }
@@ -395,7 +432,7 @@ class Profile:
         """
         if not self.n_rows:
             return {"overall": 0.0, "completeness": 0.0, "uniqueness": 0.0, "consistency": 0.0}
-        complete = max(0.0, 1 - self.overview_row["missing_cells"] / self.overview_row["total_cells"])
+        complete = max(0.0, 1 - self.missing_cells / (self.n_rows * len(self.df.columns)))
         unique = max(0.0, 1 - self.duplicate_rows / self.n_rows)
         overall = complete * 0.4 + unique * 0.3 + 0.3
         return {
@@ -417,26 +454,30 @@ class Profile:
     def high_quality_columns(self, threshold: float = 80.0) -> DataFrame:
         """Columns whose share of present values, in percent, is above the threshold."""
         present = 100 - F.col("null_pct")
-        return self.facts.where(present > threshold).select("position", "column_name", present.alias("completeness"))
+        return self._null_table().where(present > threshold).select("position", "column_name", present.alias("completeness"))
 
     def dtype_counts(self) -> DataFrame:
-        return self.facts.groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
+        return self.schema_table().groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"))
 
     def schema_table(self) -> DataFrame:
-        return self.facts.select("position", "column_name", "dtype")
+        rows = [
+            {"position": i, "column_name": f.name, "dtype": dtype_name(f.dataType)} for i, f in enumerate(self.df.schema.fields)
+        ]
+        return local_table(self.spark, rows, "position int, column_name string, dtype string")
 
-    def histogram(self, bins: int = 30, max_columns: int = 10) -> DataFrame:
-        """Equal-width bins of the first numeric columns; the last bin is closed."""
-        columns = [c for c in self.numeric_columns[:max_columns] if self.by_name[c]["non_null"]]
+    def histogram(self, bins: int = 30, max_columns: int | None = None) -> DataFrame:
+        """Equal-width bins of the (first) numeric columns over their finite values; the last bin is closed."""
+        columns = [c for c in self.numeric_columns[:max_columns] if self.by_scan[c].get("min_finite") is not None]
         keys, frame = [], []
         for i, c in enumerate(columns):
-            low, high = self.by_name[c]["min_num"], self.by_name[c]["max_num"]
+            low, high = self.by_scan[c]["min_finite"], self.by_scan[c]["max_finite"]
             if low == high:  # a constant column gets one unit-wide range around its value
                 low, high = low - 0.5, high + 0.5
             width = (high - low) / bins
-            place = F.least(F.floor((named(c).cast("double") - low) / width), F.lit(bins - 1).cast("bigint"))
+            x = named(c).cast("double")
+            place = F.least(F.floor((x - low) / width), F.lit(bins - 1).cast("bigint"))
             # least() skips nulls, so a null must be kept out of the last bin by hand
-            keys.append(F.when(named(c).isNotNull(), place).alias(str(i)))
+            keys.append(F.when(F.abs(x) < float("inf"), place).alias(str(i)))
             frame += [
                 {"slot": str(i), "column_name": c, "bin": b, "bin_start": low + b * width} for b in range(bins)
             ]

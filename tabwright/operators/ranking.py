@@ -104,8 +104,8 @@ def sample_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
 
 
 def sample_share(df: DataFrame, share: float, *keys: str, seed: int = 42) -> DataFrame:
-    """About `share` of the rows by a hash threshold; one narrow filter, any size of data."""
-    return df.where(hash_bucket(1_000_000, seed, *[named(k) for k in keys]) < int(share * 1_000_000))
+    """About `share` of the rows by a hash threshold; one narrow filter, any size of data and of share."""
+    return df.where(below_share(share, seed, *[named(k) for k in keys]))
 
 
 def numbered(values: DataFrame, column: str, out: str, bound: int | None) -> DataFrame:
@@ -152,7 +152,15 @@ def running_total(df: DataFrame, order: str, value: str, out: str, bound: int, g
     )
 
 
+def _seeded(seed: int, *keys: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
+def below_share(share: float, seed: int, *keys: Column) -> Column:
+    """True for about `share` of the keys: 60 bits of an md5 of seed and keys, below share x 2^60."""
+    return F.conv(F.substring(_seeded(seed, *keys), 1, 15), 16, 10).cast("bigint") < F.lit(int(share * 2**60))
+
+
 def hash_bucket(buckets: int, seed: int, *keys: Column) -> Column:
     """Reproducible bucket of a row: 32 bits of an md5 of seed and keys, modulo `buckets`."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return F.pmod(F.conv(F.substring(_seeded(seed, *keys), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))

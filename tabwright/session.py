@@ -60,8 +60,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def _plain(value):
+    """JSON value of a cell: NaN is missing, infinities are spelt as Spark's reader expects them."""
     if isinstance(value, float) and not math.isfinite(value):
-        return None
+        return None if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
     return value
 
 

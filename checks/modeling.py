@@ -193,9 +193,14 @@ def bucket(seed, *keys):
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def below(share, seed, *keys):
+    text = " || '|' || ".join([f"'{seed}'", *keys])
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) < CAST(floor({share}::DOUBLE * 1152921504606846976) AS BIGINT)"
+
+
 @register(
     "hash_split",
-    f"SELECT o_orderkey, {bucket(42, 'o_orderkey')} % 10000 < 2000 AS is_test, CAST({bucket(43, 'o_orderkey')} % 5 AS INT) AS fold FROM orders",
+    f"SELECT o_orderkey, {below(0.2, 42, 'o_orderkey')} AS is_test, CAST({bucket(43, 'o_orderkey')} % 5 AS INT) AS fold FROM orders",
 )
 def hash_split(spark, sf):
     df = load(spark, sf, "orders").select("o_orderkey")
@@ -272,7 +277,7 @@ def regression_metrics(spark, sf):
 
 # ---- training ---------------------------------------------------------------------
 
-SPLIT = f"""d AS (SELECT l_quantity AS x, l_extendedprice AS y, {bucket(42, 'l_orderkey', 'l_linenumber', 'l_partkey')} % 10000 < 2000 AS is_test,
+SPLIT = f"""d AS (SELECT l_quantity AS x, l_extendedprice AS y, {below(0.2, 42, 'l_orderkey', 'l_linenumber', 'l_partkey')} AS is_test,
   {bucket(43, 'l_orderkey', 'l_linenumber', 'l_partkey')} % 5 AS fold FROM lineitem)"""
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
 
@@ -324,7 +329,7 @@ def cross_validate(spark, sf):
 
 @register(
     "prepare_features",
-    f"""WITH o AS (SELECT *, {bucket(42, 'o_orderkey')} % 10000 < 2000 AS is_test FROM ({view_sql('orders_missing')})
+    f"""WITH o AS (SELECT *, {below(0.2, 42, 'o_orderkey')} AS is_test FROM ({view_sql('orders_missing')})
       WHERE o_orderpriority IS NOT NULL),
     f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM o WHERE NOT is_test)) AS v
       FROM o WHERE NOT is_test)

@@ -194,15 +194,20 @@ def union_chunks(spark, sf):
     return readers.union_chunks(even, odd)
 
 
+ORDER_CELLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
 @register(
     "dataset_fingerprint",
-    """WITH h AS (SELECT md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority)) AS d FROM orders)
+    "WITH h AS (SELECT md5(concat_ws('|', "
+    + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ORDER_CELLS)
+    + """)) AS d FROM orders)
     SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(d, 1, 8) AS BIGINT)) AS VARCHAR) || '-' ||
     CAST(sum(CAST('0x' || substr(d, 9, 8) AS BIGINT)) AS VARCHAR) AS fingerprint FROM h""",
 )
 def dataset_fingerprint(spark, sf):
     df = load(spark, sf, "orders")
-    return runs.fingerprint(df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    return runs.fingerprint(df.select(*ORDER_CELLS))
 
 
 @register("save_run", "SELECT * FROM customer")

@@ -10,6 +10,7 @@ from tabwright.session import BROADCAST_ROWS, cut_lineage
 
 HOT_SHARE = 0.001  # a value above this share of rows is hot; there are at most 1000 of them
 BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 1024
 
 
 def value_bound(df: DataFrame, column: str) -> tuple[int, int]:
@@ -34,8 +35,9 @@ def map_values(
     """Left join of `mapping` (value, <source or out>[, weight]) onto `df[column]`, as column `out`.
 
     `bound` is the mapping's largest number of rows and bytes. Within BROADCAST_ROWS and
-    BROADCAST_BYTES it is broadcast. A larger one is joined by shuffle, except that rows with hot values (known from `weight`, the value's row count)
-    meet a broadcast of those few values, so no task receives a hot key.
+    BROADCAST_BYTES it is broadcast. A larger one is joined by shuffle in one pass over `df`: hot values (known
+    from `weight`, the value's row count) first meet a broadcast of those few, and their rows, like
+    rows with null, then carry a salt that no mapping row has, so no task receives a hot key.
     """
     mapping = mapping.select(
         F.col("value").alias("_value"),
@@ -54,14 +56,19 @@ def _mapped(df: DataFrame, key, mapping: DataFrame, bound: tuple[int, int], weig
     if not weighted:
         return _joined(df, key, pairs)
     mapping = cut_lineage(mapping)  # used three times below
-    total = mapping.agg(F.sum("_weight")).first()[0] or 0
-    hot = mapping.where(F.col("_weight") > HOT_SHARE * total).select("_value", "_mapped")
-    values = [r["_value"] for r in hot.select("_value").collect()]  # at most 1 / HOT_SHARE
-    if not values:
+    sizes = mapping.agg(F.sum("_weight").alias("total")).first()
+    hot = mapping.where(F.col("_weight") > HOT_SHARE * (sizes["total"] or 0))  # at most 1 / HOT_SHARE values
+    width = hot.agg(F.sum(F.octet_length(F.col("_value").cast("string"))).alias("b")).first()["b"]
+    if not width or width > BROADCAST_BYTES:  # none, or too long to send; the join is then left to skew handling
         return _joined(df, key, pairs)
-    is_hot = F.coalesce(key.isin(values), F.lit(False)) | key.isNull()
-    cold = mapping.where(F.col("_weight") <= HOT_SHARE * total).select("_value", "_mapped")
-    return _joined(df.where(is_hot), key, F.broadcast(hot)).unionByName(_joined(df.where(~is_hot), key, cold))
+    few = hot.select(F.col("_value").alias("_hot_value"), F.col("_mapped").alias("_hot_mapped"))
+    salted = df.join(F.broadcast(few), key == F.col("_hot_value"), "left")
+    away = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(SALTS)) + 1
+    salted = salted.withColumn("_salt", F.when(F.col("_hot_value").isNotNull() | key.isNull(), away).otherwise(F.lit(0)))
+    cold = pairs.withColumn("_cold", F.lit(0).cast("bigint"))
+    joined = salted.join(cold, (key == F.col("_value")) & (F.col("_salt") == F.col("_cold")), "left")
+    mapped = F.when(F.col("_hot_value").isNotNull(), F.col("_hot_mapped")).otherwise(F.col("_mapped"))
+    return joined.select(*[named(c) for c in df.columns], mapped.alias("_mapped"))
 
 
 def _joined(df: DataFrame, key, pairs: DataFrame) -> DataFrame:

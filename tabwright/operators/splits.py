@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import named, order_hash, row_digest
-from tabwright.operators.ranking import class_counts, hash_bucket, hash_cutoffs, within_cutoff
+from tabwright.operators.ranking import below_share, class_counts, hash_bucket, hash_cutoffs, within_cutoff
 
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 5
-FINE = 10_000
 
 
 def row_keys(df: DataFrame, keys: list[str] | None) -> list[Column]:
@@ -21,7 +20,7 @@ def row_keys(df: DataFrame, keys: list[str] | None) -> list[Column]:
 
 def hash_split(df: DataFrame, keys: list[str] | None = None, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add `is_test` by a hash threshold: one narrow projection, stratified in expectation."""
-    return df.withColumn("is_test", hash_bucket(FINE, seed, *row_keys(df, keys)) < int(share * FINE))
+    return df.withColumn("is_test", below_share(share, seed, *row_keys(df, keys)))
 
 
 def exact_split(

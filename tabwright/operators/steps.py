@@ -143,9 +143,21 @@ def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = False) ->
     return steps
 
 
+def _shown(value, dtype: T.DataType) -> str:
+    """A distinct value in the name of its column."""
+    start = dt.datetime(1970, 1, 1)
+    if isinstance(dtype, T.DateType):
+        return str((start + dt.timedelta(days=int(value))).date())
+    if kind_of(dtype) == "datetime":
+        return (start + dt.timedelta(microseconds=int(value))).isoformat()
+    return str(value)
+
+
 def _native(text: str, dtype: T.DataType):
     if isinstance(dtype, T.BooleanType):
         return text == "1"
+    if kind_of(dtype) == "datetime":
+        return text  # days or microseconds
     if kind_of(dtype) == "numeric":
         return float(text) if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)) else int(text)
     return text
@@ -234,8 +246,11 @@ def _clip(df, step, tables):
 
 def _one_hot(df, step, tables):
     c = step["column"]
+    dtype = df.schema[c].dataType
+    wanted = [literal(v, dtype) if kind_of(dtype) == "datetime" else F.lit(v) for v in step["values"]]
     flags = [
-        F.coalesce((named(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in step["values"]
+        F.coalesce((named(c) == w).cast("int"), F.lit(0)).alias(f"{c}_{_shown(v, dtype)}")
+        for w, v in zip(wanted, step["values"])
     ]
     return df.select(*[named(x) for x in df.columns if x != c], *flags)
 

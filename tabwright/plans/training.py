@@ -90,8 +90,9 @@ class Trainer:
 
     @functools.cached_property
     def labels(self) -> list[str]:
-        """Class labels in order of their text."""
-        return sorted(class_counts(self.data, named(self.target)))
+        """Class labels in the order of their values."""
+        found = class_counts(self.data, named(self.target))
+        return sorted(found, key=float) if self.target in columns_of(self.data, "numeric") else sorted(found)
 
     @functools.cached_property
     def preparation(self) -> PipelineModel:
@@ -272,8 +273,10 @@ class Trainer:
     def predict(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """The rows of a static or streaming DataFrame with `prediction` appended."""
         scored = self.models[name or self.best].transform(nan_to_null(df))
-        out = "predicted_label" if self.classification else "_prediction"
-        return scored.select(*[named(c) for c in df.columns], F.col(out).alias("prediction"))
+        out = F.col("_prediction")
+        if self.classification:  # labels come back in the target's own type
+            out = F.col("predicted_label").cast(self.data.schema[self.target].dataType)
+        return scored.select(*[named(c) for c in df.columns], out.alias("prediction"))
 
     def feature_importance(self, name: str | None = None, k: int = 10) -> DataFrame:
         """The k features with the largest importance (trees) or absolute coefficient (linear)."""

@@ -22,7 +22,9 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
     Each row's md5 gives two 32-bit numbers; their exact sums name the dataset.
     """
-    cells = [F.coalesce(named(c).cast("string"), F.lit("\\N")) for c in df.columns]
+    texts = [named(c).cast("string") for c in df.columns]
+    # every cell says how long it is, so no text can pass for a separator or a null
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     digest = F.md5(F.concat_ws("|", *cells))
     words = [F.conv(F.substring(digest, start, 8), 16, 10).cast("decimal(20,0)") for start in (1, 9)]
     sums = [F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").cast("string") for w in words]

@@ -22,8 +22,16 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+BATCH_BYTES = 8 << 20
+
+
 def importable(spark) -> None:
-    """Let Python workers of this machine import the library; on a cluster it is installed or sent along."""
+    """Let Python workers of this machine import the library (on a cluster it is installed or sent along), and
+    bound the Arrow batches they get: every task holds a batch on both sides, and texts and sets may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     held = spark.sparkContext.environment
     parts = held.get("PYTHONPATH", "").split(os.pathsep)

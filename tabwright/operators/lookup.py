@@ -65,7 +65,7 @@ def _mapped(df: DataFrame, key, mapping: DataFrame, bound: tuple[int, int], weig
     salted = df.join(F.broadcast(few), key == F.col("_hot_value"), "left")
     away = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(SALTS)) + 1
     salted = salted.withColumn("_salt", F.when(F.col("_hot_value").isNotNull() | key.isNull(), away).otherwise(F.lit(0)))
-    cold = pairs.withColumn("_cold", F.lit(0).cast("bigint"))
+    cold = mapping.select("_value", "_mapped").withColumn("_cold", F.lit(0).cast("bigint"))
     joined = salted.join(cold, (key == F.col("_value")) & (F.col("_salt") == F.col("_cold")), "left")
     mapped = F.when(F.col("_hot_value").isNotNull(), F.col("_hot_mapped")).otherwise(F.col("_mapped"))
     return joined.select(*[named(c) for c in df.columns], mapped.alias("_mapped"))

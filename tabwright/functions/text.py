@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"  # runs of at least two letters, digits or underscores
 
-# Spark's default English stop words, in its own order.
-STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself "
-    "it its itself they them their theirs themselves what which who whom this that these those am is are was were be "
-    "been being have has had having do does did doing a an the and but if or because as until while of at by for with "
-    "about against between into through during before after above below to from up down in out on off over under again "
-    "further then once here there when where why how all any both each few more most other some such no nor not only "
-    "own same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd "
-    "she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't "
-    "haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot could "
-    "here's how's let's ought that's there's what's when's where's who's why's would"
-).split()
+
+@functools.cache
+def stop_words() -> tuple[str, ...]:
+    """Spark's own list of English stop words."""
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words without stop words; null text gives an empty array."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(words, lambda w: ~w.isin(*stop_words()))
 
 
 def grams(words: Column) -> Column:

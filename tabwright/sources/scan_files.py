@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.urls import ALLOWED, base_name, extension_of, file_name_problem
@@ -11,21 +11,21 @@ MAX_BYTES = 1024**3
 HEADER_BYTES = 1024
 SMALL_FILE = 10_240
 
-# Header bytes (hex) of executables, scripts and archives.
+# First bytes of executables, scripts and archives.
 SIGNATURES = [
-    ("4D5A", "windows_executable"),
-    ("7F454C46", "linux_executable"),
-    ("CAFEBABE", "mach_o_or_java_class"),
-    ("FEEDFACF", "mach_o_executable"),
-    ("CFFAEDFE", "mach_o_executable"),
-    ("2321", "shebang_script"),
-    ("3C3F706870", "php_script"),
-    ("3C25", "server_page_script"),
-    ("3C736372697074", "html_script"),
-    ("52617221", "rar_archive"),
-    ("377ABCAF271C", "seven_zip_archive"),
+    (b"MZ", "windows_executable"),
+    (b"\x7fELF", "linux_executable"),
+    (b"\xca\xfe\xba\xbe", "mach_o_or_java_class"),
+    (b"\xfe\xed\xfa\xcf", "mach_o_executable"),
+    (b"\xcf\xfa\xed\xfe", "mach_o_executable"),
+    (b"#!", "shebang_script"),
+    (b"<?php", "php_script"),
+    (b"<%", "server_page_script"),
+    (b"<script", "html_script"),
+    (b"Rar!", "rar_archive"),
+    (b"7z\xbc\xaf\x27\x1c", "seven_zip_archive"),
 ]
-ZIP = "504B0304"  # allowed, but marked
+ZIP = b"PK\x03\x04"  # allowed, but marked
 
 # Strings that only raise a flag, in small files.
 SUSPICIOUS = [
@@ -33,6 +33,10 @@ SUSPICIOUS = [
 ]
 
 
+def _starts(code: bytes) -> Column:
+    return F.startswith(F.col("header"), F.lit(bytearray(code)))
+
+
 def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, problem (null when safe), is_zip and suspicious.
 
@@ -43,10 +47,9 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     large = options.load(path).where(F.col("length") > MAX_BYTES)
     header = F.substring("content", 1, HEADER_BYTES)
     small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", header.alias("header"))
-    start = F.hex("header")
     signature = F.lit(None).cast("string")
     for code, label in reversed(SIGNATURES):
-        signature = F.when(start.startswith(code), label).otherwise(signature)
+        signature = F.when(_starts(code), label).otherwise(signature)
     text = F.lower(F.decode("header", "ISO-8859-1"))
     found = F.lit(False)
     for word in SUSPICIOUS:
@@ -57,7 +60,7 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
         "path",
         "length",
         F.coalesce(refused, signature).alias("problem"),
-        start.startswith(ZIP).alias("is_zip"),
+        _starts(ZIP).alias("is_zip"),
         ((F.col("length") < SMALL_FILE) & found).alias("suspicious"),
     )
     too_large = large.select(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,50 @@ def partition_offsets(starts: DataFrame) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "_part long, _first long, _before long"))
 
 
+# --- bit sets ----------------------------------------------------------------------------------
+
+BITS = 24
+
+
+def spot(*parts: Column) -> Column:
+    """Place of a key in a bit set; `spot_of` gives the same for Python values."""
+    texts = [F.coalesce(p.cast("string"), F.lit("None")) for p in parts]
+    return F.crc32(F.concat_ws(" ", *texts).cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1))
+
+
+def spot_of(*parts) -> int:
+    return zlib.crc32(" ".join(str(p) for p in parts).encode()) & ((1 << BITS) - 1)
+
+
+def bit_set(spots: DataFrame):
+    """Broadcast flags of the taken spots (column `s`): 16 MB, whatever the number of rows.
+
+    It thins a scan before a join; what it lets through by chance, the join drops.
+    """
+    words = spots.select(F.shiftright("s", 6).alias("at"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
+    bits = dense(words.groupBy("at").agg(F.bit_or("b").alias("n")), 1 << (BITS - 6), "<i8")
+    return spots.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+
+
+def dense(cells: DataFrame, size: int, kind: str) -> np.ndarray:
+    """The array of `size` cells with n at position `at`, 0 elsewhere; cells come to the driver packed by 4096."""
+
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for rows in batch.column("cells").to_pylist():
+                part = np.zeros(4096, dtype=kind)
+                part[[r["at"] & 4095 for r in rows]] = [r["n"] for r in rows]
+                packed.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("high"), pa.array(packed, type=pa.binary())], names=["high", "packed"])
+
+    rows = cells.groupBy(F.shiftright("at", 12).alias("high")).agg(F.collect_list(F.struct("at", "n")).alias("cells"))
+    out = np.zeros(max(size, 4096), dtype=kind)
+    for r in rows.mapInArrow(pack, "high long, packed binary").toLocalIterator():
+        out[r["high"] << 12 : (r["high"] + 1) << 12] = np.frombuffer(r["packed"], dtype=kind)
+    return out[:size]
+
+
 # --- words as hashes -------------------------------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -1,17 +1,17 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Words carry a 63-bit code, rarity class first, so that ascending codes order
-them by rarity; the counts behind it cover all documents and live in a table of fixed size (2^20 counters),
-the only broadcast. Lines with equal sets are one node. Two sets of sizes n <= m with Jaccard >= t
+them by rarity; the counts behind it cover all documents and live in a table of fixed size (2^20 counters).
+Candidates meet by the upper 31 bits of a code. Lines with equal sets are one node. Two sets of sizes n <= m with Jaccard >= t
 share at least a = ceil(t / (1 + t) (n + m)) words, so
 
 * prefix: they share a word among the first m - ceil(t m) + 1 of the larger one and the first
   n - ceil(2 t / (1 + t) n) + 1 of the smaller one,
-* length: n >= t m; the join key holds the word and a length class, so only two classes meet,
-* position: 1 + min(words after the shared one) >= a,
-* bitmap: the 128-bit word maps differ in at most n + m - 2 a bits,
+* length: n >= t m,
+* position: 1 + min(words after the shared one) >= a, which is what shortens the smaller one's prefix,
+* bitmap: the 64-bit word maps differ in at most n + m - 2 a bits,
 
-and what is left is verified on the full sets. A pair belongs to its first common word. Where more than `hot`
+and what is left is verified on the full sets. A pair belongs to its rarest common word. Where more than `hot`
 sets share a prefix word, pairs are not emitted: the sets are dealt into blocks, each pair of blocks is compared
 inside one task by an incidence product, and only counts and the earliest partner leave it.
 
@@ -25,7 +25,6 @@ doc_id and number exactly the first occurrence counts as earliest (so both stay)
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import digest16, stored, word_spans
+from tabwright.llm.common import bit_set, dense, digest16, spot, spot_of, stored, word_spans
 from tabwright.llm.registry import register, table
 
 THRESHOLD = 0.8
 HOT = 512
 BLOCK = 384
 COUNTERS = 20  # bits
-BITS = 24  # of the bit set that thins the last pass
 
-_LINES = "doc_id long, line int, key binary, n int, b0 long, b1 long, prefix array<long>"
+_LINES = "doc_id long, line int, key binary, n int, bits long, prefix array<int>"
 
 
 # --- words of lines ----------------------------------------------------------------------------
@@ -74,14 +72,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             total += np.bincount((np.concatenate(held) & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total))
     spot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], names=["spot", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], names=["at", "n"])
 
 
 def _counters(documents: DataFrame) -> np.ndarray:
-    found = documents.select("text").mapInArrow(_count, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNTERS, dtype=np.int64)
-    out[found["spot"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    return out
+    found = documents.select("text").mapInArrow(_count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return dense(found, 1 << COUNTERS, "<i8")
 
 
 def _prefix(n: np.ndarray, t: float) -> np.ndarray:
@@ -103,27 +99,23 @@ def _line_rows(held, t: float):
                 lines.append(np.arange(n))
                 sizes.append(size)
                 keys += [digest16(code[a : a + k]) if k else None for a, k in zip(start.tolist(), size.tolist(), strict=True)]
-                bits = np.zeros((2, n), dtype=np.uint64)
-                one, upper = np.uint64(1) << (code & np.uint64(63)), (code >> np.uint64(6)) & np.uint64(1)
+                bits = np.zeros(n, dtype=np.uint64)
                 full = np.flatnonzero(size)
                 if len(full):
-                    for k in (0, 1):
-                        bits[k, full] = np.bitwise_or.reduceat(np.where(upper == k, one, np.uint64(0)), start[full])
+                    bits[full] = np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint64(63)), start[full])
                 maps.append(bits)
                 heads.append((code[np.arange(len(code)) - start[line] < _prefix(size, t)[line]], np.minimum(_prefix(size, t), size)))
             if not docs:
                 continue
-            bits = np.concatenate(maps, axis=1).view(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.concatenate([k for _, k in heads])))).astype(np.int32)
-            values = np.concatenate([c for c, _ in heads]).view(np.int64)
+            values = (np.concatenate([c for c, _ in heads]) >> np.uint64(32)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(docs, type=pa.int64()),
                     pa.array(np.concatenate(lines).astype(np.int32)),
                     pa.array(keys, type=pa.binary()),
                     pa.array(np.concatenate(sizes).astype(np.int32)),
-                    pa.array(bits[0]),
-                    pa.array(bits[1]),
+                    pa.array(np.concatenate(maps).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
                 ],
                 names=[x.split()[0] for x in _LINES.split(", ")],
@@ -132,10 +124,6 @@ def _line_rows(held, t: float):
     return run
 
 
-def _spot(doc, line: int) -> int:
-    return zlib.crc32(f"{doc} {line}".encode()) & ((1 << BITS) - 1)
-
-
 def _full_sets(held, bits):
     """(key, packed codes) of the lines whose spot in the bit set is taken."""
 
@@ -146,7 +134,7 @@ def _full_sets(held, bits):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                wanted = [k for k in range(text.count("\n") + 1) if taken[_spot(doc, k)]]
+                wanted = [k for k in range(text.count("\n") + 1) if taken[spot_of(doc, k)]]
                 if not wanted:
                     continue
                 _, line, code = _codes(text, counts)
@@ -168,46 +156,43 @@ def _shared_least(n: Column, m: Column, t: float) -> Column:
 
 
 def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """(a, b, word): distinct pairs, a the smaller set, with the rarest word at which they met."""
-    ratio = math.log(1 / t)
-    cls = F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")
-    inner = F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1
-    small = postings.where(F.col("pos") < inner).select(
-        F.col("word").alias("_w"), cls.alias("_c"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-        F.col("b0").alias("x0"), F.col("b1").alias("x1"),
-    )
-    large = postings.withColumn("_c2", F.explode(F.array(cls, cls - 1))).select(
-        "word", "_c2", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("b0").alias("y0"), F.col("b1").alias("y1")
-    )
-    na, nb = F.col("na"), F.col("nb")
+    """(a, b): distinct pairs, a the smaller set.
+
+    Both sides are the same rows by word, so one exchange serves them.
+    """
+    small = postings.select(*[F.col(c).alias(f"{c}_a") for c in postings.columns])
+    large = postings.select(*[F.col(c).alias(f"{c}_b") for c in postings.columns])
+    na, nb = F.col("n_a"), F.col("n_b")
     least = _shared_least(na, nb, t)
     fits = (
-        (F.col("_w") == F.col("word"))
-        & (F.col("_c") == F.col("_c2"))
-        & ((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+        (F.col("word_a") == F.col("word_b"))
+        & ((na < nb) | ((na == nb) & (F.col("id_a") < F.col("id_b"))))
         & (na >= F.lit(t) * nb - 1e-9)
-        & (F.lit(1) + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) >= least)
-        & (F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) <= na + nb - 2 * least)
+        & (F.lit(1) + F.least(na - F.col("pos_a") - 1, nb - F.col("pos_b") - 1) >= least)
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least)
     )
-    return small.join(large, fits).groupBy("a", "b").agg(F.min("word").alias("word"))
+    return small.join(large, fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def _verify(t: float):
+    """Of the candidates those that are similar enough, with their rarest common word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y, word in zip(batch.column("x"), batch.column("y"), batch.column("word").to_pylist(), strict=True):
+            keep, home = [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.int64) for v in (x, y))
                 both = np.intersect1d(x, y, assume_unique=True)
-                keep.append(len(both) > 0 and both[0] == word and len(both) >= t * (len(x) + len(y) - len(both)) - 1e-9)
-            mask = pa.array(keep, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+                keep.append(len(both) > 0 and len(both) >= t * (len(x) + len(y) - len(both)) - 1e-9)
+                home.append(int(both[0]) >> 32 if len(both) else 0)
+            mask, home = pa.array(keep, type=pa.bool_()), pa.array(home, type=pa.int32())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (batch.column("a"), batch.column("b"), home)], names=["a", "b", "home"])
 
     return run
 
 
 def _block_pairs(t: float):
-    """Links between two blocks of sets that share `word`: (key, number of links, earliest partner)."""
+    """Links between two blocks of sets that share `word`: (id, number of links, earliest partner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,8 +200,8 @@ def _block_pairs(t: float):
             for r in batch.to_pylist():
                 out += _links_of(r["word"], r["left"], r["right"], r["i"] == r["j"], t)
             columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["key", "links", "f_doc", "f_line"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["id", "links", "f_doc", "f_line"])
 
     return run
 
@@ -234,8 +219,9 @@ def _links_of(word: int, left: list[dict], right: list[dict], same: bool, t: flo
         marks.append(mark)
     size = [np.array([len(w) for w in side], dtype=np.float64) for side in sets]
     shared = (marks[0] @ marks[1].T).astype(np.float64)
-    before = int(np.searchsorted(common, word))
-    home = (marks[0][:, :before] @ marks[1][:, :before].T) == 0  # no common word is rarer than this one
+    before, after = (int(np.searchsorted(common >> 32, word, side=s)) for s in ("left", "right"))
+    # pairs that share this word and no rarer one
+    home = (marks[0][:, :before] @ marks[1][:, :before].T == 0) & (marks[0][:, before:after] @ marks[1][:, before:after].T > 0)
     link = home & (shared >= t * (size[0][:, None] + size[1][None, :] - shared) - 1e-9)
     out = []
     if same:
@@ -245,7 +231,7 @@ def _links_of(word: int, left: list[dict], right: list[dict], same: bool, t: flo
         first = np.argmax(matrix[:, rank], axis=1)
         for k in np.flatnonzero(matrix.any(axis=1)).tolist():
             early = others[rank[first[k]]]
-            out.append((rows[k]["key"], int(matrix[k].sum()), early["f_doc"], early["f_line"]))
+            out.append((rows[k]["id"], int(matrix[k].sum()), early["f_doc"], early["f_line"]))
     return out
 
 
@@ -266,11 +252,11 @@ def line_classes(
     held = spark.sparkContext.broadcast(_counters(slim))
     lines = stored(slim.mapInArrow(_line_rows(held, threshold), _LINES), "line-rows")
     nodes = lines.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min(_earliest("doc_id", "line")).alias("f"), F.first("n").alias("n"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("prefix").alias("prefix")
+        F.min(_earliest("doc_id", "line")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
-    nodes = stored(nodes, "line-nodes")
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     links = _links(slim, nodes, held, threshold, hot, block)
-    found = nodes.select("key", "f").join(links.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left")
+    found = nodes.select("key", "f", "id").join(links.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     found = found.select(F.col("key").alias("_key"), "f", F.coalesce("links", F.lit(0)).alias("n_links"), F.col("early"))
     out = lines.select("doc_id", "line", "key").join(found, F.col("key") == F.col("_key"), "left")
     here = _earliest("doc_id", "line")
@@ -282,50 +268,49 @@ def line_classes(
 
 
 def _links(slim: DataFrame, nodes: DataFrame, held, t: float, hot: int, block: int) -> DataFrame:
-    """(key, links, early): number of similar other sets, and the first line of the earliest."""
-    spark = slim.sparkSession
+    """(id, links, early): number of similar other sets, and the first line of the earliest."""
     # sets so small that not even one more word keeps the similarity link to none
     able = nodes.where(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
-    postings = able.select("key", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "word"))
-    sizes = postings.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    sizes = sizes.select(F.col("word").alias("_word"), "m")
-    shared = postings.join(sizes, F.col("word") == F.col("_word")).drop("_word")
-    pairs = stored(_candidates(shared.where(F.col("m") <= hot).drop("m"), t), "line-pairs")
-    heavy = stored(shared.where(F.col("m") > hot).select("key", "word", "m"), "line-heavy")
+    postings = able.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    # only words whose counter is that high can be hot
+    often = postings.where(F.shiftright("word", 25) >= int(2 * math.log2(hot + 1)))
+    heavy_words = often.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
+    heavy_words = stored(heavy_words.select(F.col("word").alias("_word"), "m"), "line-words")
+    light = postings.join(heavy_words, F.col("word") == F.col("_word"), "left_anti")
+    pairs = stored(_candidates(light, t), "line-pairs")
+    heavy = often.join(heavy_words, F.col("word") == F.col("_word")).select("id", "word", "m")
+    heavy = stored(heavy, "line-heavy")
 
     # full sets of the lines that are candidates anywhere
-    wanted = pairs.select(F.col("a").alias("_k")).unionAll(pairs.select(F.col("b").alias("_k"))).unionAll(heavy.select(F.col("key").alias("_k")))
-    at = nodes.select("key", "f").join(wanted.distinct(), F.col("key") == F.col("_k")).select("key", "f")
-    name = F.concat(F.coalesce(F.col("f.doc").cast("string"), F.lit("None")), F.lit(" "), F.col("f.line").cast("string"))
-    spot = at.select(F.crc32(name.cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1)).alias("s"))
-    spot = spot.select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("b"))
-    taken = spot.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    bits[taken["w"].to_numpy(dtype=np.int64)] = taken["b"].to_numpy(dtype=np.int64)
-    bits = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
-    sets = slim.mapInArrow(_full_sets(held, bits), "key binary, words binary").groupBy("key").agg(F.first("words").alias("words"))
-    sets = stored(sets, "line-sets")
-
-    left = sets.select(F.col("key").alias("_ka"), F.col("words").alias("x"))
-    right = sets.select(F.col("key").alias("_kb"), F.col("words").alias("y"))
+    wanted = pairs.select(F.col("a").alias("_k")).unionAll(pairs.select(F.col("b").alias("_k"))).unionAll(heavy.select(F.col("id").alias("_k")))
+    at = stored(nodes.select("id", "key", "f").join(wanted.distinct(), F.col("id") == F.col("_k")).drop("_k"), "line-wanted")
+    bits = bit_set(at.select(spot(F.col("f.doc"), F.col("f.line")).alias("s")))
+    sets = slim.mapInArrow(_full_sets(held, bits), "key binary, words binary")
+    sets = sets.join(at.select("id", F.col("key").alias("_key"), "f"), F.col("key") == F.col("_key"))
+    sets = sets.groupBy("key").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("f").alias("f"))
+    sets = stored(sets.drop("key"), "line-sets")
+
+    left = sets.select(F.col("id").alias("_ka"), F.col("words").alias("x"))
+    right = sets.select(F.col("id").alias("_kb"), F.col("words").alias("y"))
     both = pairs.join(left, F.col("a") == F.col("_ka")).join(right, F.col("b") == F.col("_kb"))
-    true = stored(both.select("a", "b", "x", "y", "word").mapInArrow(_verify(t), "a binary, b binary"), "line-links")
+    true = both.select("a", "b", "x", "y").mapInArrow(_verify(t), "a long, b long, home int")
+    true = stored(true.join(heavy_words, F.col("home") == F.col("_word"), "left_anti").select("a", "b"), "line-links")
     ends = true.select(F.col("a").alias("_x"), F.col("b").alias("_y")).unionAll(true.select(F.col("b").alias("_x"), F.col("a").alias("_y")))
-    firsts = nodes.select(F.col("key").alias("_n"), "f")
-    light = ends.join(firsts, F.col("_y") == F.col("_n")).groupBy(F.col("_x").alias("key")).agg(
+    firsts = at.select(F.col("id").alias("_n"), "f")
+    sparse = ends.join(firsts, F.col("_y") == F.col("_n")).groupBy(F.col("_x").alias("id")).agg(
         F.count(F.lit(1)).alias("links"), F.min("f").alias("early")
     )
 
-    full = heavy.join(sets.withColumnRenamed("key", "_ks"), F.col("key") == F.col("_ks")).join(firsts, F.col("key") == F.col("_n"))
-    full = full.withColumn("_b", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / F.lit(block))))
-    row = F.struct("key", "words", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
+    full = heavy.join(sets.withColumnRenamed("id", "_ks"), F.col("id") == F.col("_ks"))
+    full = full.withColumn("_b", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / F.lit(block))))
+    row = F.struct("id", "words", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
     blocks = stored(full.groupBy("word", "_b").agg(F.collect_list(row).alias("sets")), "line-blocks")
     one = blocks.select("word", F.col("_b").alias("i"), F.col("sets").alias("left"))
     two = blocks.select(F.col("word").alias("_w"), F.col("_b").alias("j"), F.col("sets").alias("right"))
     met = one.join(two, (F.col("word") == F.col("_w")) & (F.col("i") <= F.col("j"))).select("word", "i", "j", "left", "right")
-    met = met.mapInArrow(_block_pairs(t), "key binary, links long, f_doc long, f_line int")
-    dense = met.groupBy("key").agg(F.sum("links").alias("links"), F.min(_earliest("f_doc", "f_line")).alias("early"))
-    return light.unionAll(dense).groupBy("key").agg(F.sum("links").alias("links"), F.min("early").alias("early"))
+    met = met.repartition(F.xxhash64("word", "i", "j")).mapInArrow(_block_pairs(t), "id long, links long, f_doc long, f_line int")
+    dense = met.groupBy("id").agg(F.sum("links").alias("links"), F.min(_earliest("f_doc", "f_line")).alias("early"))
+    return sparse.unionAll(dense).groupBy("id").agg(F.sum("links").alias("links"), F.min("early").alias("early"))
 
 
 def without_repeated_lines(documents: DataFrame, text: str = "text", id_: str = "doc_id", **options) -> DataFrame:

@@ -21,7 +21,6 @@ doc_id of the class (null where all are null); repeated rows share their class.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import digest16, mix64, stored, windows, words_of
+from tabwright.llm.common import bit_set, digest16, mix64, spot, spot_of, stored, windows, words_of
 from tabwright.llm.components import components
 from tabwright.llm.registry import register, table
 
@@ -37,7 +36,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 1024  # arrivals drawn at once
-BITS = 24  # of the bit set that thins the second pass
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +97,6 @@ def _sketch(bands: int, rows: int, shingle: int):
     return run
 
 
-def _spot(key: bytes, doc_id: int | None) -> int:
-    return zlib.crc32(key + str(doc_id).encode()) & ((1 << BITS) - 1)
-
-
 def _sets(held, shingle: int):
     """(key, packed sorted shingles) of documents whose spot in the bit set is taken."""
 
@@ -112,7 +106,7 @@ def _sets(held, shingle: int):
             keys, packed = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, _ = shingles(text, shingle)
-                if len(found) and bits[_spot(key := _key(text, found), doc_id)]:
+                if len(found) and bits[spot_of((key := _key(text, found)).hex(), doc_id)]:
                     keys.append(key)
                     packed.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array(packed, type=pa.binary())], names=["key", "items"])
@@ -165,26 +159,23 @@ def near_duplicates(
 
 def _roots(slim: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) of the nodes that have links."""
-    spark = slim.sparkSession
     banded = nodes.select("key", "rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     members = stored(banded.join(hubs.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).drop("_band", "n"), "neardup-members")
 
-    spot = F.crc32(F.concat("key", F.coalesce(F.col("rep").cast("string"), F.lit("None")).cast("binary"))).bitwiseAND(F.lit((1 << BITS) - 1))
-    words = members.select(spot.alias("spot")).select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("b"))
-    taken = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    bits[taken["w"].to_numpy(dtype=np.int64)] = taken["b"].to_numpy(dtype=np.int64)
-    held = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    held = bit_set(members.select(spot(F.lower(F.hex("key")), F.col("rep")).alias("s")))
     sets = slim.mapInArrow(_sets(held, shingle), "key binary, items binary").groupBy("key").agg(F.first("items").alias("items"))
     sets = stored(sets, "neardup-sets")
 
     # one hub for each node, then the hubs of its other bands
     stars = members.where(F.col("key") != F.col("hub")).groupBy(F.col("key").alias("a")).agg(F.min("hub").alias("b"))
+    stars = stored(stars, "neardup-stars")
     links = _similar(stars, sets, similarity).select("a", "b")
     roots = components(links)
     rest = members.where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    more = _similar(_apart(rest, roots).join(stars, ["a", "b"], "left_anti"), sets, similarity).select("a", "b")
+    rest = stored(_apart(rest, roots).join(stars, ["a", "b"], "left_anti"), "neardup-tried")
+    tried = stars.unionAll(rest)  # a pair that shares several bands is compared once
+    more = _similar(rest, sets, similarity).select("a", "b")
     links = links.unionAll(more)
     roots = components(links)
 
@@ -199,7 +190,10 @@ def _roots(slim: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -
             return roots
         pivots = _pivots(left, first, width)
         pairs = left.join(pivots, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root")) & (F.col("key") > F.col("pivot")))
-        more = _similar(pairs.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), sets, similarity).select("a", "b")
+        pairs = pairs.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "neardup-tried")
+        tried = tried.unionAll(pairs)
+        more = _similar(pairs, sets, similarity).select("a", "b")
         links = links.unionAll(more)
         roots = components(links)
         first, width = first + width, width * 2

@@ -13,8 +13,8 @@ suffixes before them is induced:
    and LCP = 1 + the least LCP in between, or 0. A window is repeated when its LCP with a neighbour reaches `length`.
 
 The queue between tasks is the sorted shuffle on disk, so a shard is streamed group by group and may be far larger
-than memory. Equal chunks are one row, however many documents hold them. A core that occurs at more than `hot`
-places is not sorted in one task: its windows are hashed (128 bits) and counted with map-side combination.
+than memory. Equal chunks are one row, however many documents hold them. A core with more than `hot` different
+chunks is not sorted in one task: its windows are hashed (128 bits) and counted with map-side combination.
 
 Texts are known by a 128-bit digest; a text that occurs twice is repeated as a whole and analysed once.
 
@@ -45,7 +45,7 @@ HOT = 256
 SLICE = 1 << 23  # bytes of a text that are analysed at once
 
 _MARKS = "core long, place long, key binary, at int, lo int, hi int"
-_CONTENT = "core long, hot boolean, content binary, place long, key binary, lo int, lead int, body binary"
+_CONTENT = "core long, content binary, place long, key binary, lo int, lead int, body binary"
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -146,14 +146,14 @@ def _contents(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CONTENT.split(", ")]
-        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for key, body, marks in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "marks")), strict=True):
                 rows = []
                 for m in marks:
                     own, lead = body[m["lo"] : m["hi"] + length], m["at"] - m["lo"]
                     digest = hashlib.blake2b(own, digest_size=16, salt=lead.to_bytes(4, "little")).digest()
-                    rows.append((m["core"], m["hot"], digest, m["place"], key, m["lo"], lead, own))
+                    rows.append((m["core"], digest, m["place"], key, m["lo"], lead, own))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -264,10 +264,10 @@ def _windows(length: int):
 def repeated_spans(texts: DataFrame, length: int = LENGTH, chunk: int = CHUNK, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """For a single text column: (key, spans) of texts with repeats, and (key) of texts that occur more than once."""
     marks = stored(texts.mapInArrow(_marks(length, chunk), _MARKS), "repeat-marks")
-    cores = marks.groupBy("core").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.count(F.lit(1)).alias("n"))
-    cores = cores.where(F.col("_a") != F.col("_b")).select(F.col("core").alias("_core"), (F.col("n") > hot).alias("hot"))
+    cores = marks.groupBy("core").agg(F.min("place").alias("_a"), F.max("place").alias("_b"))
+    cores = cores.where(F.col("_a") != F.col("_b")).select(F.col("core").alias("_core"))
     found = marks.join(cores, F.col("core") == F.col("_core")).drop("_core").distinct()  # copies of a text collapse
-    mark = F.struct("core", "hot", "place", "at", "lo", "hi")
+    mark = F.struct("core", "place", "at", "lo", "hi")
     found = stored(found.groupBy("key").agg(F.collect_list(mark).alias("marks")), "repeat-found")  # of one text
     held = bit_set(found.select(spot_column(F.lower(F.hex("key"))).alias("s")))
     bodies = texts.mapInArrow(_wanted(held, length), "key binary, body binary").groupBy("key").agg(F.first("body").alias("body"))
@@ -275,14 +275,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, chunk: int = CHUNK, h
     parts = stored(parts.mapInArrow(_contents(length), _CONTENT), "repeat-chunks")
 
     bodies = parts.groupBy("content").agg(
-        F.first("core").alias("core"), F.first("lead").alias("lead"), F.first("body").alias("body"), F.first("hot").alias("hot"),
+        F.first("core").alias("core"), F.first("lead").alias("lead"), F.first("body").alias("body"),
         (F.min("place") != F.max("place")).alias("many"),
     )
     bodies = stored(bodies, "repeat-contents")
-    cold = bodies.where(~F.col("hot")).withColumn("_tail", F.expr("substring(body, lead + 1)"))
+    crowded = bodies.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("core").alias("_core"))
+    crowded = stored(crowded, "repeat-crowded")
+    cold = bodies.join(crowded, F.col("core") == F.col("_core"), "left_anti").withColumn("_tail", F.expr("substring(body, lead + 1)"))
     cold = cold.repartition("core").sortWithinPartitions("core", "_tail").select("core", "content", "lead", "body", "many")
     flags = cold.mapInArrow(_sorted_shard(length), "content binary, first int, end int")
-    win = bodies.where("hot").select("core", "content", "lead", "body", "many")
+    win = bodies.join(crowded, F.col("core") == F.col("_core"), "left_semi").select("core", "content", "lead", "body", "many")
     win = win.mapInArrow(_windows(length), "window binary, content binary, first int, many boolean, core long")
     twice = win.groupBy("window").agg(F.min("content").alias("_a"), F.max("content").alias("_b"), F.max("many").alias("_m"))
     twice = twice.where((F.col("_a") != F.col("_b")) | F.col("_m")).select(F.col("window").alias("_w"))
@@ -344,14 +346,15 @@ def without_repeats(
     """The documents with n_bytes, n_removed, n_spans, kept_sha256 and (`keep`) the remaining bytes `kept`."""
     from pyspark.sql.types import StructType
 
-    documents = documents.drop(*[x.split()[0] for x in _RESULT.split(", ")], "_key", "_spans", "_whole")
+    documents = documents.drop(*[x.split()[0] for x in _RESULT.split(", ")], "_key", "_spans", "_whole", "_known")
     at = documents.columns.index(text)
     spans, copies = repeated_spans(documents.select(text), length, chunk, hot)
     touched = spans.select("key").unionAll(copies)
     held = bit_set(touched.select(spot_column(F.lower(F.hex("key"))).alias("s")))
     keyed = StructType([*documents.schema.fields, *StructType.fromDDL("_key binary").fields])
     known = spans.withColumnRenamed("spans", "_spans").join(copies.select("key", F.lit(True).alias("_whole")), "key", "full")
-    inside = documents.mapInArrow(_split(held, at, True), keyed).join(known, F.col("_key") == F.col("key"), "left")
+    known = known.withColumnRenamed("key", "_known")
+    inside = documents.mapInArrow(_split(held, at, True), keyed).join(known, F.col("_key") == F.col("_known"), "left")
     outside = documents.mapInArrow(_split(held, at, False), keyed)
     none = [F.lit(None).cast(known.schema["_spans"].dataType).alias("_spans"), F.lit(None).cast("boolean").alias("_whole")]
     own = [F.col(f"`{c}`") for c in documents.columns]

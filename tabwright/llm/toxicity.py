@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabwright.llm.common import stored, text_digest, word_spans
+from tabwright.llm.common import bit_set, spot, spot_of, stored, text_digest, word_spans
 from tabwright.llm.registry import register, table
 
 FOLDS = 5
@@ -107,23 +107,24 @@ def token_forms(text: str | None) -> tuple[int, list[tuple[np.ndarray, np.ndarra
 def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float = 0.5, max_terms: int = MAX_TERMS) -> Model:
     """Learn from all labelled rows outside fold 0."""
     known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_label_id"), (F.col("toxic") == 1).alias("toxic"))
-    train = (
-        documents.where((fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
-        .join(known, F.col("doc_id") == F.col("_label_id"))
-        .select("text", "toxic")
-    )
-    train = train.groupBy(text_digest(F.col("text")).alias("d"), "toxic").agg(
-        F.first("text").alias("text"), F.count(F.lit(1)).alias("n")
-    )
-    train = stored(_with_forms(train.select("toxic", "text", "n")), "toxicity-train")
+    slim = documents.where((fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
+    slim = slim.select("doc_id", text_digest(F.col("text")).alias("d")).join(known, F.col("doc_id") == F.col("_label_id"))
+    chosen = slim.groupBy("d", "toxic").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("n")).drop("d")
+    chosen = stored(chosen, "toxicity-chosen")
+    # texts of the chosen rows only; a bit set thins the scan before anything is shuffled
+    held = bit_set(chosen.select(spot(F.col("_rep")).alias("s")))
+    texts = documents.select("doc_id", "text").mapInArrow(_among(held), "doc_id long, text string")
+    # merged at every size: the labels grow with the documents, so they are never sent whole
+    train = texts.join(chosen.hint("merge"), F.col("doc_id") == F.col("_rep")).select("toxic", "text", "n")
+    train = stored(train, "toxicity-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
         model = Model({})
         model.intercept = 40.0 if bad else -40.0  # the only class there is
         return model
-    counts = train.select("toxic", F.explode("forms").alias("h")).groupBy("h")
-    counts = stored(counts.agg(F.count_if("toxic").alias("y1"), F.count_if(~F.col("toxic")).alias("y0")), "toxicity-counts")
+    counts = train.select("toxic", "text").mapInArrow(_form_counts, "h long, y1 long, y0 long").groupBy("h")
+    counts = stored(counts.agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "toxicity-counts")
     n1, n0, v = counts.agg(F.sum("y1"), F.sum("y0"), F.count(F.lit(1))).head()
     n1, n0 = n1 or 0, n0 or 0
     # prior: a hundredth of a pseudo-count per form, shared out by pooled frequency, and the floor
@@ -145,15 +146,27 @@ def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float =
     return model
 
 
-def _with_forms(train: DataFrame) -> DataFrame:
-    """Distinct forms of each text, as signed 64-bit hashes."""
+def _among(held):
+    """Rows whose doc_id is in the bit set; texts are passed on untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [np.unique(np.concatenate([h for _, h in token_forms(t)[1]])).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, type=pa.list_(pa.int64()))], names=[*batch.schema.names, "forms"])
-
-    return train.mapInArrow(run, StructType([*train.schema.fields, *StructType.fromDDL("forms array<long>").fields]))
+            yield batch.filter(pa.array([bool(held.value[spot_of(i)]) for i in batch.column(0).to_pylist()], type=pa.bool_()))
+
+    return run
+
+
+def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of either class each form occurs; forms are signed 64-bit hashes."""
+    for batch in batches:
+        forms: dict[bool, list] = {True: [], False: []}
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forms[toxic].append(np.unique(np.concatenate([h for _, h in token_forms(text)[1]])))
+        for toxic, own in forms.items():
+            h, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            zero = np.zeros(len(n), dtype=np.int64)
+            counts = [pa.array(n.astype(np.int64)), pa.array(zero)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(counts if toxic else counts[::-1])], names=["h", "y1", "y0"])
 
 
 def _background(model: Model, train: DataFrame) -> None:

@@ -74,6 +74,11 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _once(value: Column) -> Column:
+    """The value as a generated column: filters above are not pushed below it, which would compute it again for each."""
+    return F.explode(F.array(value))
+
+
 def license_matches(
     documents: DataFrame,
     templates: dict[str, str] | None = None,
@@ -90,13 +95,12 @@ def license_matches(
     passages = documents.where(F.col(text).isNotNull()).select(
         F.col(id_).alias("doc_id"), F.posexplode(F.concat(F.array(body), F.coalesce(lines, F.array()))).alias("passage", "_p")
     )
-    words = passages.select("doc_id", "passage", F.regexp_extract_all("_p", F.lit(WORD), F.lit(0)).alias("_w"))
+    words = passages.select("doc_id", "passage", _once(F.regexp_extract_all("_p", F.lit(WORD), F.lit(0))).alias("_w"))
     least, most = min(low.values(), default=1), max(high.values(), default=0)
     words = words.where(F.size("_w") > least)  # n words hold fewer than n bigrams
-    pairs = F.zip_with(
-        F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)
-    )
-    grams = words.select("doc_id", "passage", F.array_distinct(pairs).alias("_b"))
+    n = F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = words.select("doc_id", "passage", _once(F.array_distinct(pairs)).alias("_b"))
     every = _strings(sorted({g for b in known.values() for g in b}))
     near = grams.where(F.size("_b").between(least, most)).where(F.arrays_overlap("_b", every))
     tried = F.array(

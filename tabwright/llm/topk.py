@@ -35,7 +35,7 @@ from tabwright.llm.registry import register, table
 
 SAMPLE, PIVOTS = 2048, 64
 BLOCK, QUERY_BLOCK = 4096, 1024
-LEAF, FANOUT = 64, 64
+LEAF, QUERY_LEAF, FANOUT = 64, 8, 64
 TOGETHER = 16  # query blocks in one visit, on average
 SALTS = 16
 NONE = -(1 << 63)
@@ -49,11 +49,11 @@ _BLOCKS = "block long, cells array<int>, centre binary, radius double, tree bina
 class Tree:
     """Rows in tree order and nodes (start, end, centre row, radius, children)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         self.size = float(np.abs(vectors).max(initial=0))
         points = vectors.astype(np.float64)
         order: list[np.ndarray] = []
-        self.root = _cover(points, np.arange(len(ids)), 0, order)
+        self.root = _cover(points, np.arange(len(ids)), 0, order, leaf)
         at = np.concatenate(order)
         self.ids, self.vectors = ids[at], vectors[at]
 
@@ -65,11 +65,11 @@ class Tree:
         return self
 
 
-def _cover(points: np.ndarray, rows: np.ndarray, start: int, order: list[np.ndarray]) -> tuple:
+def _cover(points: np.ndarray, rows: np.ndarray, start: int, order: list[np.ndarray], leaf: int) -> tuple:
     away = np.sqrt(((points[rows] - points[rows[0]]) ** 2).sum(axis=1))
     radius = float(away.max())
     children: list[np.ndarray] = []
-    if len(rows) > LEAF and radius > 0:
+    if len(rows) > leaf and radius > 0:
         left = rows
         while len(left) and len(children) < FANOUT:
             near = ((points[left] - points[left[0]]) ** 2).sum(axis=1) <= (radius / 2) ** 2
@@ -82,7 +82,7 @@ def _cover(points: np.ndarray, rows: np.ndarray, start: int, order: list[np.ndar
         return (start, start + len(rows), start, radius, ())
     nodes, at = [], start
     for own in children:
-        nodes.append(_cover(points, own, at, order))
+        nodes.append(_cover(points, own, at, order, leaf))
         at += len(own)
     return (start, at, start, radius, tuple(nodes))
 
@@ -200,12 +200,12 @@ def _celled(held):
     return run
 
 
-def _indexed(size: int):
+def _indexed(size: int, leaf: int):
     """Sorted rows of a partition as blocks of at most `size` rows."""
 
     def pack(number: int, rows: list[tuple]) -> pa.RecordBatch:
         ids = np.array([r[1] for r in rows], dtype=np.int64)
-        tree = Tree(ids, _padded([np.frombuffer(r[2], dtype="<i4") for r in rows]))
+        tree = Tree(ids, _padded([np.frombuffer(r[2], dtype="<i4") for r in rows]), leaf)
         centre = tree.vectors[0].astype("<f8").tobytes()
         values = [number, sorted({r[0] for r in rows}), centre, tree.root[3], pickle.dumps(tree)]
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.float64(), pa.binary())
@@ -278,12 +278,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_: str = "vec_id",
     held = spark.sparkContext.broadcast(_pivots(rows))
     celled = rows.mapInArrow(_celled(held), "cell int, vec_id long, v binary")
     sort = ("cell", "vec_id")
-    data = stored(celled.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_indexed(BLOCK), _BLOCKS), "topk-data")
+    data = stored(celled.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_indexed(BLOCK, LEAF), _BLOCKS), "topk-data")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = stored(asked.mapInArrow(_celled(held), "cell int, vec_id long, v binary"), "topk-asked")
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     queries = asked.repartitionByRange(parts, *sort).coalesce(parts).sortWithinPartitions(*sort)
-    queries = stored(queries.mapInArrow(_indexed(QUERY_BLOCK), _BLOCKS), "topk-queries")
+    queries = stored(queries.mapInArrow(_indexed(QUERY_BLOCK, QUERY_LEAF), _BLOCKS), "topk-queries")
     count = queries.count()
 
     # round 1: one data block for each cell of a query block

@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Each text is a set of five-word shingles weighted by their number of occurrences. Every shingle is a
-Poisson process whose rate is its weight; each arrival falls into one of 120 registers, a register keeps
-the shingle of its first arrival, and a shingle stops once its arrivals come later than every register's
-first. Two texts agree in a register with their probability Jaccard similarity. 24 bands of 5 registers let a
+Each text is a set of five-word shingles. Every shingle is a Poisson process; each arrival falls into one of
+120 registers, a register keeps the shingle of its first arrival, and a shingle stops once its arrivals come
+later than every register's first. All shingles have the same rate, however often a text repeats them, so two
+texts agree in a register with the Jaccard similarity of their sets, which is what links are verified by
+(rates by occurrences would lose near copies of which one repeats a passage). 24 bands of 5 registers let a
 pair at 0.8 pass with probability 1 - (1 - 0.8^5)^24 = 0.9999. Every link is verified on the shingle sets:
 Jaccard >= 0.8. Classes are the connected components of the links.
 
@@ -38,9 +39,9 @@ BANDS, ROWS = 24, 5
 CHUNK = 1024  # arrivals drawn at once
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, occurrences)."""
-    return np.unique(windows(words_of((text or "").encode())[3], n), return_counts=True)
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(windows(words_of((text or "").encode())[3], n))
 
 
 def signature(items: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
@@ -85,9 +86,9 @@ def _sketch(bands: int, rows: int, shingle: int):
         for batch in batches:
             keys, hashes = [], []
             for text in batch.column(1).to_pylist():
-                found, times = shingles(text, shingle)
+                found = shingles(text, shingle)
                 keys.append(_key(text, found))
-                owner = signature(found, times.astype(np.float64), bands * rows) if len(found) else None
+                owner = signature(found, np.ones(len(found)), bands * rows) if len(found) else None
                 hashes.append(band_hashes(owner, bands, rows) if owner is not None else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, type=pa.binary()), pa.array(hashes, type=pa.list_(pa.int64()))],
@@ -105,7 +106,7 @@ def _sets(held, shingle: int):
         for batch in batches:
             keys, packed = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, _ = shingles(text, shingle)
+                found = shingles(text, shingle)
                 if len(found) and bits[spot_of((key := _key(text, found)).hex(), doc_id)]:
                     keys.append(key)
                     packed.append(found.tobytes())

@@ -70,6 +70,17 @@ def test_a_family_whose_copies_are_alike_only_through_the_original(llm):
     assert found(df) == brute(rows)
 
 
+def test_near_copies_of_which_one_repeats_a_passage(llm):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        at = rng.randrange(180)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[at : at + 20] * 20))]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows) == sorted(((d, d - d % 2) for d, _ in rows), key=repr)
+
+
 def test_registers_agree_with_the_probability_jaccard():
     rng = np.random.default_rng(7)
     items = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))

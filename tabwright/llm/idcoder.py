@@ -241,7 +241,7 @@ def write_ids(documents: DataFrame, target: str, path: str, kind: str, end_id: i
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, kind).ids, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path, kind, added=True).ids, np.array([end_id], dtype="<u4").tobytes()
         part, number = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         held: list[bytes] = []

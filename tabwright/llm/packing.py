@@ -46,7 +46,7 @@ def pieces(documents: DataFrame, path: str, kind: str, end_id: int, sequence: in
     """Pieces of at most `sequence` tokens of every document, without their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path, kind).ids
+        ids_of = encoder(path, kind, added=True).ids
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []

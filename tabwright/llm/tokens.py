@@ -5,6 +5,10 @@ by one gives the ids of the whole text. Most pieces are Latin letters with punct
 the pre-tokenizers cut once more: such stems go straight to the library's BPE model, all other pieces
 through the whole tokenizer. A worker keeps the ids of pieces and stems it has seen; a store is emptied when it
 reaches KEPT entries, which changes the time and never the result.
+
+`added` says what the strings of added tokens (like '<|endoftext|>') in a text are: their tokens, as in the
+library's plain call, or ordinary text. In the first case a text with such a string goes whole through the library,
+because white space before it is grouped otherwise.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ PIECES = {
 }
 LETTERS = "A-Za-z" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
 STEM = re.compile(f"( ?[{LETTERS}]+)([-.,!?;:%&#$*|]*)")
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,12 +41,15 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """`ids(texts)` as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        marks = self.tokenizer.get_added_tokens_decoder().values() if added else ()
+        # a token that is looked for in the normalised text may come from any text
+        self.marked = re.compile("|".join("" if t.normalized else re.escape(t.content) for t in marks)).search if marks else None
         self.split, self.lower = PIECES[kind].findall, kind == "word"
         self.pieces: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
@@ -54,6 +61,16 @@ class PieceEncoder:
             self.spelling[32] = spell(" a")[0][0][:-1]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if self.marked(t)] if self.marked else []
+        if not whole:
+            return self._pieced(texts)
+        rest = sorted(set(range(len(texts))).difference(whole))
+        out = dict(zip(rest, self._pieced([texts[k] for k in rest]), strict=True))
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [out[k] for k in range(len(texts))]
+
+    def _pieced(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         some, size = [], 0
         for text in texts:
@@ -106,8 +123,8 @@ class PieceEncoder:
         return ids
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path, kind)
-    return _ENCODERS[path]
+def encoder(path: str, kind: str, added: bool = False) -> PieceEncoder:
+    """One encoder per worker process, file and meaning of added tokens."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = PieceEncoder(path, kind, added)
+    return _ENCODERS[path, added]

@@ -70,3 +70,26 @@ def test_files_hold_all_documents_in_order(llm, messy, prose, empty):
         rows = [tuple(r) for r in read_ids(llm, target).collect()]
         wanted = expected([(r["doc_id"], r["text"]) for r in df.collect()], "byte_bpe_50k.json")
         assert sorted(rows, key=lambda r: r[1]) == wanted
+
+
+MARKED = ["end of sample <|endoftext|> next", "<|endoftext|>", "a \n <|startoftext|><|endoftext|>  b", "<|ENDOFTEXT|> no mark", "plain  text"]
+
+
+@pytest.mark.parametrize("name,kind", PATHS)
+def test_strings_of_added_tokens_are_their_tokens(name, kind):
+    plain = Tokenizer.from_file(tokenizer_path(name))
+    got = encoder(tokenizer_path(name), kind, added=True).ids(MARKED)
+    assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in MARKED]
+
+
+def test_files_hold_the_ids_of_the_plain_call(llm):
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    wanted, start = [], 0
+    for doc, text in enumerate(MARKED):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        wanted.append((doc, start, ids))
+        start += len(ids)
+    target = scratch_path(llm, "ids")
+    write_ids(llm.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string"), target, tokenizer_path("byte_bpe_50k.json"), "byte", 2, 100)
+    rows = sorted((r["doc_id"], r["start"], list(r["ids"])) for r in read_ids(llm, target).collect())
+    assert rows == wanted and 50256 in rows[0][2]

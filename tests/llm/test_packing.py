@@ -64,6 +64,11 @@ def test_every_piece_has_its_place(prose, messy, empty):
     assert best_fit(empty, PATH).count() == 0
 
 
+def test_lengths_and_checksums_follow_the_plain_call(llm):
+    texts = ["end of sample <|endoftext|> next", "<|startoftext|>", "no mark", None]
+    verify(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8)
+
+
 def test_matches_may_be_sent_in_parts(llm):
     counts = {k: 40 - k for k in range(1, 30)}
     ranked = llm.createDataFrame([(n, r) for n, c in counts.items() for r in range(c)], "length long, _rank long")

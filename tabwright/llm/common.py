@@ -28,6 +28,11 @@ def text_digest(text: Column) -> Column:
     return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null"))
 
 
+def row_digest(text: Column) -> Column:
+    """128-bit digest of a text: tells rows with one doc_id apart; null for null."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str, name: str) -> DataFrame:
     """0-based position `out` of every row inside its group, by the given order.
 

@@ -19,7 +19,8 @@ A line goes when an earlier line, in the order (doc_id, line), has the same set
 
 Defined results: lines without words have no class and always stay; a null text has no lines; an empty text
 has one empty line; null doc_ids come first; repeated rows are lines like others, and of lines with the same
-doc_id and number exactly the first occurrence counts as earliest (so both stay). Other columns pass through.
+doc_id and number exactly the first occurrence counts as earliest (so both stay). Texts are rebuilt by doc_id and
+text digest, so rows with a repeated or null doc_id lose their own lines only. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bit_set, dense, digest16, spot, spot_of, stored, word_spans
+from tabwright.llm.common import bit_set, dense, digest16, row_digest, spot, spot_of, stored, word_spans
 from tabwright.llm.registry import register, table
 
 THRESHOLD = 0.8
@@ -85,17 +86,20 @@ def _prefix(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def _line_rows(held, t: float):
+    """The lines of all texts; further columns go to each line of their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            docs, lines, keys, sizes, maps, heads = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs, lines, keys, sizes, maps, heads, origin = [], [], [], [], [], [], []
+            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if text is None:
                     continue
                 n, line, code = _codes(text, counts)
                 size = np.bincount(line, minlength=n)
                 start = np.cumsum(size) - size
                 docs += [doc] * n
+                origin.append(np.full(n, at))
                 lines.append(np.arange(n))
                 sizes.append(size)
                 keys += [digest16(code[a : a + k]) if k else None for a, k in zip(start.tolist(), size.tolist(), strict=True)]
@@ -117,8 +121,9 @@ def _line_rows(held, t: float):
                     pa.array(np.concatenate(sizes).astype(np.int32)),
                     pa.array(np.concatenate(maps).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                    *[c.take(pa.array(np.concatenate(origin))) for c in batch.columns[2:]],
                 ],
-                names=[x.split()[0] for x in _LINES.split(", ")],
+                names=[*[x.split()[0] for x in _LINES.split(", ")], *batch.schema.names[2:]],
             )
 
     return run
@@ -247,10 +252,19 @@ def line_classes(
     documents: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, block: int = BLOCK, text: str = "text", id_: str = "doc_id"
 ) -> DataFrame:
     """One row per line: doc_id, line (from 0), class (first line with the same set), n_links, removed."""
+    return _classes(documents, False, threshold, hot, block, text, id_)
+
+
+def _classes(
+    documents: DataFrame, keyed: bool, threshold: float = THRESHOLD, hot: int = HOT, block: int = BLOCK, text: str = "text", id_: str = "doc_id"
+) -> DataFrame:
+    """`line_classes`, with the digest of the whole text in `row` where `keyed`."""
     spark = documents.sparkSession
     slim = documents.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = spark.sparkContext.broadcast(_counters(slim))
-    lines = stored(slim.mapInArrow(_line_rows(held, threshold), _LINES), "line-rows")
+    row = ["row"] if keyed else []
+    whole = slim.withColumn("row", row_digest(F.col("text"))) if keyed else slim
+    lines = stored(whole.mapInArrow(_line_rows(held, threshold), _LINES + ", row binary" * keyed), "line-rows")
     nodes = lines.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min(_earliest("doc_id", "line")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
     )
@@ -258,12 +272,12 @@ def line_classes(
     links = _links(slim, nodes, held, threshold, hot, block)
     found = nodes.select("key", "f", "id").join(links.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     found = found.select(F.col("key").alias("_key"), "f", F.coalesce("links", F.lit(0)).alias("n_links"), F.col("early"))
-    out = lines.select("doc_id", "line", "key").join(found, F.col("key") == F.col("_key"), "left")
+    out = lines.select("doc_id", "line", "key", *row).join(found, F.col("key") == F.col("_key"), "left")
     here = _earliest("doc_id", "line")
     later = (here > F.col("f")) | F.coalesce(F.col("early") < F.col("f"), F.lit(False))
     return out.select(
         "doc_id", "line", F.col("f.doc").alias("class_doc"), F.col("f.line").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(later, F.lit(False)).alias("removed"),
+        F.coalesce(later, F.lit(False)).alias("removed"), *row,
     )
 
 
@@ -317,9 +331,11 @@ def without_repeated_lines(documents: DataFrame, text: str = "text", id_: str =
     """The documents without their removed lines; n_chars, where there is one, follows the text."""
     own = [f"c{k}" for k in range(len(documents.columns))]
     at, key = documents.columns.index(text), documents.columns.index(id_)
-    classes = line_classes(documents, text=text, id_=id_, **options)
-    gone = classes.where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))  # lines of one text
-    joined = documents.toDF(*own).join(gone, F.col(own[key]).eqNullSafe(F.col("doc_id")), "left")
+    classes = _classes(documents, True, text=text, id_=id_, **options)
+    # lines of one text: rows with equal doc_id and text lose the same lines, others have their own
+    gone = classes.where("removed").groupBy("doc_id", "row").agg(F.collect_set("line").alias("_gone"))
+    same = F.col(own[key]).cast("long").eqNullSafe(F.col("doc_id")) & (row_digest(F.col(own[at])) == F.col("row"))
+    joined = documents.toDF(*own).join(gone, same, "left")
     kept = F.filter(F.split(F.col(own[at]), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     joined = joined.withColumn(own[at], F.when(F.col("_gone").isNull(), F.col(own[at])).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in documents.columns:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bit_set, digest16, mix64, spot, spot_of, stored, windows, words_of
+from tabwright.llm.common import bit_set, digest16, mix64, row_digest, spot, spot_of, stored, windows, words_of
 from tabwright.llm.components import components
 from tabwright.llm.registry import register, table
 
@@ -91,8 +91,8 @@ def _sketch(bands: int, rows: int, shingle: int):
                 owner = signature(found, np.ones(len(found)), bands * rows) if len(found) else None
                 hashes.append(band_hashes(owner, bands, rows) if owner is not None else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, type=pa.binary()), pa.array(hashes, type=pa.list_(pa.int64()))],
-                names=["doc_id", "key", "bands"],
+                [batch.column(0), batch.column(2), pa.array(keys, type=pa.binary()), pa.array(hashes, type=pa.list_(pa.int64()))],
+                names=["doc_id", "row", "key", "bands"],
             )
 
     return run
@@ -145,17 +145,39 @@ def near_duplicates(
     id_: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, class_id) of every document."""
+    return _classes(documents, similarity, shingle, bands, rows, text, id_).select("doc_id", "class_id")
+
+
+def _classes(
+    documents: DataFrame,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    text: str = "text",
+    id_: str = "doc_id",
+) -> DataFrame:
+    """(doc_id, row, class_id, first) of every document: `row` is the digest of its text, `first` the (doc_id missing,
+    doc_id, row) that stands for its class, null for texts that are alone by definition."""
     slim = documents.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = stored(slim.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, key binary, bands array<long>"), "neardup-sketches")
-    nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    whole = slim.withColumn("row", row_digest(F.col("text")))
+    sketched = stored(whole.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, row binary, key binary, bands array<long>"), "neardup-sketches")
+    nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.min(_place()).alias("first"), F.first("bands").alias("bands")
+    )
     nodes = stored(nodes, "neardup-nodes")
     roots = _roots(slim, nodes, similarity, shingle)
-    classes = nodes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left")
-    classes = classes.select("key", "rep", F.coalesce("root", "key").alias("root"))
-    named = classes.groupBy("root").agg(F.min("rep").alias("class_id")).withColumnRenamed("root", "_root")
-    named = classes.join(named, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "class_id")
-    out = sketched.select("doc_id", "key").join(named, F.col("key") == F.col("_key"), "left")
-    return out.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    classes = nodes.select("key", "rep", "first").join(roots, F.col("key") == F.col("node"), "left")
+    classes = classes.select("key", "rep", "first", F.coalesce("root", "key").alias("root"))
+    named = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("first")).withColumnRenamed("root", "_root")
+    named = classes.drop("first").join(named, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "class_id", "first")
+    out = sketched.select("doc_id", "row", "key").join(named, F.col("key") == F.col("_key"), "left")
+    return out.select("doc_id", "row", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "first")
+
+
+def _place() -> Column:
+    """Order of documents inside a class: by doc_id, missing ones last, then by the digest of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
 
 
 def _roots(slim: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -217,17 +239,20 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; its columns are unchanged.
+    """One document of each class, the one with the smallest doc_id (missing ones last); its columns are unchanged.
 
-    Repeated rows with that doc_id collapse to one; documents without doc_id stay.
+    Rows are told apart by doc_id and text; those with equal ones collapse to one. Null and empty texts stay.
     """
     own = [f"c{k}" for k in range(len(documents.columns))]
-    at = documents.columns.index(options.get("id_", "doc_id"))
-    classes = near_duplicates(documents, **options)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = documents.toDF(*own).join(gone, F.col(own[at]) == F.col("_gone"), "left_anti")
-    if not classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates()  # only where a doc_id occurs again are whole rows compared
+    at, body = (documents.columns.index(options.get(name, default)) for name, default in (("id_", "doc_id"), ("text", "text")))
+    classes = stored(_classes(documents, **options).where(F.col("first").isNotNull()), "neardup-classes")
+    gone = classes.where(~_place().eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    same = F.col(own[at]).cast("long").eqNullSafe(F.col("_gone")) & (row_digest(F.col(own[body])) == F.col("_row"))
+    kept = documents.toDF(*own).join(gone, same, "left_anti")
+    if not classes.groupBy("doc_id", "row").count().where("count > 1").isEmpty():
+        # only where a row occurs again are rows compared
+        texts = F.col(own[body]).isNotNull() & (F.col(own[body]) != "")
+        kept = kept.where(texts).dropDuplicates([own[at], own[body]]).unionAll(kept.where(~texts))
     return kept.toDF(*documents.columns)
 
 

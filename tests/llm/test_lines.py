@@ -59,3 +59,11 @@ def test_texts_lose_later_lines(llm):
     ).selectExpr("'x' as line", "*", "'y' as removed")
     rows = {r["doc_id"]: (r["text"], r["n_chars"], r["line"], r["removed"]) for r in without_repeated_lines(df).collect()}
     assert rows == {1: ("a b c d e\nfirst", 15, "x", "y"), 2: ("new\n", 4, "x", "y"), 3: (None, None, "x", "y"), 4: ("", 0, "x", "y")}
+
+
+def test_rows_with_one_doc_id_lose_their_own_lines_only(llm):
+    rows = [(1, "common line of some words\nfirst"), (2, "intro of two\nfirst"), (2, "another start here\nunique words stay")]
+    rows += [(None, "null one begins\nsecond of null one"), (None, "quite other text\nnull one begins"), (None, None)]
+    kept = {(r["doc_id"], r["text"]) for r in without_repeated_lines(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # nulls come first: each of the null rows has number 0 or 1 for the shared line, the later number goes
+    assert kept == {*rows[:1], (2, "intro of two"), rows[2], rows[3], (None, "quite other text"), (None, None)}

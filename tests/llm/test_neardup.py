@@ -70,6 +70,16 @@ def test_a_family_whose_copies_are_alike_only_through_the_original(llm):
     assert found(df) == brute(rows)
 
 
+def test_rows_with_one_doc_id_are_told_apart(llm):
+    rng = random.Random(12)
+    alone, twice, null = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(3))
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(twice), "a"), (5, near(twice), "b"), (5, " ".join(alone), "c"), (5, None, "d")]
+    rows += [(None, " ".join(null), "e"), (None, near(null), "f"), (None, None, "g"), (None, "", "h")]
+    kept = sorted(r["tag"] for r in without_near_duplicates(llm.createDataFrame(rows, "doc_id long, text string, tag string")).collect())
+    assert [t for t in kept if t not in "ef"] == ["a", "c", "d", "g", "h"] and len(kept) == 6
+
+
 def test_near_copies_of_which_one_repeats_a_passage(llm):
     rng = random.Random(9)
     rows = []

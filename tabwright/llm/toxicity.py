@@ -13,8 +13,9 @@ sum p exp(lambda s) = 1 over the clean class and K comes from the segments of al
 evidence of a text adds max(0, -ln E) over its segments. A logistic curve over the evidence, fitted on
 counts in evidence bins, turns it into a probability.
 
-The table of scored tokens is the only broadcast; `max_terms` bounds it (the most significant stay), a
-documented parameter of the classifier. Lang, source and doc_id are never inputs of a score.
+Every form that passes `z` counts, however many there are: the table of scored forms is broadcast in parts of PART
+forms (32 MB). With several parts each but the last takes a pass of its own over the texts and leaves the scores
+found so far; the driver holds 16 bytes per form. Lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no tokens and get the curve's value at evidence 0; rows with a
 null label are not learnt from; of several labels for a doc_id each counts; without labels, or with labels
@@ -23,6 +24,7 @@ of one class, every score is that class's share (0 without any). Other columns p
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -36,10 +38,11 @@ from tabwright.llm.common import bit_set, spot, spot_of, stored, text_digest, wo
 from tabwright.llm.registry import register, table
 
 FOLDS = 5
-MAX_TERMS = 50_000
+PART = 2_000_000  # forms in one broadcast: two arrays of 16 MB
 BINS = 400  # of evidence, for the curve
 PREFIXES = range(4, 10)  # bytes
 
+_MARKS = "_mark_at array<int>, _mark_score array<double>"
 SEGMENTS = "n_tokens long, evidence double, seg_from array<int>, seg_to array<int>, seg_score array<double>"
 
 
@@ -74,18 +77,28 @@ def maximal_segments(position: list[int], score: list[float], other: float) -> l
 class Model:
     """Scores of token forms (by hash), and what turns segment scores into probabilities."""
 
-    def __init__(self, terms: dict[int, float]):
-        self.hashes = np.array(sorted(terms), dtype=np.uint64)
-        self.values = np.array([terms[h] for h in self.hashes.tolist()])
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, part: int = PART):
+        self.hashes, self.values, self.size = hashes, values, part  # in the order of the hashes
         self.other, self.lam, self.k, self.slope, self.intercept = -1.0, 1.0, 1.0, 0.0, 0.0
 
-    def found(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-        """(tokens, positions of scored tokens, their scores)."""
+    def parts(self) -> list[Model]:
+        """The same model with at most `size` forms each."""
+        out = []
+        for at in range(0, max(len(self.hashes), 1), self.size):
+            own = copy.copy(self)
+            own.hashes, own.values = self.hashes[at : at + self.size], self.values[at : at + self.size]
+            out.append(own)
+        return out
+
+    def found(self, text: str | None, where: list[int] | None = None, scores: list[float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(tokens, positions of scored tokens, their scores), beside those found already."""
         count, forms = token_forms(text)
-        if not len(self.hashes) or not count:
+        if not count:
             return count, np.zeros(0, dtype=np.int64), np.zeros(0)
         best = np.full(count, -np.inf)
-        for owners, hashes in forms:
+        if where:
+            best[where] = scores
+        for owners, hashes in forms if len(self.hashes) else ():
             place = np.searchsorted(self.hashes, hashes)
             place[place == len(self.hashes)] = 0
             hit = self.hashes[place] == hashes
@@ -93,6 +106,33 @@ class Model:
         where = np.flatnonzero(best > -np.inf)
         return count, where, best[where]
 
+    def found_in(self, batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """`found` of the texts in column `at`, after the passes of earlier parts."""
+        marks = [batch.column(c).to_pylist() for c in ("_mark_at", "_mark_score")] if "_mark_at" in batch.schema.names else None
+        for k, text in enumerate(batch.columns[at]):
+            yield self.found(text.as_py(), *([m[k] for m in marks] if marks else ()))
+
+
+def _prepared(documents: DataFrame, model: Model, at: int) -> tuple[DataFrame, Model]:
+    """The documents after the passes of all parts but the last, and the last part."""
+    *earlier, last = model.parts()
+    for part in earlier:
+        held = documents.sparkSession.sparkContext.broadcast(part)
+        slim = documents.drop("_mark_at", "_mark_score")
+        schema = StructType([*slim.schema.fields, *StructType.fromDDL(_MARKS).fields])
+        documents = stored(documents.mapInArrow(_marker(held, at, len(slim.columns)), schema), "toxicity-marks")
+    return documents, last
+
+
+def _marker(held, at: int, own: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(held.value.found_in(batch, at))
+            marks = [pa.array([f[j] for f in found], type=pa.list_(kind)) for j, kind in ((1, pa.int32()), (2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *marks], names=[*batch.schema.names[:own], "_mark_at", "_mark_score"])
+
+    return run
+
 
 def token_forms(text: str | None) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
     """(tokens, [(token numbers, hashes of one form)]): whole words, then prefixes of words that are longer."""
@@ -104,7 +144,7 @@ def token_forms(text: str | None) -> tuple[int, list[tuple[np.ndarray, np.ndarra
     return len(starts), forms
 
 
-def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float = 0.5, max_terms: int = MAX_TERMS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float = 0.5, part: int = PART) -> Model:
     """Learn from all labelled rows outside fold 0."""
     known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_label_id"), (F.col("toxic") == 1).alias("toxic"))
     slim = documents.where((fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
@@ -120,7 +160,7 @@ def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float =
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
-        model = Model({})
+        model = Model(np.zeros(0, dtype=np.uint64), np.zeros(0))
         model.intercept = 40.0 if bad else -40.0  # the only class there is
         return model
     counts = train.select("toxic", "text").mapInArrow(_form_counts, "h long, y1 long, y0 long").groupBy("h")
@@ -132,20 +172,24 @@ def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float =
     a0 = floor * v + v / 100
     a1, b1 = F.col("y1") + F.col("a"), F.col("y0") + F.col("a")
     odds = F.log(a1 / (F.lit(n1 + a0) - a1)) - F.log(b1 / (F.lit(n0 + a0) - b1))
-    ranked = (
-        counts.withColumn("a", prior)
-        .select("h", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / b1)).alias("z"))
-        .where(F.col("z") >= z)
-        .orderBy(F.desc("z"), "h")
-        .limit(max_terms)
-        .collect()
-    )
-    model = Model({r["h"] & (2**64 - 1): r["odds"] for r in ranked})
+    scored = counts.withColumn("a", prior).select("h", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / b1)).alias("z"))
+    model = Model(*_terms(stored(scored.where(F.col("z") >= z).select("h", "odds"), "toxicity-terms"), part), part)
     _background(model, train)
     _calibrate(model, train)
     return model
 
 
+def _terms(terms: DataFrame, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, values) in the order of the hashes; they come to the driver as packed arrays, a part at a time."""
+    parts, held = -(-terms.count() // part) or 1, []
+    for k in range(parts):
+        own = terms.where(F.pmod("h", F.lit(parts)) == k).toArrow()
+        held.append((own.column("h").to_numpy().view(np.uint64), own.column("odds").to_numpy()))
+    hashes, values = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(hashes)
+    return hashes[order], values[order]
+
+
 def _among(held):
     """Rows whose doc_id is in the bit set; texts are passed on untouched."""
 
@@ -171,13 +215,13 @@ def _form_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _background(model: Model, train: DataFrame) -> None:
     """Score of all other tokens, and lambda, from how often each class has each score."""
-    held = train.sparkSession.sparkContext.broadcast(model)
+    marked, last = _prepared(train.select("toxic", "text"), model, 1)
+    held = train.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[tuple, int] = {}
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count, _, scores = held.value.found(text)
+            for toxic, (count, _, scores) in zip(batch.column(0).to_pylist(), held.value.found_in(batch, 1), strict=True):
                 total[toxic, 0.0] = total.get((toxic, 0.0), 0) + count - len(scores)
                 for s in np.round(scores * 8) / 8:
                     total[toxic, float(s)] = total.get((toxic, float(s)), 0) + 1
@@ -187,7 +231,7 @@ def _background(model: Model, train: DataFrame) -> None:
                 [pa.array(c, type=k) for c, k in zip(columns, (pa.bool_(), pa.float64(), pa.int64()), strict=True)], names=["toxic", "s", "n"]
             )
 
-    seen = train.select("toxic", "text").mapInArrow(run, "toxic boolean, s double, n long")
+    seen = marked.mapInArrow(run, "toxic boolean, s double, n long")
     rows = {(r["toxic"], r["s"]): r["n"] for r in seen.groupBy("toxic", "s").agg(F.sum("n").alias("n")).collect()}
     size = {t: sum(n for (c, _), n in rows.items() if c == t) for t in (True, False)}
     plain = [(rows.get((t, 0.0), 0) + 1) / (size[t] + 1) for t in (True, False)]
@@ -251,23 +295,24 @@ def segments(documents: DataFrame, model: Model, text: str = "text") -> DataFram
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     documents = documents.drop(*names)
     at = documents.columns.index(text)
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    fields = documents.schema.fields
+    documents, last = _prepared(documents, model, at)
+    held = documents.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
             rows = []
-            for text in batch.columns[at]:
-                count, where, scores = model.found(text.as_py())
+            for count, where, scores in model.found_in(batch, at):
                 found = maximal_segments(where.tolist(), scores.tolist(), model.other)
                 chance = math.log(model.k * count) if count else 0.0
                 evidence = sum(max(0.0, model.lam * s - chance) for _, _, s in found)
                 rows.append((count, evidence, [a for a, _, _ in found], [b for _, b, _ in found], [s for _, _, s in found]))
             kinds = (pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()))
             made = [pa.array([r[j] for r in rows], type=kind) for j, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *made], names=[*batch.schema.names[: len(fields)], *names])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, *StructType.fromDDL(SEGMENTS).fields]))
+    return documents.mapInArrow(run, StructType([*fields, *StructType.fromDDL(SEGMENTS).fields]))
 
 
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:

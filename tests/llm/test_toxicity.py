@@ -63,6 +63,25 @@ def test_held_out_labels_are_never_used(llm):
     assert a.values.tolist() == b.values.tolist() and (a.slope, a.intercept, a.k) == (b.slope, b.intercept, b.k)
 
 
+def test_every_form_that_passes_counts(llm):
+    # 12 toxic and 100 clean texts of 60,000 words each, all of them equally telling
+    words = "concat_ws(' ', transform(sequence(0, 59999), k -> concat(lower(hex(k)), {}))) as text"
+    docs = llm.range(112, numPartitions=3).selectExpr("id as doc_id", words.format("if(id < 12, 'q', 'z')"), "cast(id < 12 as int) as toxic")
+    docs = docs.selectExpr("doc_id", "concat(text, ' t', doc_id) as text", "toxic")
+    model = fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert len(model.hashes) >= 60_000
+    assert len(model.found(" ".join(f"{k:x}q" for k in range(60_000)))[1]) == 60_000
+
+
+def test_parts_of_the_table_change_nothing(llm):
+    docs, labels, _ = corpus(llm, 300)
+    whole, cut = fit(docs, labels), fit(docs, labels, part=3)
+    assert len(cut.parts()) > 2 and whole.hashes.tolist() == cut.hashes.tolist()
+    assert (whole.other, whole.lam, whole.k, whole.slope) == (cut.other, cut.lam, cut.k, cut.slope)
+    a, b = (sorted(tuple(r) for r in score(docs, m).select("doc_id", "score", "seg_from", "seg_score").collect()) for m in (whole, cut))
+    assert a == b
+
+
 def test_odd_rows(llm, messy, empty):
     docs, labels, _ = corpus(llm, 300)
     model = fit(docs, labels.selectExpr("doc_id", "if(doc_id % 10 = 3, null, toxic) as toxic", "1 as text"))

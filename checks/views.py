@@ -13,6 +13,15 @@ DERIVED = {
                CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS o_orderdate,
                CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS o_orderpriority
         FROM orders""",
+    "orders_holes": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice / 1000 END AS price,
+               CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS DOUBLE) / 10 END AS customer,
+               CAST(o_orderkey % 97 AS DOUBLE) AS slot
+        FROM orders""",
+    "part_classes": """
+        SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'a' WHEN p_partkey % 10 < 4 THEN 'b' ELSE 'c' END AS class,
+               CAST(p_size AS DOUBLE) AS size, p_retailprice / 10 AS price, p_brand
+        FROM part""",
     "events_dup": """
         SELECT user_id, event_type, value, props FROM events
         UNION ALL

@@ -271,6 +271,12 @@ def _tfidf(df, step, tables):
     return tfidf_columns(df, step)
 
 
+def _iterative(df, step, tables):
+    from tabwright.operators.imputation import apply_iterative  # it is built on this module
+
+    return apply_iterative(df, step)
+
+
 _APPLY = {
     "drop_duplicates": _drop_duplicates,
     "drop": _drop,
@@ -282,4 +288,5 @@ _APPLY = {
     "codes": _codes,
     "scale": _scale,
     "tfidf": _tfidf,
+    "iterative": _iterative,
 }

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -334,7 +338,13 @@ class Profile:
                 for group in batches(list(itertools.combinations(varying, 2)), PAIRS_PER_JOB):
                     pairs |= _scaled_products(self.df, group, self.by_scan)
         rest = [p for p in itertools.combinations(columns, 2) if p not in pairs]
-        for group in batches(rest, 500):
+        usable = {c for c in columns if self.by_scan[c].get("std_pop") and math.isfinite(self.by_scan[c]["std_pop"])}
+        masked = [c for c in dict.fromkeys(c for p in rest for c in p) if c in usable]
+        if len(masked) > 1:
+            found = _masked_correlation(self.df, masked, self.by_scan)
+            pairs |= {p: found[p] for p in rest if p in found}
+        # columns with infinite values, and pairs whose shared rows hardly vary
+        for group in batches([p for p in rest if p not in pairs], 500):
             pairs |= _pairwise_correlation(self.df, group)
         place = {c: i for i, c in enumerate(columns)}
         return [
@@ -511,6 +521,41 @@ def _dense_correlation(df: DataFrame, columns: list[str]) -> dict:
     }
 
 
+def _masked_correlation(df: DataFrame, columns: list[str], facts: dict[str, dict]) -> dict:
+    """Columns with nulls: counts, sums, squares and products over the rows that both columns have, as matrix products
+    of blocks of rows; k x k sums per task are shuffled. Pairs that hardly vary there are left out.
+    """
+    k = len(columns)
+    mean, spread = (np.array([facts[c][f] for c in columns], dtype=float) for f in ("mean", "std_pop"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            z = (np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - mean) / spread
+            there = ~np.isnan(z)
+            z, there = np.where(there, z, 0.0), there.astype(float)
+            total += np.stack([there.T @ there, z.T @ there, (z * z).T @ there, z.T @ z])
+        cells = [pa.array(t.ravel()) for t in total]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), *cells], names=["at", "n", "s", "q", "p"])
+
+    numbers = df.select(*[named(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = numbers.mapInArrow(run, "at long, n double, s double, q double, p double").groupBy("at").agg(*[F.sum(c).alias(c) for c in "nsqp"])
+    n, s, q, p = total = np.zeros((4, k, k))
+    for r in sums.collect():  # k x k rows
+        total[:, r["at"] // k, r["at"] % k] = r["n"], r["s"], r["q"], r["p"]
+    found = {}
+    for i, j in itertools.combinations(range(k), 2):
+        if not n[i, j]:
+            found[columns[i], columns[j]] = None
+            continue
+        m = n[i, j]
+        mx, my, qx, qy = s[i, j] / m, s[j, i] / m, q[i, j] / m, q[j, i] / m
+        vx, vy = qx - mx * mx, qy - my * my
+        if vx > 1e-6 * qx and vy > 1e-6 * qy:
+            found[columns[i], columns[j]] = float((p[i, j] / m - mx * my) / math.sqrt(vx * vy))
+    return found
+
+
 def _pairwise_correlation(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
     """Columns with nulls: each pair is aggregated over the rows where both are present."""
     tagged = [

@@ -16,6 +16,9 @@ from tabwright.functions.text import grams, tokens
 from tabwright.session import local_table
 
 MAX_TERMS, MIN_DOCS = 100, 2
+LEADING = 2_000  # terms that are counted exactly
+TRACKED = 98_304  # terms that the sketch holds
+SKETCH_ERROR = 3.5 * 0.75  # a sketch of m terms is wrong by at most this share / m of all occurrences
 
 
 def _grams(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -43,26 +46,35 @@ def term_counts(df: DataFrame, column: str) -> DataFrame:
 def vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The most frequent terms that occur in enough documents; ties by term.
 
-    Document counts are needed for the leading terms only. If too few of those occur in
-    enough documents, more leading terms are looked at until the answer is certain.
+    One pass summarises all grams in a mergeable heavy-hitter sketch of fixed size, a second counts the leading ones
+    exactly. The sketch bounds what any other term can reach; where that leaves a doubt, as in flat
+    or small corpora, all terms are counted by one shuffle.
     """
-    listed = _grams(df.select(named(column)), column, "_grams")
-    looked_at = 4 * max_terms
-    while True:
-        leading = _corpus_counts(listed).orderBy(F.desc("corpus_count"), "term").limit(looked_at).collect()
-        terms = [r["term"] for r in leading]
-        held = listed.select(F.filter("_grams", lambda g: g.isin(terms)).alias("_grams"))
-        docs = {r["term"]: r["doc_count"] for r in _doc_counts(held).collect()} if terms else {}
-        rows = [
-            {"term": r["term"], "corpus_count": r["corpus_count"], "doc_count": docs[r["term"]]}
-            for r in leading
-            if docs[r["term"]] >= min_docs
-        ]
-        if len(rows) >= max_terms or len(leading) < looked_at:
-            return local_table(df.sparkSession, rows[:max_terms], "term string, corpus_count bigint, doc_count bigint")
-        if leading[-1]["corpus_count"] < min_docs:  # no later term can qualify
-            return local_table(df.sparkSession, rows, "term string, corpus_count bigint, doc_count bigint")
-        looked_at *= 4
+    shape = "term string, corpus_count bigint, doc_count bigint"
+    listed = _grams(df.select(named(column)), column, "_grams").select("_grams")
+    held = max(LEADING, 8 * max_terms)
+    sketch = F.expr(f"approx_top_k(_gram, {held}, {max(TRACKED, 24 * held)})")
+    top = listed.select(F.explode("_grams").alias("_gram")).agg(sketch.alias("top"), F.count("_gram").alias("n")).first()
+    if not top["n"]:
+        return local_table(df.sparkSession, [], shape)
+    leading = [(r["item"], r["count"]) for r in top["top"] if r["item"] is not None]
+    if leading:
+        terms = [t for t, _ in leading]
+        some = listed.select(F.filter("_grams", lambda g: g.isin(terms)).alias("_grams"))
+        marks = F.concat(
+            F.transform("_grams", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+            F.transform(F.array_distinct("_grams"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
+        )
+        counted = some.select(F.inline(marks)).groupBy("term").agg(F.sum("n").alias("corpus_count"), F.sum("d").alias("doc_count"))
+        rows = [r.asDict() for r in counted.where(F.col("doc_count") >= min_docs).collect()]  # at most `held`
+        rows = sorted(rows, key=lambda r: (-r["corpus_count"], r["term"]))[:max_terms]
+        # twice the sketch's error for terms it does not name, the last estimate for those cut off
+        beyond = max(2 * SKETCH_ERROR / max(TRACKED, 24 * held) * top["n"], leading[-1][1] if len(leading) == held else 0)
+        if len(rows) == max_terms and rows[-1]["corpus_count"] > beyond:
+            return local_table(df.sparkSession, rows, shape)
+    every = term_counts(df, column).where(F.col("doc_count") >= min_docs)
+    rows = every.orderBy(F.desc("corpus_count"), "term").limit(max_terms).select("term", "corpus_count", "doc_count").collect()
+    return local_table(df.sparkSession, [r.asDict() for r in rows], shape)
 
 
 def fit_tfidf(df: DataFrame, column: str, n_docs: int) -> dict | None:

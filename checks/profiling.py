@@ -493,7 +493,7 @@ finding(
     ranked AS (SELECT *, row_number() OVER (PARTITION BY strength ORDER BY abs(correlation) DESC, i, j) AS r FROM pairs)
     SELECT 'correlations' AS category, CASE WHEN strength = 'strong' THEN 'high' ELSE 'medium' END AS severity,
     count(*) || ' ' || strength || 'ly correlated column pair(s)' AS message,
-    CASE WHEN strength = 'strong' THEN string_agg(col1 || ' ~ ' || col2, ', ' ORDER BY r) FILTER (r <= 5) ELSE '' END AS details
+    CASE WHEN strength = 'strong' THEN string_agg(col1 || ' ~ ' || col2, ', ' ORDER BY r) ELSE '' END AS details
     FROM ranked GROUP BY strength""",
 )
 

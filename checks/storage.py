@@ -331,15 +331,16 @@ def url_parts(spark, sf):
 
 @register(
     "scan_files",
-    """SELECT 'customer' AS kind, count(DISTINCT c_nationkey) AS files, 0::BIGINT AS refused FROM customer""",
+    """SELECT DISTINCT c_nationkey, CASE WHEN c_nationkey = 3 THEN 'php_script' ELSE 'none' END AS problem, c_nationkey = 5 AS suspicious
+    FROM customer""",
 )
 def scan_files_query(spark, sf):
-    """Scan the CSV files of customers, one folder per nation."""
+    """Scan the CSV files of customers, one folder per nation; one nation's begin like a script, one's hold code in the middle."""
     path = scratch_path(spark, "scan")
-    _customer(spark, sf).select("c_nationkey", "c_name").repartition("c_nationkey").write.partitionBy("c_nationkey").csv(path)
-    found = scan_files(spark, path)
-    return found.agg(
-        F.lit("customer").alias("kind"),
-        F.count_if(F.col("path").endswith(".csv")).alias("files"),
-        F.count_if(F.col("path").endswith(".csv") & F.col("problem").isNotNull()).alias("refused"),
-    ).select("kind", "files", "refused")
+    text = F.when(F.col("c_nationkey") == 3, F.concat(F.lit("<?php "), "c_name")).otherwise(
+        F.when(F.col("c_nationkey") == 5, F.concat("c_name", F.lit(" eval(1)"))).otherwise(F.col("c_name"))
+    )
+    _customer(spark, sf).select("c_nationkey", text.alias("c_name")).repartition("c_nationkey").write.partitionBy("c_nationkey").csv(path)
+    found = scan_files(spark, path).where(F.col("path").endswith(".csv"))
+    nation = F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("c_nationkey")
+    return found.select(nation, F.coalesce("problem", F.lit("none")).alias("problem"), "suspicious").distinct()

@@ -193,12 +193,11 @@ def group_rare(spark, sf):
 @register(
     "frequency_encode",
     f"""WITH t AS ({MISSING}) SELECT t.o_orderkey, t.o_orderpriority, f.n AS o_orderpriority_freq FROM t LEFT JOIN
-    (SELECT o_orderpriority, count(*) AS n FROM t GROUP BY 1) f ON t.o_orderpriority = f.o_orderpriority
-    WHERE t.o_orderpriority IS NOT NULL""",
+    (SELECT o_orderpriority, count(*) AS n FROM t GROUP BY 1) f ON t.o_orderpriority = f.o_orderpriority""",
 )
 def frequency_encode(spark, sf):
     df = load(spark, sf, "orders_missing").select("o_orderkey", "o_orderpriority")
-    return tr.frequency_encode(df, "o_orderpriority").where("o_orderpriority is not null")
+    return tr.frequency_encode(df, "o_orderpriority")
 
 
 @register(
@@ -373,12 +372,12 @@ for mode, method in (("minimal", "minmax"), ("balanced", "standard"), ("aggressi
     f"""WITH t AS ({MISSING}), f AS (SELECT * REPLACE (coalesce(o_orderpriority, (SELECT o_orderpriority FROM t
       WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority) FROM t)
     SELECT o_orderkey, {scaled('o_custkey', 'standard', 'f')}, o_totalprice, {date_sql('o_orderdate')},
-    {flags('o_orderpriority', PRIORITY)} FROM f WHERE o_totalprice IS NOT NULL""",
+    {flags('o_orderpriority', PRIORITY)} FROM f""",
     "o_custkey",
     6,
 )
 def auto_target(spark, sf):
-    return auto_preprocess(load(spark, sf, "orders_missing"), "o_totalprice").where("o_totalprice is not null")
+    return auto_preprocess(load(spark, sf, "orders_missing"), "o_totalprice")
 
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

@@ -24,6 +24,7 @@ OUTLIER_PCT, SEVERE_OUTLIER_PCT = 10, 20
 SEVERE_BALANCE, LOW_BALANCE = 0.3, 0.5
 MANY_VALUES, RARE_VALUES = 50, 100
 PRIORITIES = ["critical", "high", "medium", "low"]
+LAST = 1_000_000  # item of a suggestion that follows those for single columns
 
 
 def _finding(rule, category, severity, message, item=None, details=None):
@@ -48,10 +49,10 @@ def _suggestion(rule, item, action, reason, priority, how):
     ]
 
 
-def names_in_order(limit: int | None = None):
+def names_in_order():
     """Column names of a group joined in column order (bounded by the width of the table)."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"])
-    return F.array_join(F.slice(listed, 1, limit) if limit else listed, ", ")
+    return F.array_join(listed, ", ")
 
 
 class Insights:
@@ -91,7 +92,7 @@ class Insights:
     def missing_suggestions(self) -> DataFrame:
         by_column = self.p.missing_by_column()
         rank = F.row_number().over(Window.orderBy("position"))  # one row per column
-        drops = by_column.where("severity = 'critical'").withColumn("item", rank).where("item <= 3")
+        drops = by_column.where("severity = 'critical'").withColumn("item", rank)
         drop = drops.select(
             *_suggestion(
                 1,
@@ -105,7 +106,7 @@ class Insights:
         fills = by_column.where("severity in ('high', 'moderate')").groupBy("severity").count()
         fill = fills.select(
             F.lit(1).alias("rule"),
-            F.when(F.col("severity") == "high", 4).otherwise(5).alias("item"),
+            F.when(F.col("severity") == "high", LAST).otherwise(LAST + 1).alias("item"),  # behind all dropped columns
             F.when(F.col("severity") == "high", "impute columns with 20-50% missing values")
             .otherwise("impute columns with 5-20% missing values")
             .alias("action"),
@@ -204,7 +205,7 @@ class Insights:
         if pairs.isEmpty():
             return self._rows((5, 0, "correlations", "info", "no correlation above 0.7", ""))
         listed = F.transform(
-            F.slice(F.array_sort(F.collect_list(F.struct((-F.abs("correlation")).alias("size"), "i", "j", "col1", "col2"))), 1, 5),
+            F.array_sort(F.collect_list(F.struct((-F.abs("correlation")).alias("size"), "i", "j", "col1", "col2"))),
             lambda x: F.concat(x["col1"], F.lit(" ~ "), x["col2"]),
         )
         grouped = pairs.groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ", ").alias("top"))
@@ -272,10 +273,10 @@ class Insights:
         totals = listed.agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(severe).alias("n_severe"),
-            names_in_order(5).alias("columns"),
+            names_in_order().alias("columns"),
         ).where("n > 0")
         severe_names = listed.where(severe).groupBy().agg(
-            F.count(F.lit(1)).alias("n"), names_in_order(3).alias("columns")
+            F.count(F.lit(1)).alias("n"), names_in_order().alias("columns")
         )
         first = severe_names.where("n > 0").select(
             *_finding(

@@ -241,7 +241,7 @@ class Trainer:
             try:
                 self.train_model(name, cross_validate)
             except Exception as error:  # a model that cannot be fitted must not stop the others
-                self.failures[name] = str(error)[:200]
+                self.failures[name] = str(error)
         self.release()
         return self.leaderboard()
 

@@ -1,4 +1,4 @@
-"""Safety scan of a folder of files: extension, name, size and header bytes."""
+"""Safety scan of a folder of files: extension, name, size, header bytes and suspicious strings anywhere in them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.urls import ALLOWED, base_name, extension_of, file_name_problem
 
 MAX_BYTES = 1024**3
-HEADER_BYTES = 1024
-SMALL_FILE = 10_240
+HEADER_BYTES = 64  # longer than every signature
 
 # First bytes of executables, scripts and archives.
 SIGNATURES = [
@@ -27,7 +26,7 @@ SIGNATURES = [
 ]
 ZIP = b"PK\x03\x04"  # allowed, but marked
 
-# Strings that only raise a flag, in small files.
+# Strings that only raise a flag.
 SUSPICIOUS = [
     "eval(", "exec(", "system(", "os.system", "subprocess.call", "__import__", "import os", "import subprocess",
 ]
@@ -45,15 +44,16 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     options = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     files = options.load(path)
     large = options.load(path).where(F.col("length") > MAX_BYTES)
-    header = F.substring("content", 1, HEADER_BYTES)
-    small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", header.alias("header"))
-    signature = F.lit(None).cast("string")
-    for code, label in reversed(SIGNATURES):
-        signature = F.when(_starts(code), label).otherwise(signature)
-    text = F.lower(F.decode("header", "ISO-8859-1"))
+    text = F.lower(F.decode("content", "ISO-8859-1"))
     found = F.lit(False)
     for word in SUSPICIOUS:
         found = found | text.contains(word)
+    small = files.where(F.col("length") <= MAX_BYTES).select(
+        "path", "length", F.substring("content", 1, HEADER_BYTES).alias("header"), found.alias("suspicious")
+    )
+    signature = F.lit(None).cast("string")
+    for code, label in reversed(SIGNATURES):
+        signature = F.when(_starts(code), label).otherwise(signature)
     name = base_name(F.col("path"))
     refused = F.when(~extension_of(name).isin(ALLOWED), "extension").otherwise(file_name_problem(name))
     checked = small.select(
@@ -61,7 +61,7 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
         "length",
         F.coalesce(refused, signature).alias("problem"),
         _starts(ZIP).alias("is_zip"),
-        ((F.col("length") < SMALL_FILE) & found).alias("suspicious"),
+        "suspicious",
     )
     too_large = large.select(
         "path",

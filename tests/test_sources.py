@@ -82,7 +82,8 @@ def test_file_scan(spark, tmp_path):
         "rar.rar": b"Rar!\x1a",
         "bin.exe": b"\x00",
         "notes.txt": b"please call os.system here",
-        "big.txt": b"os.system " + b"x" * 11_000,
+        "big.txt": b"x" * 2_000_000 + b" OS.system",
+        "long.txt": b"plain " * 5000,
     }
     for name, data in cases.items():
         write(tmp_path / name, data)
@@ -93,7 +94,7 @@ def test_file_scan(spark, tmp_path):
         "bin.exe": "extension",
     }
     assert found["pack.zip"]["is_zip"]
-    assert [k for k, r in found.items() if r["suspicious"]] == ["notes.txt"]
+    assert sorted(k for k, r in found.items() if r["suspicious"]) == ["big.txt", "notes.txt"]
 
 
 @pytest.mark.parametrize(

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import register
+from checks.transforms import date_sql, scaled
 from checks.views import load
 from tabwright.operators.clustering import dbscan
 from tabwright.plans.boosting import Growth, train_gbt_leafwise
+from tabwright.plans.preprocess import PreprocessPlan
+from tabwright.session import scratch_path
+from tabwright.streaming.apply import prepare_stream, stream_files
 
 SQUARE = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9"
 
@@ -84,3 +88,22 @@ def gbt_leafwise_predictions(spark, sf):
     rows = load(spark, sf, "orders_holes")
     model = train_gbt_leafwise(rows, "price", ["customer", "slot"], rounds=3, growth=Growth(leaves=8))
     return model.predict(rows)
+
+
+@register(
+    "stream_prepare_duplicates",
+    f"""WITH t AS (SELECT DISTINCT event_id, ts, value FROM events)
+    SELECT event_id, {date_sql('ts')}, {scaled('value', 'standard')} FROM t""",
+    "value",
+    6,
+)
+def stream_prepare_duplicates(spark, sf):
+    """Every 20th event comes again in another file; the stream drops what it has seen within the delay."""
+    events = load(spark, sf, "events").select("event_id", "ts", "value")
+    source, out = scratch_path(spark, "events"), scratch_path(spark, "prepared")
+    events.unionAll(events.where("event_id % 20 = 0")).repartition(4).write.parquet(source)
+    rows = spark.read.parquet(source)
+    plan = PreprocessPlan.fit(rows)
+    stream = stream_files(spark, source, rows.schema, files_per_trigger=1)
+    prepare_stream(stream, plan, out, scratch_path(spark, "offsets"), time="ts", delay="3650 days").awaitTermination()
+    return spark.read.parquet(out)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import columns_of, named, nan_to_null, order_hash
 from tabwright.operators.neighbors import CELL, distinct_points, nearest
-from tabwright.operators.ranking import class_counts, hash_cutoffs, within_cutoff
+from tabwright.operators.ranking import by_cutoff, group_cutoffs, group_sizes
+from tabwright.session import cut_lineage
 
 NEIGHBORS = 5
 SEED = 42
@@ -35,22 +36,22 @@ def oversample_smote(
     df = nan_to_null(df)
     real = df.select(*[named(c).cast("double").alias(c) if c in features else named(c) for c in df.columns])
     labelled = real.where(named(target).isNotNull())
-    counts = class_counts(labelled, named(target))
-    if not counts:
-        return real.withColumn("synthetic", F.lit(False))
-    lack = {g: max(counts.values()) - n for g, n in counts.items()}
+    sizes = group_sizes(labelled, named(target))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    lack = F.lit(most) - F.col("n")
+    classes = cut_lineage(sizes.where(lack > 0).select("g", F.floor(lack / F.col("n")).alias("_each"), (lack % F.col("n")).alias("k")))
     label = named(target).cast("string")
-    each = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, lack[g] // n)])[label]
     hash_ = order_hash(F.lit(str(seed)), *[named(c) for c in keys])
-    more = within_cutoff(hash_, hash_cutoffs(labelled, hash_, {g: lack[g] % n for g, n in counts.items()}, named(target)), named(target))
+    minor = labelled.join(classes.select(F.col("g").alias("_class"), "_each"), label == F.col("_class"))
+    minor = by_cutoff(minor, hash_, group_cutoffs(minor, hash_, classes.select("g", "k"), named(target)), named(target), "_more")
     x = F.array(*[named(c) for c in features])
-    drawn = labelled.select(
-        label.alias("_label"), x.alias("_x"), hash_.alias("_hash"), named(target).alias("_target"), (each + more.cast("int")).alias("_copies")
-    )
+    drawn = minor.select(
+        label.alias("_label"), x.alias("_x"), hash_.alias("_hash"), named(target).alias("_target"),
+        (F.col("_each") + F.col("_more").cast("int")).cast("int").alias("_copies"),
+    )
     drawn = drawn.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
 
-    points = distinct_points(labelled, [named(c) for c in features], named(target))
-    points = points.where(F.col("label").isin([g for g, n in lack.items() if n]))
+    points = distinct_points(minor, [named(c) for c in features], named(target))
     hits = nearest(points, points, len(features), k, without_self=True, cell=cell)
     near = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("before", "n", "x"))).alias("near"))  # k at most
     graph = points.join(near, F.col("id") == F.col("query"), "left").select("label", "x", "near")

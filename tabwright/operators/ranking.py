@@ -79,6 +79,46 @@ def hash_cutoffs(df: DataFrame, hash_: Column, wanted: dict, group: Column | Non
     return found
 
 
+def group_cutoffs(df: DataFrame, hash_: Column, wanted: DataFrame, group: Column) -> DataFrame:
+    """(g, cutoff) for any number of groups: rows with a hash up to `cutoff` are the `k` smallest of their group.
+
+    wanted: (g, k) with the group as text. Rows are counted by hash prefix, and only prefixes in which a group's
+    k-th row lies are looked into further, so what moves is counts; the groups stay a table.
+    """
+    base = df.select(group.cast("string").alias("g"), hash_.alias("h"))
+    state = wanted.where("k > 0").select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.lit("").alias("_p"))
+    found = wanted.where("k <= 0").select("g", F.lit("").alias("cutoff"))
+    for length in range(PREFIX_STEP, HASH_LENGTH + PREFIX_STEP, PREFIX_STEP):
+        inside = base.join(state, (F.col("g") == F.col("_g")) & F.col("h").startswith(F.col("_p")))
+        counts = inside.groupBy("g", "_k", F.substring("h", 1, length).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
+        edge = counts.withColumn("upto", upto).where("upto >= _k and upto - n < _k")
+        edge = cut_lineage(edge.select("g", "p", "n", (F.col("_k") - F.col("upto") + F.col("n")).alias("k")))
+        # fewer rows than wanted: the group is kept whole ("g" lies above every hash)
+        found = found.unionAll(state.join(edge, F.col("_g") == F.col("g"), "left_anti").select(F.col("_g"), F.lit("g")))
+        last = (F.col("k") == F.col("n")) | F.lit(length >= HASH_LENGTH)
+        found = found.unionAll(edge.where(last).select("g", F.concat("p", F.lit("g"))))
+        state = edge.where(~last).select(F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("p").alias("_p"))
+        if state.isEmpty():
+            break
+    return cut_lineage(found)
+
+
+def by_cutoff(df: DataFrame, hash_: Column, cutoffs: DataFrame, group: Column, out: str) -> DataFrame:
+    """Append `out`: does the row belong to the selected ones of its group; false for rows without a group.
+
+    Spark broadcasts the cutoffs where they are small and splits a hot group where they are not.
+    """
+    held = cutoffs.select(F.col("g").alias("_g"), F.col("cutoff").alias("_cutoff"))
+    met = df.join(held, group.cast("string") == F.col("_g"), "left")
+    return met.withColumn(out, F.coalesce(hash_ <= F.col("_cutoff"), F.lit(False))).drop("_g", "_cutoff")
+
+
+def group_sizes(df: DataFrame, group: Column) -> DataFrame:
+    """(g, n): rows of each group, as text; rows without one are left out."""
+    return df.where(group.isNotNull()).groupBy(group.cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for item in values.items() for x in item])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import named, order_hash, row_digest
-from tabwright.operators.ranking import below_share, class_counts, hash_bucket, hash_cutoffs, within_cutoff
+from tabwright.operators.ranking import below_share, by_cutoff, group_cutoffs, group_sizes, hash_bucket, hash_cutoffs, within_cutoff
 
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 5
 
@@ -28,15 +28,15 @@ def exact_split(
 ) -> DataFrame:
     """Add `is_test` with exact sizes: per class the nearest whole number, else ceil(share * n).
 
-    `keys` must identify a row. Only counts per hash prefix are shuffled.
+    `keys` must identify a row; there may be any number of classes. Only counts per hash prefix are shuffled.
     """
     hash_ = order_hash(F.lit(str(seed)), *[named(k) for k in keys])
     if label is None:
         wanted = {"": math.ceil(share * df.count())}
         return df.withColumn("is_test", within_cutoff(hash_, hash_cutoffs(df, hash_, wanted)))
     group = named(label)
-    wanted = {g: math.floor(share * n + 0.5) for g, n in class_counts(df, group).items()}
-    return df.withColumn("is_test", within_cutoff(hash_, hash_cutoffs(df, hash_, wanted, group), group))
+    wanted = group_sizes(df, group).select("g", F.floor(F.lit(share) * F.col("n") + 0.5).alias("k"))
+    return by_cutoff(df, hash_, group_cutoffs(df, hash_, wanted, group), group, "is_test")
 
 
 def with_fold(df: DataFrame, keys: list[str] | None = None, folds: int = FOLDS, seed: int = SEED) -> DataFrame:

@@ -9,7 +9,7 @@ from tabwright.functions.columns import columns_of, kinds, named, nan_to_null, o
 from tabwright.operators import steps as st
 from tabwright.operators.lookup import map_values, value_bound
 from tabwright.operators.profile import FENCE
-from tabwright.operators.ranking import class_counts, hash_cutoffs, within_cutoff
+from tabwright.operators.ranking import by_cutoff, group_cutoffs, group_sizes
 from tabwright.operators.steps import apply_step
 
 
@@ -128,10 +128,11 @@ def class_weights(df: DataFrame, target: str, out: str = "class_weight") -> Data
 def undersample(df: DataFrame, target: str, *keys: str) -> DataFrame:
     """Every class reduced to exactly the size of the smallest, chosen by the hash of unique keys."""
     labelled = df.where(named(target).isNotNull())
-    counts = class_counts(labelled, named(target))
+    sizes = group_sizes(labelled, named(target))
+    least = sizes.agg(F.min("n")).first()[0]
     hash_ = order_hash(*[named(k) for k in keys])
-    cutoffs = hash_cutoffs(labelled, hash_, dict.fromkeys(counts, min(counts.values())), named(target))
-    return labelled.where(within_cutoff(hash_, cutoffs, named(target)))
+    cutoffs = group_cutoffs(labelled, hash_, sizes.select("g", F.lit(least or 0).alias("k")), named(target))
+    return by_cutoff(labelled, hash_, cutoffs, named(target), "_kept").where("_kept").drop("_kept")
 
 
 def fill_constant(df: DataFrame, number: str = "mean", text: str = "Unknown") -> DataFrame:

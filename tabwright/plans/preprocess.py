@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabwright.functions import semantics as sem
 from tabwright.functions.columns import nan_to_null
 from tabwright.operators import steps as st
+from tabwright.operators.imputation import fit_iterative
 from tabwright.operators.needs import Needs
 from tabwright.operators.profile import Profile
 from tabwright.operators.steps import apply_step
@@ -17,6 +18,7 @@ from tabwright.operators.textvec import fit_tfidf
 from tabwright.session import local_table
 
 MODES = ("minimal", "balanced", "aggressive")
+ADVANCED = ("median", "iterative")
 FEW, MANY = 10, 50  # up to FEW values: one-hot; up to MANY: one-hot without the first; above: codes
 
 
@@ -32,10 +34,13 @@ class PreprocessPlan:
 
     @classmethod
     def fit(
-        cls, df: DataFrame, target: str | None = None, mode: str = "balanced", profile: Profile | None = None
+        cls, df: DataFrame, target: str | None = None, mode: str = "balanced", profile: Profile | None = None, advanced: str = "median"
     ) -> PreprocessPlan:
+        """advanced: what fills numbers with 20-50 % missing, `median` or `iterative` (chained regressions on all numeric columns)."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
+        if advanced not in ADVANCED:
+            raise ValueError(f"advanced must be one of {ADVANCED}")
         profile = profile or Profile(df)
         needs = Needs(profile, target)
         types = {c: t for c, t in profile.types.items() if c != target}
@@ -76,6 +81,9 @@ class PreprocessPlan:
         by_median = [c for c in holes if c in numeric]
         by_mode = [c for c in holes if c not in numeric and c in current.columns]
         fills = []
+        if advanced == "iterative" and set(by_median) & set(needs.columns_of("missing_values", strategy="advanced_imputation")):
+            add(fit_iterative(current, numeric))
+            by_median = []
         if by_median:
             fills.append(st.fit_median(current, by_median))
         if by_mode:
@@ -131,13 +139,20 @@ class PreprocessPlan:
 
     # ---- use ----------------------------------------------------------------------
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Apply to a static or streaming DataFrame; a stream is not deduplicated."""
+    def transform(self, df: DataFrame, time: str | None = None, delay: str = "10 minutes") -> DataFrame:
+        """Apply to a static or streaming DataFrame.
+
+        On a stream, a plan that drops duplicates needs the name of a `time` column: equal rows are dropped as long as
+        they come within `delay` of each other, which bounds the state; rows later than that are dropped as late.
+        """
         out = nan_to_null(df)
         for step in self.steps:
             if step["op"] == "drop_duplicates" and df.isStreaming:
-                continue
-            out = apply_step(out, step, self.tables)
+                if time is None:
+                    raise ValueError("this plan drops duplicates: name the time column of the stream")
+                out = out.withWatermark(time, delay).dropDuplicatesWithinWatermark(out.columns)
+            else:
+                out = apply_step(out, step, self.tables)
         return out
 
     def feature_names(self) -> list[str]:
@@ -206,6 +221,6 @@ def _touched(step: dict) -> list[str]:
     return []
 
 
-def auto_preprocess(df: DataFrame, target: str | None = None, mode: str = "balanced") -> DataFrame:
+def auto_preprocess(df: DataFrame, target: str | None = None, mode: str = "balanced", advanced: str = "median") -> DataFrame:
     """Fit a plan on the data and apply it to the same data."""
-    return PreprocessPlan.fit(df, target, mode).transform(df)
+    return PreprocessPlan.fit(df, target, mode, advanced=advanced).transform(df)

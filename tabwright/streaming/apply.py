@@ -1,7 +1,7 @@
 """Run a fitted plan, and optionally a fitted model, over a stream of files.
 
-A plan without `codes` steps is a projection; a `codes` step is a stream-static join. No
-operator here keeps state, so any number of rows passes through.
+A plan without `codes` steps is a projection; a `codes` step is a stream-static join. Only dropping duplicates keeps
+state: the rows of the last `delay` of the stream's time column.
 """
 
 from __future__ import annotations
@@ -22,10 +22,19 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
 
 
 def prepare_stream(
-    stream: DataFrame, plan: PreprocessPlan, out: str, checkpoint: str, trainer: Trainer | None = None
+    stream: DataFrame,
+    plan: PreprocessPlan,
+    out: str,
+    checkpoint: str,
+    trainer: Trainer | None = None,
+    time: str | None = None,
+    delay: str = "10 minutes",
 ) -> StreamingQuery:
-    """Append prepared (and, with a trainer, predicted) rows to a Parquet folder until the input is read."""
-    prepared = plan.transform(stream)
+    """Append prepared (and, with a trainer, predicted) rows to a Parquet folder until the input is read.
+
+    `time` and `delay` bound the state of a plan that drops duplicates.
+    """
+    prepared = plan.transform(stream, time, delay)
     if trainer is not None:
         prepared = trainer.predict(prepared)
     writer = prepared.writeStream.outputMode("append").format("parquet").option("path", out)

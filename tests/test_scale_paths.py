@@ -94,6 +94,34 @@ def test_auc_of_perfect_and_constant_scores(spark):
     assert metrics.roc_auc(df.where("y = 1"), "y", "s").first()[0] is None
 
 
-def test_a_label_with_too_many_classes_is_refused(spark, skewed):
-    with pytest.raises(ValueError):
-        exact_split(skewed, ["id"], "id")
+def test_a_label_with_too_many_classes_is_refused_by_models(spark):
+    from tabwright.plans.training import Trainer
+
+    df = spark.range(2000).selectExpr("id", "cast(id as string) as y")
+    with pytest.raises(ValueError, match="classes"):
+        Trainer(df, "y", ["id"], ["id"], classification=True).labels  # noqa: B018
+
+
+def test_any_number_of_classes(spark):
+    """Undersampling and exact splits of 20,000 classes of one to four rows."""
+    from tabwright.operators.splits import exact_split
+    from tabwright.operators.transforms import undersample
+
+    df = spark.range(50_000).selectExpr("id", "concat('k', id % 20000) as y", "id * 2 as v")
+    assert undersample(df, "y", "id").groupBy("y").count().where("count <> 2").isEmpty()
+    more = df.unionAll(spark.range(50_000, 50_010).selectExpr("id", "'k7' as y", "id as v"))
+    split = exact_split(more, ["id"], "y", share=0.5).groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("t"))
+    assert split.where("t <> floor(n * 0.5 + 0.5)").isEmpty() and split.count() == 20_000
+
+
+def test_cutoffs_of_uneven_groups(spark):
+    from tabwright.operators.ranking import by_cutoff, group_cutoffs
+
+    df = spark.range(9000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id < 40 then null else concat('c', id % 50) end as y")
+    wanted = spark.createDataFrame([("hot", 1234), ("c1", 0), ("c2", 10**6), ("c4", 7)], "g string, k long")
+    hash_ = F.md5(F.col("id").cast("string"))
+    chosen = by_cutoff(df, hash_, group_cutoffs(df, hash_, wanted, F.col("y")), F.col("y"), "in").where("in")
+    sizes = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    assert sizes == {"hot": 1234, "c2": df.where("y = 'c2'").count(), "c4": 7}
+    order = [r["id"] for r in df.where("y = 'hot'").orderBy(hash_).limit(1234).collect()]
+    assert {r["id"] for r in chosen.where("y = 'hot'").collect()} == set(order)

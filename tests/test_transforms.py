@@ -131,6 +131,43 @@ def test_plan_on_a_stream_equals_batch(spark, people, tmp_path):
     assert out.exceptAll(plan.transform(people)).count() == 0 and out.count() == 400
 
 
+def test_stream_drops_repeated_and_late_rows(spark, tmp_path):
+    from tabwright.streaming.apply import prepare_stream, stream_files
+
+    def write(name, rows):
+        df = spark.createDataFrame(rows, "at string, v double").selectExpr("to_timestamp(at) as at", "v")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return df
+
+    first = write("in", [("2024-01-01 10:00:00", 1.5), ("2024-01-01 10:00:00", 1.5), ("2024-01-01 10:05:00", 2.5)])
+    plan = PreprocessPlan([{"op": "drop_duplicates"}], {}, {"columns": ["at", "v"], "target": None})
+    stream = lambda: stream_files(spark, str(tmp_path / "in"), first.schema)
+    with pytest.raises(ValueError):
+        plan.transform(stream())
+    run = lambda: prepare_stream(stream(), plan, str(tmp_path / "out"), str(tmp_path / "offsets"), time="at", delay="30 minutes").awaitTermination()
+    run()
+    # a repeat within the delay, a new row, and one that moves the watermark on
+    write("in", [("2024-01-01 10:05:00", 2.5), ("2024-01-01 10:20:00", 3.5), ("2024-01-01 12:00:00", 4.5)])
+    run()
+    write("in", [("2024-01-01 09:00:00", 5.5), ("2024-01-01 12:00:00", 4.5), ("2024-01-01 11:45:00", 6.5)])  # the first is late
+    run()
+    got = sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [1.5, 2.5, 3.5, 4.5, 6.5]
+
+
+def test_advanced_imputation_in_a_plan(spark):
+    df = spark.range(400).selectExpr("id", "id * 37 % 211 * 1.5D as a", "case when id % 4 <> 1 then (id * 37 % 211) * 3.0D + (id % 3) end as b")
+    median, chained = (PreprocessPlan.fit(df, advanced=a) for a in ("median", "iterative"))
+    assert [s["op"] for s in median.steps if s["op"] in ("iterative", "fill_number")] == ["fill_number"]
+    assert [s["op"] for s in chained.steps if s["op"] in ("iterative", "fill_number")] == ["iterative"]
+    out = chained.transform(df)
+    assert out.where("b is null").isEmpty()
+    truth = df.selectExpr("id", "(id * 37 % 211) * 3.0D as t").join(out, "id").where("id % 4 = 1")
+    assert truth.selectExpr("corr(t, b)").first()[0] > 0.99
+    with pytest.raises(ValueError):
+        PreprocessPlan.fit(df, advanced="guess")
+
+
 def test_aggressive_mode_caps_outliers(spark):
     df = spark.range(1000).selectExpr("id", "case when id % 8 = 0 then id * 1000.0D else id % 300 * 1.0D end as v")
     plan = PreprocessPlan.fit(df, mode="aggressive")

@@ -12,8 +12,8 @@ first visits, for every query block, one data block of each of its cells and lea
 query; the second compares the roots of all other block pairs with those scores and visits what is left. A
 visit is one row with a data block and up to a few query blocks, so no row or group grows with the data.
 
-Defined results: vectors that are null, or hold null or non-finite components, or components of 2^31 and more after
-scaling (their scores need not fit a long), take no part, nor do rows without vec_id; vectors of different
+Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without
+vec_id; a scaled component or a score that does not fit a 64-bit integer fails the query; vectors of different
 length count as padded with zeros; a query meets every row with another vec_id; a query id that occurs
 again is answered once, for its smallest vector in byte order; repeated candidates each count; ties go to the
 smaller vec_id. Other columns are not read.
@@ -119,7 +119,7 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
     def bound(q: tuple, d: tuple) -> float:
         a, b = q[2], d[2]
         value = queries.points[a] @ data.points[b] + q[3] * data.norms[b] + d[3] * queries.norms[a] + q[3] * d[3]
-        return value + 1e-9 * abs(value) + 1.0
+        return value + 1e-9 * abs(value) + 1e-12 * queries.norms[a] * data.norms[b] + 1.0
 
     stack = [(bound(queries.root, data.root), queries.root, data.root)]
     while stack:
@@ -134,6 +134,10 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
             else:
                 wide = [t.vectors.astype(np.int64) for t in (queries, data)]
                 n = min(w.shape[1] for w in wide)
+                near = queries.points[rows] @ data.points[columns].T
+                near[queries.ids[rows, None] == data.ids[None, columns]] = 0
+                if np.abs(near).max() >= 2**63 * (1 - 1e-9):
+                    raise OverflowError("a score does not fit a 64-bit integer")
                 score = wide[0][rows, :n] @ wide[1][columns, :n].T
             score[queries.ids[rows, None] == data.ids[None, columns]] = NONE
             best.add(q[0], q[1], score, data.ids[columns])
@@ -152,15 +156,26 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         if not v.is_valid or v.values.null_count:
             continue
         scaled = np.floor(256.0 * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
-        if np.isfinite(scaled).all() and (np.abs(scaled) < 2**31).all():
+        if np.isfinite(scaled).all():
+            if (np.abs(scaled) >= 2**63).any():
+                raise OverflowError("a component does not fit a 64-bit integer")
             at.append(k)
-            out.append(scaled.astype("<i4"))
+            out.append(scaled.astype("<i4" if (np.abs(scaled) < 2**31).all() else "<i8"))
     return np.array(at, dtype=np.int64), out
 
 
+def _packed(vector: np.ndarray) -> bytes:
+    """The width of an integer, then the integers."""
+    return bytes([vector.itemsize]) + vector.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<i{data[0]}", offset=1)
+
+
 def _padded(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
     width = max([width, 1, *(len(v) for v in vectors)])
-    out = np.zeros((len(vectors), width), dtype=np.int32)
+    out = np.zeros((len(vectors), width), dtype=np.int64 if any(v.itemsize == 8 for v in vectors) else np.int32)
     for k, v in enumerate(vectors):
         out[k, : len(v)] = v
     return out
@@ -170,14 +185,14 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, vectors = _vectors(batch.column(1))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at)), pa.array([v.tobytes() for v in vectors], type=pa.binary())], names=["vec_id", "v"]
+            [batch.column(0).take(pa.array(at)), pa.array([_packed(v) for v in vectors], type=pa.binary())], names=["vec_id", "v"]
         )
 
 
 def _pivots(rows: DataFrame) -> np.ndarray:
     """A greedy cover of SAMPLE rows (those with the smallest hash) by PIVOTS points."""
     some = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).collect()
-    points = _padded([np.frombuffer(r["v"], dtype="<i4") for r in some]).astype(np.float64)
+    points = _padded([_unpacked(r["v"]) for r in some]).astype(np.float64)
     chosen, away = [], np.full(len(points), np.inf)
     while len(chosen) < min(PIVOTS, len(points)):
         chosen.append(int(np.argmax(away)) if chosen else 0)
@@ -191,7 +206,7 @@ def _celled(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = held.value
         for batch in batches:
-            points = _padded([np.frombuffer(v, dtype="<i4") for v in batch.column(1).to_pylist()], pivots.shape[1]).astype(np.float64)
+            points = _padded([_unpacked(v) for v in batch.column(1).to_pylist()], pivots.shape[1]).astype(np.float64)
             wide = np.zeros((len(pivots), points.shape[1]))
             wide[:, : pivots.shape[1]] = pivots
             near = (wide**2).sum(axis=1)[None, :] - 2 * points @ wide.T
@@ -205,7 +220,7 @@ def _indexed(size: int, leaf: int):
 
     def pack(number: int, rows: list[tuple]) -> pa.RecordBatch:
         ids = np.array([r[1] for r in rows], dtype=np.int64)
-        tree = Tree(ids, _padded([np.frombuffer(r[2], dtype="<i4") for r in rows]), leaf)
+        tree = Tree(ids, _padded([_unpacked(r[2]) for r in rows]), leaf)
         centre = tree.vectors[0].astype("<f8").tobytes()
         values = [number, sorted({r[0] for r in rows}), centre, tree.root[3], pickle.dumps(tree)]
         kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.float64(), pa.binary())
@@ -259,7 +274,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = min(len(c), len(d))
                 size = np.sqrt((c**2).sum()), np.sqrt((d**2).sum())
                 most = c[:n] @ d[:n] + q["radius"] * size[1] + r["radius"] * size[0] + q["radius"] * r["radius"]
-                if q["least"] is None or most + 1e-9 * abs(most) + 1.0 >= q["least"]:
+                if q["least"] is None or most + 1e-9 * abs(most) + 1e-12 * size[0] * size[1] + 1.0 >= q["least"]:
                     pairs.append((r["block"], q["block"]))
         columns = list(zip(*pairs, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["d", "q"])

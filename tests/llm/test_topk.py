@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tabwright.llm.topk import Best, Tree, search, top_k
 
@@ -52,3 +53,12 @@ def test_pruning_skips_far_nodes():
     best.add = lambda a, b, s, i: (visits.append(s.size), add(a, b, s, i))
     search(queries.ready(16), data.ready(16), best)
     assert sum(visits) < 0.5 * 40 * 4000
+
+
+def test_large_components_take_part(llm):
+    rows = [(0, [1.0, 1.0]), (1, [2.0, 1.0]), (2, [float(2**24), 0.0]), (3, [-float(2**22), 5.0]), (4, [0.25, -float(2**20)])]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df, 1, 5) == brute(rows, 1, 5)
+    for v in ([float(2**56)], [float(2**40)]):  # a component, then a score beyond 64 bits
+        with pytest.raises(Exception, match="64-bit"):
+            found(llm.createDataFrame([(0, v), (1, v)], "vec_id long, embedding array<double>"), 1, 5)

@@ -18,7 +18,8 @@ forms (32 MB). With several parts each but the last takes a pass of its own over
 found so far; the driver holds 16 bytes per form. Lang, source and doc_id are never inputs of a score.
 
 Defined results: null and empty texts have no tokens and get the curve's value at evidence 0; rows with a
-null label are not learnt from; of several labels for a doc_id each counts; without labels, or with labels
+null label are not learnt from; of several labels for a doc_id each counts; rows are told apart by doc_id and text, and a
+repeated row teaches once; a row without doc_id is never held out; without labels, or with labels
 of one class, every score is that class's share (0 without any). Other columns pass through.
 """
 
@@ -149,13 +150,14 @@ def fit(documents: DataFrame, labels: DataFrame, z: float = 3.3, floor: float =
     known = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_label_id"), (F.col("toxic") == 1).alias("toxic"))
     slim = documents.where((fold(F.col("doc_id")) != 0) & F.col("text").isNotNull())
     slim = slim.select("doc_id", text_digest(F.col("text")).alias("d")).join(known, F.col("doc_id") == F.col("_label_id"))
-    chosen = slim.groupBy("d", "toxic").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("n")).drop("d")
+    chosen = slim.groupBy("d", "toxic").agg(F.min("doc_id").alias("_rep"), F.count(F.lit(1)).alias("n"))
     chosen = stored(chosen, "toxicity-chosen")
     # texts of the chosen rows only; a bit set thins the scan before anything is shuffled
     held = bit_set(chosen.select(spot(F.col("_rep")).alias("s")))
     texts = documents.select("doc_id", "text").mapInArrow(_among(held), "doc_id long, text string")
     # merged at every size: the labels grow with the documents, so they are never sent whole
-    train = texts.join(chosen.hint("merge"), F.col("doc_id") == F.col("_rep")).select("toxic", "text", "n")
+    own = (F.col("doc_id") == F.col("_rep")) & (text_digest(F.col("text")) == F.col("d"))
+    train = texts.join(chosen.hint("merge"), own).dropDuplicates(["d", "toxic"]).select("toxic", "text", "n")
     train = stored(train, "toxicity-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
@@ -334,4 +336,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFra
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(documents, fit(documents, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence", "seg_from", "seg_to", "seg_score")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "seg_from", "seg_to", "seg_score")

@@ -1,5 +1,10 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
+
+import pytest
 
 from tabwright.llm.toxicity import fit, maximal_segments, score, without_toxic
 
@@ -92,3 +97,42 @@ def test_odd_rows(llm, messy, empty):
     none = labels.where("false")
     assert [r["predicted"] for r in score(docs.limit(3), fit(docs, none)).collect()] == [0, 0, 0]
     assert without_toxic(empty, none).columns == empty.columns
+
+
+def test_repeated_rows_teach_once(llm):
+    docs, labels, _ = corpus(llm, 300)
+    more = docs.unionAll(docs.where("doc_id % 3 = 1")).unionAll(docs.where("doc_id = 6").selectExpr("doc_id + 1000", "text"))
+    # a second text under a labelled id is a witness of its own, and the first stays one
+    other = more.unionAll(llm.createDataFrame([(12, "quite another text")], "doc_id long, text string"))
+    a, b, c = fit(docs, labels), fit(more, labels), fit(other, labels)
+    assert a.hashes.tolist() == b.hashes.tolist() and set(a.hashes.tolist()) <= set(c.hashes.tolist())
+
+
+def brute_forms(text):
+    """Distinct forms of a text: its words and their first 4 to 9 bytes where they are longer."""
+    found = set()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode()):
+        found.add((0, w))
+        found |= {(n, w[:n]) for n in range(4, 10) if len(w) > n}
+    return found
+
+
+def test_log_odds_against_brute_force(llm):
+    """The values of the kept forms: Dirichlet prior, log-odds and their standard error, text by text."""
+    docs, labels, truth = corpus(llm, 240)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    counts = [Counter(), Counter()]
+    for i, text in texts.items():
+        counts[truth[i]].update(brute_forms(text))
+    forms = counts[0].keys() | counts[1].keys()
+    n0, n1, v, floor = sum(counts[0].values()), sum(counts[1].values()), len(forms), 0.5
+    wanted = []
+    for f in forms:
+        y0, y1 = counts[0][f], counts[1][f]
+        a = floor + v * (y1 + y0) / ((n1 + n0) * 100)
+        total = floor * v + v / 100
+        odds = math.log((y1 + a) / (n1 + total - y1 - a)) - math.log((y0 + a) / (n0 + total - y0 - a))
+        if odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= 3.3:
+            wanted.append(odds)
+    got = fit(docs, labels).values.tolist()
+    assert len(wanted) > 5 and sorted(got) == pytest.approx(sorted(wanted), rel=1e-9)

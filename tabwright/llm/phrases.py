@@ -35,8 +35,9 @@ LEAST = 30
 LONGEST = 4
 SAMPLE = 8  # one document of so many proposes
 TOP = 2000
-HELD = 1 << 21  # hashes a task holds before it counts them
-OUT_ROWS = 1 << 18
+HELD = 1 << 20  # hashes a task holds before it counts them
+OUT_ROWS = 1 << 16
+TOLD = 1 << 21  # frequent phrases of a length that a task remembers to have spelt; more are spelt again
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[[*b".,;:!?", *range(10, 14)]] = True
@@ -81,6 +82,14 @@ def both(at: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first place of each distinct hash, its count, hashes in order, their seconds, the order)."""
+    order = np.argsort(h)
+    h, g = h[order], g[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
+    return first, np.diff(np.append(first, len(h))), h, g, order
+
+
 class Tally:
     """Counts of 96-bit hashes, given out once many are held."""
 
@@ -96,10 +105,8 @@ class Tally:
     def rows(self) -> Iterator[pa.RecordBatch]:
         for n, parts in self.held.items():
             h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h)
-            h, g = h[order], g[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
-            counts = np.diff(np.append(first, len(h)))
+            parts.clear()
+            first, counts, h, g, _ = distinct(h, g)
             yield from count_rows(n, h[first], g[first], counts)
         self.held, self.size = {}, 0
 
@@ -194,18 +201,46 @@ def uncounted(sets: dict[int, Bits], frequent: dict[int, Bits], longest: int):
 SPELT = "n byte, h long, g int, c long, lang string, phrase string"
 
 
+def spell(words: Words, at: np.ndarray, n: int) -> tuple[np.ndarray, pa.Array]:
+    """(order, phrases): the n words from each place, joined by one space, and which of the places each phrase is of."""
+    first, last = words.starts[at], words.ends[at + n - 1]
+    letters = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
+    tight = last - first == letters[at + n] - letters[at] + n - 1  # single separators: the phrase is one stretch of bytes
+    some, rest = np.flatnonzero(tight), np.flatnonzero(~tight)
+    sizes = (last - first)[some]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    data = words.low[np.arange(ends[-1]) + np.repeat(first[some] - ends[:-1], sizes)]
+    data[data == 9] = 32
+    found = pa.StringArray.from_buffers(len(some), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+    loose = pa.array([words.phrase(k, n).decode() for k in at[rest].tolist()], type=pa.string())
+    return np.concatenate((some, rest)), pa.concat_arrays([found, loose])
+
+
+def _spelt(n: int, h: np.ndarray, g: np.ndarray, c: np.ndarray, lang: pa.Array, phrase: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(h), n, dtype=np.int8)), pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(c.astype(np.int64)), lang, phrase]
+    return pa.RecordBatch.from_arrays(columns, names=["n", "h", "g", "c", "lang", "phrase"])
+
+
+def _fresh(h: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Places of hashes (in order) that are not told yet."""
+    if not len(told):
+        return np.arange(len(h))
+    at = np.minimum(np.searchsorted(told, h), len(told) - 1)
+    return np.flatnonzero(told[at] != h)
+
+
 def _close(choose, expand: bool):
     """Rows of counts of new phrases, each with its words, and, once a task, the words of the frequent phrases (c = 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int, int]] = set()
+        told: dict[int, np.ndarray] = {}
+        none = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            languages, names = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_pylist()
-            rows: list[tuple] = []
-            for lang in dict.fromkeys(zip(languages.tolist(), names, strict=True)):
-                if (0, lang[0], 0) not in told:
-                    told.add((0, lang[0], 0))
-                    rows.append((0, lang[0], 0, 0, lang[1], ""))
+            languages, names = batch.column(0).to_numpy().view(np.uint64), batch.column(2).cast(pa.string())
+            l, first = np.unique(languages, return_index=True)
+            new_l = _fresh(l, told.get(0, none))
+            told[0] = np.union1d(told.get(0, none), l)
+            yield _spelt(0, l[new_l], np.zeros(len(new_l), dtype=np.uint32), np.zeros(len(new_l)), names.take(pa.array(first[new_l])), pa.array([""] * len(new_l), type=pa.string()))
             for words in chunks(batch.column(1).to_pylist(), IS_WORD, IS_BREAK):
                 grams = Grams(words, languages)
                 new, old = choose(grams)
@@ -214,33 +249,16 @@ def _close(choose, expand: bool):
                         at = np.flatnonzero(places)
                         if not len(at):
                             continue
-                        h, g = hashes[at], grams.second(n)[at]
-                        order = np.argsort(h)
-                        hs, gs = h[order], g[order]
-                        first = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1]))))
-                        counts = np.diff(np.append(first, len(hs)))
-                        for k, count in zip(first.tolist(), counts.tolist(), strict=True):
-                            key = (n, int(hs[k]), int(gs[k]))
-                            if known:
-                                if key in told:
-                                    continue
-                                told.add(key)
-                            place = int(at[order[k]])
-                            rows.append((*key, 0 if known else count, names[int(words.row[place])], words.phrase(place, n).decode()))
-            if len(told) > 1 << 21:
-                told.clear()
-            n, h, g, c, lang, phrase = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(n, type=pa.int8()),
-                    pa.array(np.array(h, dtype=np.uint64).view(np.int64)),
-                    pa.array(np.array(g, dtype=np.uint32).view(np.int32)),
-                    pa.array(c, type=pa.int64()),
-                    pa.array(lang, type=pa.string()),
-                    pa.array(phrase, type=pa.string()),
-                ],
-                names=["n", "h", "g", "c", "lang", "phrase"],
-            )
+                        first, counts, h, g, order = distinct(hashes[at], grams.second(n)[at])
+                        h, g, at = h[first], g[first], at[order[first]]
+                        if known:
+                            some = _fresh(h, told.get(n, none))
+                            h, g, at, counts = h[some], g[some], at[some], np.zeros(len(some))
+                            held = told.get(n, none)
+                            told[n] = np.union1d(held if len(held) < TOLD else none, h)
+                        if len(h):
+                            own, phrases = spell(words, at, n)
+                            yield _spelt(n, h[own], g[own], counts[own], names.take(pa.array(words.row[at[own]])), phrases)
 
     return run
 

@@ -56,7 +56,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# SQL cannot tokenise, fit the toxicity model or follow links; tests hold every stage against a brute-force version.
+# SQL cannot tokenise, fit the toxicity model or follow links; tests hold the operators behind the stages against brute force.
 ORACLE_SQL = None
 
 

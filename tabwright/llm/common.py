@@ -23,6 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more; what follows from it must be stored."""
+    context = table.sparkSession.sparkContext
+    for path in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_digest(text: Column) -> Column:
     """256-bit digest that keeps null apart from every text."""
     return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit("null"))
@@ -115,7 +123,7 @@ def dense(cells: DataFrame, size: int, kind: str) -> np.ndarray:
 
     rows = cells.groupBy(F.shiftright("at", 12).alias("high")).agg(F.collect_list(F.struct("at", "n")).alias("cells"))
     out = np.zeros(max(size, 4096), dtype=kind)
-    for r in rows.mapInArrow(pack, "high long, packed binary").toLocalIterator():
+    for r in rows.mapInArrow(pack, "high long, packed binary").collect():  # the array itself, in one job
         out[r["high"] << 12 : (r["high"] + 1) << 12] = np.frombuffer(r["packed"], dtype=kind)
     return out[:size]
 

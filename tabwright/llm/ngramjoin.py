@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import digest16, stored
+from tabwright.llm.common import digest16, discard, stored
 from tabwright.llm.components import components
 from tabwright.llm.grains import Bits, chunks, gram_hashes, signed
 from tabwright.llm.registry import register, table
@@ -44,7 +44,7 @@ CELLS = 20  # 2^20 counters
 CELL_ROW = 1024
 BITMAP = 1024  # bits of a set's bitmap
 TILE = 1024  # sets in a tile
-STARS = 3  # star rounds before tiles
+STARS = 2  # star rounds before tiles
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -103,7 +103,7 @@ def frequency_classes(texts: DataFrame, size: int):
     shape = "cell long, packed binary"
     summed = texts.mapInArrow(_count_cells(size), shape).repartition("cell").mapInArrow(_add_cells, shape)
     counts = np.zeros((1 << CELLS) // CELL_ROW * CELL_ROW, dtype=np.int64).reshape(-1, CELL_ROW)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # 8 MB
         counts[r["cell"]] = np.frombuffer(r["packed"], dtype=np.int64)
     classes = np.minimum(4 * np.log2(1.0 + counts.ravel()), 255).astype(np.uint8)
     return texts.sparkSession.sparkContext.broadcast(classes)
@@ -227,12 +227,40 @@ def _intersect(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose sets are similar enough."""
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            apart = np.bitwise_count(_bitmaps(batch.column("x")) ^ _bitmaps(batch.column("y"))).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(_overlap_enough(total, 0, (total - apart) // 2, percent)))
+
+    return run
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose sizes and bitmaps allow a link."""
+    left = nodes.select(F.col("node").alias("_a"), "n", F.col("bitmap").alias("x"))
+    right = nodes.select(F.col("node").alias("_b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    both = both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "n", "m", "x", "y")
+    return both.mapInArrow(_bounded(percent), "a long, b long")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The (a, b) pairs whose sets are similar enough; the sets of their nodes are read from the texts again."""
+    pairs = stored(pairs, "ngramjoin-pairs")
+    ends = pairs.select(F.col("a").alias("_m")).unionAll(pairs.select("b")).distinct()
+    some = stored(nodes.join(ends, F.col("node") == F.col("_m")).select("doc_id", "key", "node"), "ngramjoin-ends")
+    wanted = Bits(some.select(F.xxhash64("doc_id").alias("h")))
+    items = slim.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_items(shingle, wanted), "key binary, items binary")
+    items = items.groupBy(F.col("key").alias("_k")).agg(F.first("items").alias("items"))
+    sets = stored(items.join(some.select("key", "node"), F.col("_k") == F.col("key")).select("node", "items"), "ngramjoin-items")
     left = sets.select(F.col("node").alias("_a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("_b"), F.col("items").alias("y"))
     both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_intersect(percent), "a long, b long"), "ngramjoin-links")
+    links = stored(both.mapInArrow(_intersect(percent), "a long, b long"), "ngramjoin-links")
+    discard(sets)
+    return links
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -256,20 +284,28 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def _tiles(members: DataFrame, bitmaps: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Pairs of tiles that may hold links: (same, x, y), each a list of (node, root, n, bitmap)."""
+    """Tiles and pairs of tiles that may hold links: (same, x, y), each a list of (node, root, n, bitmap).
+
+    A group that fits a tile is one; a larger one is cut by band of set size and by hash.
+    """
     width = math.log(100 / percent) * 1.05 + 1e-9  # a little wider than the bound, so that rounding skips no band
-    banded = members.withColumn("band", F.floor(F.log("n") / F.lit(width)))
-    sizes = banded.groupBy(F.col("token").alias("_t"), F.col("band").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("_parts"))
-    dealt = banded.join(sizes, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b")))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts"))).select("token", "band", "part", "node", "root", "n")
-    full = dealt.join(bitmaps.select(F.col("node").alias("_n"), "bitmap"), F.col("node") == F.col("_n"))
-    whole = full.groupBy("token", "band", "part").agg(F.collect_list(F.struct("node", "root", "n", "bitmap")).alias("sets"))
-    whole = stored(whole, "ngramjoin-tiles")
+    totals = members.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("_m"))
+    sized = members.join(totals, F.col("token") == F.col("_t")).drop("_t")
+    sized = sized.join(bitmaps.select(F.col("node").alias("_n"), "bitmap"), F.col("node") == F.col("_n"))
+    sets = F.collect_list(F.struct("node", "root", "n", "bitmap")).alias("sets")
+    small = sized.where(F.col("_m") <= tile).groupBy("token").agg(sets)
+
+    banded = sized.where(F.col("_m") > tile).withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    parts = banded.groupBy(F.col("token").alias("_t"), F.col("band").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("_parts"))
+    dealt = banded.join(parts, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b")))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    whole = stored(dealt.groupBy("token", "band", "part").agg(sets), "ngramjoin-tiles")
     left = whole.select("token", "band", "part", F.col("sets").alias("x"), F.explode(F.array("band", F.col("band") + 1)).alias("to"))
     right = whole.select(F.col("token").alias("_t"), F.col("band").alias("_b"), F.col("part").alias("_p"), F.col("sets").alias("y"))
     met = left.join(right, (F.col("token") == F.col("_t")) & (F.col("to") == F.col("_b")) & ((F.col("band") < F.col("to")) | (F.col("part") <= F.col("_p"))))
     same = (F.col("band") == F.col("to")) & (F.col("part") == F.col("_p"))
-    return met.where(~same | (F.size("x") > 1)).select(same.alias("same"), "x", F.when(~same, F.col("y")).otherwise(F.array()).alias("y"))
+    large = met.select(same.alias("same"), "x", F.when(~same, F.col("y")).otherwise(F.array()).alias("y"))
+    return small.select(F.lit(True).alias("same"), F.col("sets").alias("x"), F.array().cast(small.schema["sets"].dataType).alias("y")).unionAll(large)
 
 
 def ngram_components(
@@ -314,29 +350,50 @@ def ngram_components(
 
 def _roots(slim: DataFrame, real: DataFrame, members: DataFrame, percent: int, shingle: int, stars: int, tile: int) -> DataFrame:
     """(node, root) of the nodes that have links."""
-    some = real.join(members.select(F.col("node").alias("_m")).distinct(), F.col("at") == F.col("_m")).select("doc_id", "key", F.col("at").alias("node"), "bitmap")
+    some = real.join(members.select(F.col("node").alias("_m")).distinct(), F.col("at") == F.col("_m")).select(
+        "doc_id", "key", F.col("at").alias("node"), "n", "bitmap"
+    )
     some = stored(some, "ngramjoin-candidates")
-    wanted = Bits(some.select(F.xxhash64("doc_id").alias("h")))
-    items = slim.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_items(shingle, wanted), "key binary, items binary")
-    items = items.groupBy(F.col("key").alias("_k")).agg(F.first("items").alias("items"))
-    sets = stored(items.join(some.select("key", "node"), F.col("_k") == F.col("key")).select("node", "items"), "ngramjoin-items")
-
-    links, roots = None, None
-    left = members
+    links, labels, left = None, None, members
     for turn in range(stars + 1):
-        left = _open(left, roots)
+        left = _open(left, labels)
         if left.isEmpty():
             break
         if turn < stars:
-            pairs = _star(left, turn, percent)
+            pairs = _near(_star(left, turn, percent), some, percent)
         else:
             pairs = _tiles(left, some.select("node", "bitmap"), percent, tile).mapInArrow(_compare(percent), "a long, b long").distinct()
-        more = _links(pairs, sets, percent)
-        links = more if links is None else stored(links.unionAll(more), "ngramjoin-links")
-        roots = components(links)
-    if roots is None:
+        more = _links(pairs, some, slim, percent, shingle)
+        links = more if links is None else links.unionAll(more)  # of stored tables, one a round
+        if turn < stars:
+            labels = _relabelled(labels, more, turn)
+    if links is None:
         return slim.sparkSession.createDataFrame([], "node long, root long")
-    return roots
+    return components(links)
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame, turn: int) -> DataFrame:
+    """(node, root) where root is another node of its component: enough to skip pairs, at a few joins a round."""
+    x, y = F.col("a"), F.col("b")
+    if labels is not None:
+        for side in ("a", "b"):
+            named = labels.select(F.col("node").alias("_n"), F.col("root").alias(f"_{side}"))
+            links = links.join(named, F.col(side) == F.col("_n"), "left").drop("_n")
+        x, y = F.coalesce("_a", "a"), F.coalesce("_b", "b")
+    ends = links.select(x.alias("x"), y.alias("y")).where("x <> y")
+    place = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: E731  links point to the smaller place, so there are no cycles
+    down = place("x") < place("y")
+    ends = ends.select(F.when(down, F.col("y")).otherwise(F.col("x")).alias("node"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("root"))
+    up = stored(ends.groupBy("node").agg(F.min_by("root", place("root")).alias("root")), "ngramjoin-labels")
+    above = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    for _ in range(2):
+        up = up.join(above, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    up = stored(up, "ngramjoin-labels")
+    if labels is None:
+        return up
+    above = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = labels.join(above, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return stored(moved.unionAll(up), "ngramjoin-labels")
 
 
 SQL = r"""

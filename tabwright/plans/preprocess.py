@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.functions import semantics as sem
-from tabwright.functions.columns import nan_to_null
+from tabwright.functions.columns import named, nan_to_null
 from tabwright.operators import steps as st
 from tabwright.operators.imputation import fit_iterative
 from tabwright.operators.needs import Needs
@@ -150,7 +150,9 @@ class PreprocessPlan:
             if step["op"] == "drop_duplicates" and df.isStreaming:
                 if time is None:
                     raise ValueError("this plan drops duplicates: name the time column of the stream")
-                out = out.withWatermark(time, delay).dropDuplicatesWithinWatermark(out.columns)
+                columns = out.columns
+                marked = out.withColumn("_time", named(time).cast("timestamp")).withWatermark("_time", delay)
+                out = marked.dropDuplicatesWithinWatermark(columns).drop("_time")
             else:
                 out = apply_step(out, step, self.tables)
         return out

@@ -156,3 +156,32 @@ def test_synthetic_rows_of_equal_points(spark):
     made = oversample_smote(df, "y", ["u"], ["id"]).where("synthetic and u <> 1.0D").collect()
     assert all(1.0 < r["u"] < 90 for r in made) and len(made) < 20
     assert oversample_smote(df.where("false"), "y", ["u"], ["id"]).count() == 0
+
+
+def test_queries_meet_few_cells(spark):
+    """Donors are split along what queries can compare, so a query meets about as many cells however many donors there are."""
+    rng = np.random.default_rng(4)
+    for n in (2000, 16000):
+        rows = rng.uniform(0, 100, size=(n, 3))
+        forest = neighbors.Forest.fit(
+            spark.createDataFrame([(i, "", x.tolist(), 1, 0) for i, x in enumerate(rows)], "id long, label string, x array<double>, n long, tree long"),
+            {0: n}, {0: [0, 1]}, 3, 64,
+        )
+        cells = forest.descend(np.full(n, forest.roots[0]), rows)
+        one = [np.flatnonzero(cells == c) for c in np.unique(cells)]
+        forest.enclose(neighbors.Boxes(np.unique(cells), np.full(len(one), ""), np.array([rows[i].min(0) for i in one]), np.array([rows[i].max(0) for i in one]), *(np.array([len(i) for i in one]),) * 2))
+        x = np.column_stack([rng.uniform(0, 100, size=(500, 2)), np.full(500, np.nan)])
+        axes = np.array([0, 1])
+        radius = forest.bound(0, x, axes, 5)
+        query, _ = forest.reached(0, x, axes, radius)
+        exact = np.sort(((x[:, None, :2] - rows[None, :, :2]) ** 2).sum(axis=2) * 3 / 2, axis=1)[:, 4]
+        assert (radius >= exact - 1e-9).all() and len(query) < 4 * len(x)
+
+
+def test_knn_of_many_rows_alike_in_what_is_shared(spark):
+    """Thousands of donors at no distance: the ones with the smallest coordinates count, and few are moved."""
+    rows = [(i, None if i % 50 == 0 else float((i * 37) % 1009), None if i % 3 == 0 else float(i % 4), float(i % 2)) for i in range(1500)]
+    df = spark.createDataFrame(rows, SHAPE)
+    got, want = filled(knn_impute(df, ["a", "b", "c"])), brute_knn(rows, 5)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], abs=1e-9), rows[i]

@@ -50,6 +50,21 @@ def test_texts_and_inventory(spark, tmp_path):
     assert readers.file_inventory(spark, str(tmp_path), "*.txt").count() == 1
 
 
+def test_a_table_of_many_files_is_one_entry(spark, tmp_path):
+    root = tmp_path / "in.parquet" / "files"  # the name above the root does not count
+    spark.range(100).repartition(3).write.parquet(str(root / "many.parquet"))
+    spark.range(9).selectExpr("id", "1 as day").write.partitionBy("day").parquet(str(root / "deep" / "days.parquet"))
+    spark.range(4).coalesce(1).write.csv(str(root / "plain"))
+    (root / "notes.parquet").write_bytes(b"PAR1")
+    (root / "many.parquet" / "readme.md").write_text("x")
+    found = {r["file_name"]: r for r in readers.file_inventory(spark, str(root)).collect()}
+    plain = [n for n in found if n.startswith("part-")]
+    assert set(found) - set(plain) == {"many.parquet", "days.parquet", "notes.parquet", "readme.md"} and len(plain) == 1
+    sizes = sum(p.stat().st_size for p in (root / "many.parquet").glob("*.parquet"))
+    assert found["many.parquet"]["file_size"] == sizes and found["many.parquet"]["file_class"] == "tabular"
+    assert found["many.parquet"]["path"].endswith("in.parquet/files/many.parquet")
+
+
 def test_directory_skips_corrupt_files(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in" / "x"))
     write(tmp_path / "in" / "bad.parquet", b"PAR1 not really")

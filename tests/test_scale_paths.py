@@ -48,6 +48,17 @@ def test_numbering_by_range_partitions(spark, skewed):
     assert small == large == {v: i for i, v in enumerate(sorted(small))}
 
 
+@pytest.mark.parametrize("lead", [0, 5000])
+def test_long_texts_are_numbered_without_fetching_them(spark, lead):
+    """Only a few short edges reach the driver, unless all texts begin alike."""
+    values = spark.range(2000).select(F.concat(F.repeat(F.lit("a"), lead), F.md5(F.col("id").cast("string")), F.repeat(F.lit("é"), 3000)).alias("v"))
+    edges = ranking._edges(values, "v", 4, 2000)
+    assert edges == sorted(edges) and 2 <= len(edges) <= 3 and (lead or max(map(len, edges)) <= 256)
+    codes = {r["v"]: r["code"] for r in ranking.numbered(values, "v", "code", None).collect()}
+    assert codes == {v: i for i, v in enumerate(sorted(codes))} and len(codes) == 2000
+    assert ranking.numbered(values.where("false"), "v", "code", None).count() == 0
+
+
 @pytest.mark.parametrize("group", [None, "label"])
 def test_running_total_by_range_partitions(spark, skewed, group):
     small = ranking.running_total(skewed, "id", "value", "t", 10, group)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.columns import named
 from tabwright.functions.text import grams, tokens
 from tabwright.session import local_table
+from tabwright.sources.readers import spread
 
 MAX_TERMS, MIN_DOCS = 100, 2
 LEADING = 2_000  # terms that are counted exactly
@@ -25,22 +26,17 @@ def _grams(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn("_words", tokens(named(column))).withColumn(out, grams(F.col("_words"))).drop("_words")
 
 
-def _corpus_counts(listed: DataFrame) -> DataFrame:
-    return listed.select(F.explode("_grams").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("corpus_count"))
-
-
-def _doc_counts(listed: DataFrame) -> DataFrame:
-    once = listed.select(F.explode(F.array_distinct("_grams")).alias("term"))
-    return once.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"))
-
-
 def term_counts(df: DataFrame, column: str) -> DataFrame:
     """(term, corpus_count, doc_count) of every 1- and 2-gram.
 
-    Both counts are combined map-side and shuffled by term, so the join adds no shuffle.
+    Each text is cut into words once and its grams are sorted, so that the first of equal ones counts the document:
+    one shuffle, combined map-side.
     """
-    listed = _grams(df.select(named(column)), column, "_grams")
-    return _corpus_counts(listed).join(_doc_counts(listed), "term")
+    listed = _grams(spread(df.select(named(column))), column, "_grams").select(F.sort_array("_grams").alias("_sorted"))
+    first = lambda g, i: F.when((i == 0) | (F.get("_sorted", i - 1) != g), 1).otherwise(0)
+    marks = F.transform("_sorted", lambda g, i: F.struct(g.alias("term"), first(g, i).alias("d")))
+    counted = listed.select(F.inline(marks)).groupBy("term")
+    return counted.agg(F.count(F.lit(1)).alias("corpus_count"), F.sum("d").alias("doc_count"))
 
 
 def vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -51,7 +47,7 @@ def vocabulary(df: DataFrame, column: str, max_terms: int = MAX_TERMS, min_docs:
     or small corpora, all terms are counted by one shuffle.
     """
     shape = "term string, corpus_count bigint, doc_count bigint"
-    listed = _grams(df.select(named(column)), column, "_grams").select("_grams")
+    listed = _grams(spread(df.select(named(column))), column, "_grams").select("_grams")
     held = max(LEADING, 8 * max_terms)
     sketch = F.expr(f"approx_top_k(_gram, {held}, {max(TRACKED, 24 * held)})")
     top = listed.select(F.explode("_grams").alias("_gram")).agg(sketch.alias("top"), F.count("_gram").alias("n")).first()
@@ -95,7 +91,7 @@ def tfidf_vector(df: DataFrame, step: dict, out: str) -> DataFrame:
             Normalizer(p=2.0, inputCol="_weighted", outputCol=out),
         ]
     )
-    return model.transform(_grams(df, step["column"], "_grams")).drop("_grams", "_counts", "_weighted")
+    return model.transform(_grams(df if df.isStreaming else spread(df), step["column"], "_grams")).drop("_grams", "_counts", "_weighted")
 
 
 def tfidf_columns(df: DataFrame, step: dict) -> DataFrame:

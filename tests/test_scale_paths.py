@@ -136,3 +136,21 @@ def test_cutoffs_of_uneven_groups(spark):
     assert sizes == {"hot": 1234, "c2": df.where("y = 'c2'").count(), "c4": 7}
     order = [r["id"] for r in df.where("y = 'hot'").orderBy(hash_).limit(1234).collect()]
     assert {r["id"] for r in chosen.where("y = 'hot'").collect()} == set(order)
+
+
+def test_training_rows_and_texts_are_dealt_out(spark):
+    """One row group is one partition; training and counting words must not stay in one task."""
+    from tabwright.operators import textvec
+    from tabwright.plans.training import Trainer
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(200).coalesce(1).selectExpr("id", "double(id % 7) as x", "double(id) as y")
+    trainer = Trainer(rows, "y", ["id"], classification=False)
+    assert trainer.data.rdd.getNumPartitions() >= cores
+    trainer.data.unpersist()
+    texts = spark.createDataFrame([("red fox red fox",), ("red dog",), (None,)], "t string").coalesce(1)
+    counted = textvec.term_counts(texts, "t")
+    assert {tuple(r) for r in counted.collect()} == {
+        ("red", 3, 2), ("fox", 2, 1), ("dog", 1, 1), ("red fox", 2, 1), ("fox red", 1, 1), ("red dog", 1, 1),
+    }
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()

@@ -9,7 +9,8 @@ share at least a = ceil(t / (1 + t) (n + m)) words, so
   n - ceil(2 t / (1 + t) n) + 1 of the smaller one,
 * length: n >= t m,
 * position: 1 + min(words after the shared one) >= a, which is what shortens the smaller one's prefix,
-* bitmap: the 64-bit word maps differ in at most n + m - 2 a bits,
+* bitmap: maps of 64 bits (128 for sets of `WIDE` words and more) in which every word toggles its bit differ in at most
+  n + m - 2 a bits; common words cancel out, so long lines are told apart as well,
 
 and what is left is verified on the full sets. A pair belongs to its rarest common word. Where more than `hot`
 sets share a prefix word, pairs are not emitted: the sets are dealt into blocks, each pair of blocks is compared
@@ -40,91 +41,125 @@ THRESHOLD = 0.8
 HOT = 512
 BLOCK = 384
 COUNTERS = 20  # bits
+WIDE = 72  # words from which a set has 128 bits
+AT_ONCE = 1 << 17  # characters whose lines are coded at once
 
-_LINES = "doc_id long, line int, key binary, n int, bits long, prefix array<int>"
+_LINES = "doc_id long, line int, key binary, n int, bits long, wide long, prefix array<int>"
 
 
 # --- words of lines ----------------------------------------------------------------------------
 
 
+def _chunks(texts: list[str]) -> Iterator[range]:
+    """Consecutive texts of about AT_ONCE characters."""
+    begin, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= AT_ONCE:
+            yield range(begin, k + 1)
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield range(begin, len(texts))
+
+
 def _words(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     """(number of lines, line of each word, hash of each word)."""
     low, starts, ends, spans = word_spans(text.encode())
     breaks = np.flatnonzero(low == 10)
-    return len(breaks) + 1, np.searchsorted(breaks, starts), spans(starts, ends)
+    first = np.concatenate(([0], np.searchsorted(starts, breaks), [len(starts)]))
+    return len(breaks) + 1, np.repeat(np.arange(len(breaks) + 1), np.diff(first)), spans(starts, ends)
 
 
-def _codes(text: str, counts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+def _codes(text: str, rarity: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(number of lines, line, code) of the distinct words of each line, in ascending order."""
     n, line, h = _words(text)
-    rare = (2 * np.log2(counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)] + 1.0)).astype(np.uint64)
-    code = (np.minimum(rare, np.uint64(63)) << np.uint64(57)) | (h >> np.uint64(7))
-    order = np.lexsort((code, line))
+    rare = rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)]
+    code = (rare.astype(np.uint64) << np.uint64(57)) | (h >> np.uint64(7))
+    order = _by_line(line, code, n)
     line, code = line[order], code[order]
     fresh = np.ones(len(code), dtype=bool)
     fresh[1:] = (line[1:] != line[:-1]) | (code[1:] != code[:-1])
     return n, line[fresh], code[fresh]
 
 
+def _by_line(line: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Order by (line, code): by one number that holds the line and the upper bits of the code, where these settle it."""
+    width = max(n - 1, 1).bit_length()
+    both = (line.astype(np.uint64) << np.uint64(64 - width)) | (code >> np.uint64(width - 1))
+    order = np.argsort(both)
+    both, code_ = both[order], code[order]
+    unsettled = (both[1:] == both[:-1]) & (code_[1:] != code_[:-1])
+    return np.lexsort((code, line)) if unsettled.any() else order
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNTERS, dtype=np.int64)
     for batch in batches:
-        held = [_words(t)[2] for t in batch.column(0).to_pylist() if t]
-        if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(len(total) - 1)).astype(np.int64), minlength=len(total))
+        texts = [t for t in batch.column(0).to_pylist() if t]
+        for some in _chunks(texts):
+            _, _, h = _words("\n".join(texts[some.start : some.stop]))
+            np.add.at(total, (h & np.uint64(len(total) - 1)).astype(np.int64), 1)
     spot = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], names=["at", "n"])
 
 
-def _counters(documents: DataFrame) -> np.ndarray:
+def _rarity(documents: DataFrame) -> np.ndarray:
+    """Rarity class, 0 to 63, for each counter."""
     found = documents.select("text").mapInArrow(_count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    return dense(found, 1 << COUNTERS, "<i8")
+    return np.minimum(2 * np.log2(dense(found, 1 << COUNTERS, "<i8") + 1.0), 63).astype(np.uint8)
 
 
 def _prefix(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
+def _toggled(marks: np.ndarray, start: np.ndarray, full: np.ndarray, n: int) -> np.ndarray:
+    """The maps of n lines, of which `full` have words from `start` on."""
+    bits = np.zeros(n, dtype=np.uint64)
+    if len(full):
+        bits[full] = np.bitwise_xor.reduceat(marks, start[full])
+    return bits
+
+
 def _line_rows(held, t: float):
     """The lines of all texts; further columns go to each line of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = held.value
+        rarity = held.value
         for batch in batches:
-            docs, lines, keys, sizes, maps, heads, origin = [], [], [], [], [], [], []
-            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if text is None:
-                    continue
-                n, line, code = _codes(text, counts)
+            batch = batch.filter(batch.column(1).is_valid())
+            docs, texts = batch.column(0), batch.column(1).to_pylist()
+            for some in _chunks(texts):
+                texts_ = texts[some.start : some.stop]
+                n, line, code = _codes("\n".join(texts_), rarity)
+                held_lines = np.array([x.count("\n") + 1 for x in texts_])
+                origin = np.repeat(np.arange(some.start, some.stop), held_lines)
+                own = np.arange(n) - np.repeat(np.cumsum(held_lines) - held_lines, held_lines)
                 size = np.bincount(line, minlength=n)
                 start = np.cumsum(size) - size
-                docs += [doc] * n
-                origin.append(np.full(n, at))
-                lines.append(np.arange(n))
-                sizes.append(size)
-                keys += [digest16(code[a : a + k]) if k else None for a, k in zip(start.tolist(), size.tolist(), strict=True)]
-                bits = np.zeros(n, dtype=np.uint64)
-                full = np.flatnonzero(size)
-                if len(full):
-                    bits[full] = np.bitwise_or.reduceat(np.uint64(1) << (code & np.uint64(63)), start[full])
-                maps.append(bits)
-                heads.append((code[np.arange(len(code)) - start[line] < _prefix(size, t)[line]], np.minimum(_prefix(size, t), size)))
-            if not docs:
-                continue
-            ends = np.concatenate(([0], np.cumsum(np.concatenate([k for _, k in heads])))).astype(np.int32)
-            values = (np.concatenate([c for c, _ in heads]) >> np.uint64(32)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs, type=pa.int64()),
-                    pa.array(np.concatenate(lines).astype(np.int32)),
-                    pa.array(keys, type=pa.binary()),
-                    pa.array(np.concatenate(sizes).astype(np.int32)),
-                    pa.array(np.concatenate(maps).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-                    *[c.take(pa.array(np.concatenate(origin))) for c in batch.columns[2:]],
-                ],
-                names=[*[x.split()[0] for x in _LINES.split(", ")], *batch.schema.names[2:]],
-            )
+                raw, ends = code.tobytes(), np.cumsum(size)
+                keys = [digest16(raw[8 * a : 8 * b]) if b > a else None for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+                full, marks = np.flatnonzero(size), np.uint64(1) << (code & np.uint64(63))
+                bits = _toggled(marks, start, full, n)
+                wide = _toggled(np.where(code & np.uint64(64), marks, np.uint64(0)), start, full, n)
+                wide[size < WIDE] = 0
+                prefix = _prefix(size, t)
+                head = code[np.arange(len(code)) - start[line] < prefix[line]]
+                edges = np.concatenate(([0], np.cumsum(np.minimum(prefix, size)))).astype(np.int32)
+                origin = pa.array(origin)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        docs.take(origin),
+                        pa.array(own.astype(np.int32)),
+                        pa.array(keys, type=pa.binary()),
+                        pa.array(size.astype(np.int32)),
+                        pa.array(bits.view(np.int64)),
+                        pa.array(wide.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(edges), pa.array((head >> np.uint64(32)).astype(np.int32))),
+                        *[c.take(origin) for c in batch.columns[2:]],
+                    ],
+                    names=[*[x.split()[0] for x in _LINES.split(", ")], *batch.schema.names[2:]],
+                )
 
     return run
 
@@ -133,22 +168,18 @@ def _full_sets(held, bits):
     """(key, packed codes) of the lines whose spot in the bit set is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, taken = held.value, bits.value
+        rarity, taken = held.value, bits.value
         for batch in batches:
-            keys, packed = [], []
+            wanted = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                wanted = [k for k in range(text.count("\n") + 1) if taken[spot_of(doc, k)]]
-                if not wanted:
-                    continue
-                _, line, code = _codes(text, counts)
-                for k in wanted:
-                    own = code[np.searchsorted(line, k) : np.searchsorted(line, k, side="right")]
-                    if len(own):
-                        keys.append(digest16(own))
-                        packed.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array(packed, type=pa.binary())], names=["key", "words"])
+                if text:
+                    wanted += [x for k, x in enumerate(text.split("\n")) if taken[spot_of(doc, k)]]
+            for some in _chunks(wanted):
+                n, line, code = _codes("\n".join(wanted[some.start : some.stop]), rarity)
+                raw, ends = code.tobytes(), 8 * np.searchsorted(line, np.arange(n + 1))
+                packed = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b > a]
+                keys = [digest16(x) for x in packed]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array(packed, type=pa.binary())], names=["key", "words"])
 
     return run
 
@@ -169,12 +200,15 @@ def _candidates(postings: DataFrame, t: float) -> DataFrame:
     large = postings.select(*[F.col(c).alias(f"{c}_b") for c in postings.columns])
     na, nb = F.col("n_a"), F.col("n_b")
     least = _shared_least(na, nb, t)
+    # the 64 bits are the 128 folded, `wide` is their upper half
+    low, high = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("bits", "wide"))
     fits = (
         (F.col("word_a") == F.col("word_b"))
         & ((na < nb) | ((na == nb) & (F.col("id_a") < F.col("id_b"))))
         & (na >= F.lit(t) * nb - 1e-9)
         & (F.lit(1) + F.least(na - F.col("pos_a") - 1, nb - F.col("pos_b") - 1) >= least)
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= na + nb - 2 * least)
+        & (F.bit_count(low) <= na + nb - 2 * least)
+        & ((na < WIDE) | (F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high) <= na + nb - 2 * least))
     )
     return small.join(large, fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
@@ -261,12 +295,12 @@ def _classes(
     """`line_classes`, with the digest of the whole text in `row` where `keyed`."""
     spark = documents.sparkSession
     slim = documents.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    held = spark.sparkContext.broadcast(_counters(slim))
+    held = spark.sparkContext.broadcast(_rarity(slim))
     row = ["row"] if keyed else []
     whole = slim.withColumn("row", row_digest(F.col("text"))) if keyed else slim
     lines = stored(whole.mapInArrow(_line_rows(held, threshold), _LINES + ", row binary" * keyed), "line-rows")
     nodes = lines.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min(_earliest("doc_id", "line")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")
+        F.min(_earliest("doc_id", "line")).alias("f"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("bits", "wide", "prefix")]
     )
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     links = _links(slim, nodes, held, threshold, hot, block)
@@ -285,7 +319,7 @@ def _links(slim: DataFrame, nodes: DataFrame, held, t: float, hot: int, block: i
     """(id, links, early): number of similar other sets, and the first line of the earliest."""
     # sets so small that not even one more word keeps the similarity link to none
     able = nodes.where(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
-    postings = able.select("id", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    postings = able.select("id", "n", "bits", "wide", F.posexplode("prefix").alias("pos", "word"))
     # only words whose counter is that high can be hot
     often = postings.where(F.shiftright("word", 25) >= int(2 * math.log2(hot + 1)))
     heavy_words = often.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)

@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from tabwright.llm.lines import line_classes, without_repeated_lines
@@ -67,3 +69,43 @@ def test_rows_with_one_doc_id_lose_their_own_lines_only(llm):
     kept = {(r["doc_id"], r["text"]) for r in without_repeated_lines(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
     # nulls come first: each of the null rows has number 0 or 1 for the shared line, the later number goes
     assert kept == {*rows[:1], (2, "intro of two"), rows[2], rows[3], (None, "quite other text"), (None, None)}
+
+
+def test_long_lines_with_some_common_words_are_no_candidates(llm, monkeypatch):
+    """Of 60 lines of 100 words that share three quarters with others, only near copies reach the comparison of full sets."""
+    from tabwright.llm import lines
+
+    rng = random.Random(3)
+    common, often = [f"common{k}" for k in range(50)], [f"often{k}" for k in range(90)]
+    rows = []
+    for k in range(60):
+        rows.append((k, " ".join(rng.sample(common + rng.sample(often, 45) + [f"group{k % 6}x{j}" for j in range(5)], 100))))
+    rows += [(100 + k, " ".join([*rows[k][1].split(" ")[5:], "changed"])) for k in range(10)]
+    met = []
+    stored = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: (met.append(df.count()) if name == "line-pairs" else None, stored(df, name))[1])
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows)
+    assert 10 <= met[0] <= 20  # 10 links; maps that words do not toggle let 2,241 pairs pass
+
+
+def test_near_copies_of_all_lengths(llm):
+    """Lines on both sides of the width of their maps, one to eleven words of a hundred changed, in texts that are coded together."""
+    rng = random.Random(4)
+    rows = []
+    for k, size in enumerate([1, 4, 5, 20, 64, 71, 72, 73, 80, 100, 150, 400]):
+        line = [f"w{k}x{j}" for j in range(size)]
+        for j in range(8):
+            gone = rng.sample(range(size), size * j * 2 // 100 + (j % 2 and size > 4))
+            rows.append((100 * k + j, "\n".join([" ".join(w for i, w in enumerate(line) if i not in gone), "", f"end of{k % 3}"])))
+    wanted = brute(rows)
+    assert sum(r[4] > 0 for r in wanted) > 60
+    assert found(llm.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == wanted
+
+
+def test_order_by_line_and_code_where_upper_bits_do_not_settle_it():
+    from tabwright.llm.lines import _by_line
+
+    line = np.repeat(np.arange(3000), 2)
+    code = (np.arange(6000, dtype=np.uint64) * np.uint64(7919)) % np.uint64(4096)
+    assert (_by_line(line, code, 3000) == np.lexsort((code, line))).all()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bit_set, dense, digest16, row_digest, spot, spot_of, stored, word_spans
+from tabwright.llm.common import bit_set, dense, digest16, row_digest, spot, spot_of, stored, taken, word_spans
 from tabwright.llm.registry import register, table
 
 THRESHOLD = 0.8
@@ -168,12 +168,12 @@ def _full_sets(held, bits):
     """(key, packed codes) of the lines whose spot in the bit set is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, taken = held.value, bits.value
+        rarity, flags = held.value, bits.value
         for batch in batches:
             wanted = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    wanted += [x for k, x in enumerate(text.split("\n")) if taken[spot_of(doc, k)]]
+                    wanted += [x for k, x in enumerate(text.split("\n")) if taken(flags, spot_of(doc, k))]
             for some in _chunks(wanted):
                 n, line, code = _codes("\n".join(wanted[some.start : some.stop]), rarity)
                 raw, ends = code.tobytes(), 8 * np.searchsorted(line, np.arange(n + 1))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bit_set, digest16, mix64, row_digest, spot, spot_of, stored, windows, words_of
+from tabwright.llm.common import bit_set, digest16, mix64, row_digest, spot, spot_of, stored, taken, windows, words_of
 from tabwright.llm.components import components
 from tabwright.llm.registry import register, table
 
@@ -107,7 +107,7 @@ def _sets(held, shingle: int):
             keys, packed = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = shingles(text, shingle)
-                if len(found) and bits[spot_of((key := _key(text, found)).hex(), doc_id)]:
+                if len(found) and taken(bits, spot_of((key := _key(text, found)).hex(), doc_id)):
                     keys.append(key)
                     packed.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.binary()), pa.array(packed, type=pa.binary())], names=["key", "items"])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tabwright.llm.common import bit_set, spot, spot_of, stored, text_digest, word_spans
+from tabwright.llm.common import bit_set, spot, spot_of, stored, taken, text_digest, word_spans
 from tabwright.llm.registry import register, table
 
 FOLDS = 5
@@ -197,7 +197,7 @@ def _among(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([bool(held.value[spot_of(i)]) for i in batch.column(0).to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([taken(held.value, spot_of(i)) for i in batch.column(0).to_pylist()], type=pa.bool_()))
 
     return run
 

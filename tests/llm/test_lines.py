@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabwright.llm.lines import line_classes, without_repeated_lines
 
@@ -109,3 +110,13 @@ def test_order_by_line_and_code_where_upper_bits_do_not_settle_it():
     line = np.repeat(np.arange(3000), 2)
     code = (np.arange(6000, dtype=np.uint64) * np.uint64(7919)) % np.uint64(4096)
     assert (_by_line(line, code, 3000) == np.lexsort((code, line))).all()
+
+
+def test_bit_sets_are_held_packed(llm):
+    from tabwright.llm.common import BITS, bit_set, spot, spot_of, taken
+
+    df = llm.range(0, 3000, 3).select(spot(F.col("id")).alias("s"))
+    held = bit_set(df).value
+    assert len(held) == 1 << (BITS - 3)
+    wanted = {r["s"] for r in df.collect()}
+    assert all(taken(held, spot_of(k)) == (spot_of(k) in wanted) for k in range(3000))

@@ -112,3 +112,12 @@ def test_many_hashes_are_given_out_in_parts(texts, monkeypatch):
     tally.add(2, h, g)
     rows = [r for b in tally.rows() for r in zip(*(c.to_pylist() for c in b.columns))]
     assert sorted(rows)[-1] == (2, 9, 1, 2) and sum(r[3] for r in rows) == 5
+
+
+def test_length_and_second_hash_travel_as_one_number(llm):
+    from tabwright.llm.phrases import _packed, _unpacked
+
+    rows = [(n, h, g, 1) for n in (0, 1, 4) for h in (-(2**63), 7) for g in (-(2**31), -1, 0, 2**31 - 1)]
+    packed = _packed(llm.createDataFrame(rows, "n byte, h long, g int, c long"))
+    assert packed.columns == ["h", "c", "k"]
+    assert sorted(tuple(r) for r in _unpacked(packed).select("n", "h", "g", "c").collect()) == sorted(rows)

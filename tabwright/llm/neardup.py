@@ -8,12 +8,13 @@ texts agree in a register with the Jaccard similarity of their sets, which is wh
 pair at 0.8 pass with probability 1 - (1 - 0.8^5)^24 = 0.9999. Every link is verified on the shingle sets:
 Jaccard >= 0.8. Classes are the connected components of the links.
 
-Texts with equal shingle sets are one node, so a group of exact copies costs one row. In a band bucket
-members are compared with pivots, not with each other: first with the smallest member, then round by round
-with 1, 2, 4, ... further pivots, and only while pivot and member lie in different components; what
-one round links, the next need not compare. Every pair of a bucket is thus verified or already connected, without
-emitting the pairs of a group. Shingles of texts that share a bucket are read by a second pass, thinned by a
-bit set of fixed size. Nothing about documents is collected except that bit set.
+Texts with equal shingle sets are one node, so a group of exact copies costs one row. Nodes carry a bitmap that
+bounds how far two sets differ (see tiles). In a band bucket members are first compared with its smallest member, the
+hub, where their bitmaps allow a link; what that links, the next step need not compare. Buckets that still hold several
+components are cut into tiles, whose members meet inside a task; only pairs of different components whose bitmaps allow
+a link leave it. Every pair of a bucket is thus verified, ruled out by its bound or already connected, without emitting
+the pairs of a group. Shingles of texts that share a bucket are read by a second pass, thinned by a bit set of fixed
+size. Nothing about documents is collected except that bit set.
 
 Defined results: a text of fewer than five words, but some, is one shingle of all of them; texts without words
 form a class only with equal, non-empty texts; null and empty texts are alone; class_id is the smallest
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import bit_set, digest16, mix64, row_digest, spot, spot_of, stored, taken, windows, words_of
 from tabwright.llm.components import components
 from tabwright.llm.registry import register, table
+from tabwright.llm.tiles import TILE, bitmap, compare, near, open_groups, tiles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -84,15 +86,24 @@ def _key(text: str | None, found: np.ndarray) -> bytes | None:
 def _sketch(bands: int, rows: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes = [], []
+            keys, hashes, sizes, maps = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, shingle)
                 keys.append(_key(text, found))
                 owner = signature(found, np.ones(len(found)), bands * rows) if len(found) else None
                 hashes.append(band_hashes(owner, bands, rows) if owner is not None else [])
+                sizes.append(len(found))
+                maps.append(bitmap(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, type=pa.binary()), pa.array(hashes, type=pa.list_(pa.int64()))],
-                names=["doc_id", "row", "key", "bands"],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(keys, type=pa.binary()),
+                    pa.array(hashes, type=pa.list_(pa.int64())),
+                    pa.array(sizes, type=pa.int64()),
+                    pa.array(maps, type=pa.binary()),
+                ],
+                names=["doc_id", "row", "key", "bands", "n", "bitmap"],
             )
 
     return run
@@ -127,11 +138,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the (a, b) pairs those that are similar enough, with their Jaccard similarity."""
-    left = sets.select(F.col("key").alias("_ka"), F.col("items").alias("x"), F.length("items").alias("_n"))
-    right = sets.select(F.col("key").alias("_kb"), F.col("items").alias("y"), F.length("items").alias("_m"))
-    both = pairs.join(left, F.col("a") == F.col("_ka")).join(right, F.col("b") == F.col("_kb"))
-    both = both.where(F.least("_n", "_m") >= F.lit(similarity) * F.greatest("_n", "_m"))  # sizes alone rule the rest out
-    scored = both.select("a", "b", "x", "y").mapInArrow(_verified, "a binary, b binary, jaccard double")
+    left = sets.select(F.col("node").alias("_a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("_b"), F.col("items").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    scored = both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, jaccard double")
     return stored(scored.where(F.col("jaccard") >= similarity), "neardup-links")
 
 
@@ -161,14 +171,15 @@ def _classes(
     doc_id, row) that stands for its class, null for texts that are alone by definition."""
     slim = documents.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     whole = slim.withColumn("row", row_digest(F.col("text")))
-    sketched = stored(whole.mapInArrow(_sketch(bands, rows, shingle), "doc_id long, row binary, key binary, bands array<long>"), "neardup-sketches")
-    nodes = sketched.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.min(_place()).alias("first"), F.first("bands").alias("bands")
-    )
+    shape = "doc_id long, row binary, key binary, bands array<long>, n long, bitmap binary"
+    sketched = stored(whole.mapInArrow(_sketch(bands, rows, shingle), shape).withColumn("at", F.monotonically_increasing_id()), "neardup-sketches")
+    real = sketched.where(F.col("key").isNotNull())
+    nodes = real.groupBy("key").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.min(_place()).alias("first"))
     nodes = stored(nodes, "neardup-nodes")
-    roots = _roots(slim, nodes, similarity, shingle)
-    classes = nodes.select("key", "rep", "first").join(roots, F.col("key") == F.col("node"), "left")
-    classes = classes.select("key", "rep", "first", F.coalesce("root", "key").alias("root"))
+    own = real.select("at", "bands", "n", "bitmap").join(nodes.select("node", "key", "rep"), F.col("at") == F.col("node")).drop("at")
+    roots = _roots(slim, own, similarity, shingle).withColumnRenamed("node", "_node")
+    classes = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+    classes = classes.select("key", "rep", "first", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("first")).withColumnRenamed("root", "_root")
     named = classes.drop("first").join(named, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "class_id", "first")
     out = sketched.select("doc_id", "row", "key").join(named, F.col("key") == F.col("_key"), "left")
@@ -180,54 +191,34 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
 
 
-def _roots(slim: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _roots(slim: DataFrame, nodes: DataFrame, similarity: float, shingle: int, tile: int = TILE) -> DataFrame:
     """(node, root) of the nodes that have links."""
-    banded = nodes.select("key", "rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    members = stored(banded.join(hubs.withColumnRenamed("band", "_band"), F.col("band") == F.col("_band")).drop("_band", "n"), "neardup-members")
+    percent = 100 * similarity - 1e-9  # bounds may let a little more through
+    banded = nodes.select("node", "n", F.explode("bands").alias("token"))
+    hubs = banded.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    members = stored(banded.join(hubs.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t")).drop("_t"), "neardup-members")
+    some = nodes.join(members.select(F.col("node").alias("_m")).distinct(), F.col("node") == F.col("_m"))
+    some = stored(some.select("key", "rep", "node", "n", "bitmap"), "neardup-candidates")
 
-    held = bit_set(members.select(spot(F.lower(F.hex("key")), F.col("rep")).alias("s")))
-    sets = slim.mapInArrow(_sets(held, shingle), "key binary, items binary").groupBy("key").agg(F.first("items").alias("items"))
-    sets = stored(sets, "neardup-sets")
+    held = bit_set(some.select(spot(F.lower(F.hex("key")), F.col("rep")).alias("s")))
+    sets = slim.mapInArrow(_sets(held, shingle), "key binary, items binary").groupBy(F.col("key").alias("_k")).agg(F.first("items").alias("items"))
+    sets = stored(sets.join(some.select("key", "node"), F.col("_k") == F.col("key")).select("node", "items"), "neardup-sets")
 
     # one hub for each node, then the hubs of its other bands
-    stars = members.where(F.col("key") != F.col("hub")).groupBy(F.col("key").alias("a")).agg(F.min("hub").alias("b"))
-    stars = stored(stars, "neardup-stars")
-    links = _similar(stars, sets, similarity).select("a", "b")
-    roots = components(links)
-    rest = members.where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    rest = stored(_apart(rest, roots).join(stars, ["a", "b"], "left_anti"), "neardup-tried")
-    tried = stars.unionAll(rest)  # a pair that shares several bands is compared once
-    more = _similar(rest, sets, similarity).select("a", "b")
+    pairs = members.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(near(pairs, some, percent), "neardup-pairs")
+    links = _similar(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, similarity).select("a", "b")
+    more = _similar(_apart(pairs, components(links)), sets, similarity).select("a", "b")
     links = links.unionAll(more)
     roots = components(links)
 
-    # further pivots, only in buckets whose members still lie in different components
-    width, first = 1, 2
-    while True:
-        at = members.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-        open_ = at.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        open_ = open_.where((F.col("_lo") != F.col("_hi")) & (F.col("_n") > first)).select(F.col("band").alias("_band"))
-        left = stored(at.join(open_, F.col("band") == F.col("_band")).drop("_band"), "neardup-open")
-        if left.isEmpty():
-            return roots
-        pivots = _pivots(left, first, width)
-        pairs = left.join(pivots, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root")) & (F.col("key") > F.col("pivot")))
-        pairs = pairs.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "neardup-tried")
-        tried = tried.unionAll(pairs)
-        more = _similar(pairs, sets, similarity).select("a", "b")
-        links = links.unionAll(more)
-        roots = components(links)
-        first, width = first + width, width * 2
-
-
-def _pivots(members: DataFrame, first: int, width: int) -> DataFrame:
-    """The members numbered first..first+width-1 (from 1) of each bucket, in the order of their keys."""
-    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("band").orderBy("key")))
-    return ranked.where((F.col("_r") < first + width) & (F.col("_r") >= first)).select(
-        F.col("band").alias("_band"), F.col("key").alias("pivot"), F.col("root").alias("_root")
-    )
+    # buckets whose members still lie in different components
+    left = open_groups(members.where(F.col("size") > 2), roots)
+    if left.isEmpty():
+        return roots
+    pairs = tiles(left, some.select("node", "bitmap"), percent, tile).mapInArrow(compare(percent), "a long, b long").distinct()
+    more = _similar(stored(pairs, "neardup-pairs"), sets, similarity).select("a", "b")
+    return components(links.unionAll(more))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ theirs. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +36,12 @@ from tabwright.llm.common import digest16, discard, stored
 from tabwright.llm.components import components
 from tabwright.llm.grains import Bits, chunks, gram_hashes, signed
 from tabwright.llm.registry import register, table
+from tabwright.llm.tiles import BITMAP, TILE, bitmap, compare, near, open_groups, overlap_enough, tile_pairs, tiles  # noqa: F401
 
 SHINGLE = 5
 PERCENT = 80
 CELLS = 20  # 2^20 counters
 CELL_ROW = 1024
-BITMAP = 1024  # bits of a set's bitmap
-TILE = 1024  # sets in a tile
 STARS = 2  # star rounds before tiles
 
 SPACE = np.zeros(256, dtype=bool)
@@ -117,11 +115,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    at = (found & np.uint64(BITMAP - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITMAP) & 1).astype(bool), bitorder="little").tobytes()
-
-
 def _describe(size: int, percent: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = classes.value
@@ -164,56 +157,6 @@ def _items(size: int, wanted: Bits):
 # --- pairs ---------------------------------------------------------------------------------------
 
 
-def _overlap_enough(na, nb, overlap, percent: int):
-    return 100 * overlap >= percent * (na + nb - overlap)
-
-
-def _bitmaps(values: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(values.to_pylist()), dtype=np.uint64).reshape(len(values), BITMAP // 64)
-
-
-def _tile(values: pa.Array, at: int, end: int) -> tuple[np.ndarray, ...]:
-    part = values.slice(at, end - at)
-    return (*(part.field(k).to_numpy() for k in range(3)), _bitmaps(part.field(3)))
-
-
-def tile_pairs(a: tuple, b: tuple, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of two tiles (node, root, n, bitmap) whose bound passes."""
-    step = max(1, (1 << 16) // len(b[0]))
-    left, right = [], []
-    for s in range(0, len(a[0]), step):
-        e = min(s + step, len(a[0]))
-        total = a[2][s:e, None] + b[2][None, :]
-        apart = np.bitwise_count(a[3][s:e, None, :] ^ b[3][None, :, :]).sum(axis=-1, dtype=np.int64)
-        most = np.minimum((total - apart) // 2, np.minimum(a[2][s:e, None], b[2][None, :]))
-        ok = (100 * most >= percent * (total - most)) & (a[1][s:e, None] != b[1][None, :])
-        if same:
-            ok &= np.arange(s, e)[:, None] < np.arange(len(b[0]))[None, :]
-        x, y = np.nonzero(ok)
-        left.append(x + s)
-        right.append(y)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _compare(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = batch.column(0).to_pylist()
-            x, y = batch.column(1), batch.column(2)
-            xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
-            out = []
-            for k in range(batch.num_rows):
-                a = _tile(x.values, xo[k], xo[k + 1])
-                b = a if same[k] else _tile(y.values, yo[k], yo[k + 1])
-                i, j = tile_pairs(a, b, same[k], percent)
-                if len(i):
-                    out.append((np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j])))
-            made = [np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else ((), ()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["a", "b"])
-
-    return run
-
-
 def _intersect(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,31 +164,12 @@ def _intersect(percent: int):
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(_overlap_enough(len(x), len(y), shared, percent)))
+                keep.append(bool(overlap_enough(len(x), len(y), shared, percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
 
 
-def _bounded(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            apart = np.bitwise_count(_bitmaps(batch.column("x")) ^ _bitmaps(batch.column("y"))).sum(axis=1, dtype=np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(_overlap_enough(total, 0, (total - apart) // 2, percent)))
-
-    return run
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose sizes and bitmaps allow a link."""
-    left = nodes.select(F.col("node").alias("_a"), "n", F.col("bitmap").alias("x"))
-    right = nodes.select(F.col("node").alias("_b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    both = both.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "n", "m", "x", "y")
-    return both.mapInArrow(_bounded(percent), "a long, b long")
-
-
 def _links(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The (a, b) pairs whose sets are similar enough; the sets of their nodes are read from the texts again."""
     pairs = stored(pairs, "ngramjoin-pairs")
@@ -263,16 +187,6 @@ def _links(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, percent: int, sh
     return links
 
 
-def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of groups that hold several components, with their root."""
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
-    named = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    at = members.drop("root").join(named, F.col("node") == F.col("_n"), "left").select("token", "node", "n", F.coalesce("_r", "node").alias("root"))
-    apart = at.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select(F.col("token").alias("_t"))
-    return stored(at.join(apart, F.col("token") == F.col("_t")).drop("_t"), "ngramjoin-open")
-
-
 def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """One pair for each node: with the drawn member of one of its groups, if in another component and of fitting size."""
     drawn = F.xxhash64("node", F.lit(turn))
@@ -283,31 +197,6 @@ def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return one.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _tiles(members: DataFrame, bitmaps: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Tiles and pairs of tiles that may hold links: (same, x, y), each a list of (node, root, n, bitmap).
-
-    A group that fits a tile is one; a larger one is cut by band of set size and by hash.
-    """
-    width = math.log(100 / percent) * 1.05 + 1e-9  # a little wider than the bound, so that rounding skips no band
-    totals = members.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("_m"))
-    sized = members.join(totals, F.col("token") == F.col("_t")).drop("_t")
-    sized = sized.join(bitmaps.select(F.col("node").alias("_n"), "bitmap"), F.col("node") == F.col("_n"))
-    sets = F.collect_list(F.struct("node", "root", "n", "bitmap")).alias("sets")
-    small = sized.where(F.col("_m") <= tile).groupBy("token").agg(sets)
-
-    banded = sized.where(F.col("_m") > tile).withColumn("band", F.floor(F.log("n") / F.lit(width)))
-    parts = banded.groupBy(F.col("token").alias("_t"), F.col("band").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).alias("_parts"))
-    dealt = banded.join(parts, (F.col("token") == F.col("_t")) & (F.col("band") == F.col("_b")))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    whole = stored(dealt.groupBy("token", "band", "part").agg(sets), "ngramjoin-tiles")
-    left = whole.select("token", "band", "part", F.col("sets").alias("x"), F.explode(F.array("band", F.col("band") + 1)).alias("to"))
-    right = whole.select(F.col("token").alias("_t"), F.col("band").alias("_b"), F.col("part").alias("_p"), F.col("sets").alias("y"))
-    met = left.join(right, (F.col("token") == F.col("_t")) & (F.col("to") == F.col("_b")) & ((F.col("band") < F.col("to")) | (F.col("part") <= F.col("_p"))))
-    same = (F.col("band") == F.col("to")) & (F.col("part") == F.col("_p"))
-    large = met.select(same.alias("same"), "x", F.when(~same, F.col("y")).otherwise(F.array()).alias("y"))
-    return small.select(F.lit(True).alias("same"), F.col("sets").alias("x"), F.array().cast(small.schema["sets"].dataType).alias("y")).unionAll(large)
-
-
 def ngram_components(
     documents: DataFrame,
     percent: int = PERCENT,
@@ -356,13 +245,13 @@ def _roots(slim: DataFrame, real: DataFrame, members: DataFrame, percent: int, s
     some = stored(some, "ngramjoin-candidates")
     links, labels, left = None, None, members
     for turn in range(stars + 1):
-        left = _open(left, labels)
+        left = open_groups(left, labels)
         if left.isEmpty():
             break
         if turn < stars:
-            pairs = _near(_star(left, turn, percent), some, percent)
+            pairs = near(_star(left, turn, percent), some, percent)
         else:
-            pairs = _tiles(left, some.select("node", "bitmap"), percent, tile).mapInArrow(_compare(percent), "a long, b long").distinct()
+            pairs = tiles(left, some.select("node", "bitmap"), percent, tile).mapInArrow(compare(percent), "a long, b long").distinct()
         more = _links(pairs, some, slim, percent, shingle)
         links = more if links is None else links.unionAll(more)  # of stored tables, one a round
         if turn < stars:

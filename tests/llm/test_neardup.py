@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from tabwright.llm import neardup
 from tabwright.llm.components import components
 from tabwright.llm.neardup import near_duplicates, signature, without_near_duplicates
 
@@ -70,6 +71,22 @@ def test_a_family_whose_copies_are_alike_only_through_the_original(llm):
     assert found(df) == brute(rows)
 
 
+def test_a_crowd_that_shares_a_passage_emits_no_pairs(llm, monkeypatch):
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(75)]
+    rows = [(k, " ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(25))])) for k in range(80)]
+    rows += [(100 + k, text + " more") for k, text in rows[:10]]
+    verified, similar = [], neardup._similar
+
+    def counted(pairs, *more):
+        verified.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(neardup, "_similar", counted)
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    assert found(df) == brute(rows) and sum(verified) <= len(rows)
+
+
 def test_rows_with_one_doc_id_are_told_apart(llm):
     rng = random.Random(12)
     alone, twice, null = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(3))

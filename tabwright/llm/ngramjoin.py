@@ -7,8 +7,9 @@ threshold, and components are the connected texts. Nothing is lost: every filter
    first. Sets that are similar enough share a shingle among the first floor((1 - t) n) + 1 of either, so only sets
    that share such a shingle meet; groups of shingles with the same members count once. A shingle that a third of all
    documents hold stands last in their order and brings only those together that hold little else.
-2. Equal sets are one node. In a few star rounds every node is verified against one drawn member of one of its
-   groups; groups whose members are connected by then are done, so a group of copies costs no pairs.
+2. Equal sets are one node. In a few star rounds every node meets one drawn member of each of its groups by bitmap and
+   is verified against one that passes; groups whose members are connected by then are done, so a group of copies costs
+   no pairs.
 3. What is left is cut into tiles by band of set size and hash. Only tiles of the same and the next band meet. Each
    set has a bitmap that every shingle toggles one bit of: the bits in which two bitmaps differ are no more than the
    shingles in which the sets differ, which bounds the overlap from above. Pairs that pass, of different components
@@ -187,14 +188,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, percent: int, sh
     return links
 
 
-def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair for each node: with the drawn member of one of its groups, if in another component and of fitting size."""
+def _star(members: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One pair for each node: with the drawn member of one of its groups, if in another component and near by their bitmaps."""
     drawn = F.xxhash64("node", F.lit(turn))
     hubs = members.groupBy(F.col("token").alias("_t")).agg(F.min_by(F.struct("node", "n", "root"), drawn).alias("hub"))
     met = members.join(hubs, F.col("token") == F.col("_t")).where(F.col("root") != F.col("hub.root"))
     met = met.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    one = met.groupBy("node").agg(F.min_by("hub.node", F.xxhash64("hub.node", F.lit(turn))).alias("hub"))
-    return one.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    met = near(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), nodes, percent)
+    one = met.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def ngram_components(
@@ -249,7 +251,7 @@ def _roots(slim: DataFrame, real: DataFrame, members: DataFrame, percent: int, s
         if left.isEmpty():
             break
         if turn < stars:
-            pairs = near(_star(left, turn, percent), some, percent)
+            pairs = _star(left, some, turn, percent)
         else:
             pairs = tiles(left, some.select("node", "bitmap"), percent, tile).mapInArrow(compare(percent), "a long, b long").distinct()
         more = _links(pairs, some, slim, percent, shingle)

@@ -69,9 +69,12 @@ def compare(percent: float):
                 b = a if same[k] else _tile(y.values, yo[k], yo[k + 1])
                 i, j = tile_pairs(a, b, same[k], percent)
                 if len(i):
-                    out.append((np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j])))
-            made = [np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else ((), ()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["a", "b"])
+                    out.append(np.stack([np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j])]))
+            made = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+            order = np.lexsort(made)
+            made = made[:, order]  # sets that meet in several groups are one pair
+            first = np.concatenate(([True], (made[:, 1:] != made[:, :-1]).any(axis=0)))[: made.shape[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made[:, first]], names=["a", "b"])
 
     return run
 

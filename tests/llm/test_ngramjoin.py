@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabwright.llm import ngramjoin
 from tabwright.llm.ngramjoin import BITMAP, bitmap, ngram_components, prefix_length, shingle_sets, tile_pairs
+from tabwright.llm.tiles import compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -65,6 +67,28 @@ def test_texts_that_share_a_passage_are_linked_only_by_their_own_words(llm):
     assert found(llm.createDataFrame(rows, "doc_id long, text string"), stars=0, tile=7) == brute(rows)
 
 
+def test_stars_pass_over_drawn_members_that_cannot_link(llm):
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    base = draw(200)
+    sets = {k: np.append(base, draw(1)) for k in range(10)} | {k: draw(201) for k in range(50, 58)}
+    nodes = llm.createDataFrame([(k, 201, bytearray(bitmap(s))) for k, s in sets.items()], "node long, n long, bitmap binary")
+    groups = [(100, range(10)), *((200 + k, [k, *range(10)]) for k in range(50, 58))]
+    members = llm.createDataFrame([(t, k, 201, k) for t, g in groups for k in g], "token long, node long, n long, root long")
+    for turn in range(3):
+        pairs = [tuple(r) for r in ngramjoin._star(members, nodes, turn, 80).collect()]
+        assert len(pairs) == 9 and {k for p in pairs for k in p} == set(range(10))
+
+
+def test_sets_that_meet_in_several_groups_are_one_pair():
+    one = [{"node": k, "root": k, "n": 3, "bitmap": bitmap(np.arange(3, dtype=np.uint64))} for k in (7, 5, 9)]
+    sets = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([True] * 3), pa.array([one, one[:2], one[::-1]], sets), pa.array([[]] * 3, sets)], names=["same", "x", "y"])
+    (made,) = compare(80)(iter([batch]))
+    assert sorted(zip(*(c.to_pylist() for c in made.columns), strict=True)) == [(5, 7), (5, 9), (7, 9)]
+    assert [b.num_rows for b in compare(80)(iter([batch.slice(0, 0)]))] == [0]
+
+
 def test_bounds():
     rng = np.random.default_rng(1)
     universe = np.sort(rng.integers(0, 2**63, 1200).astype(np.uint64))

@@ -14,6 +14,8 @@ threshold, and components are the connected texts. Nothing is lost: every filter
    set has a bitmap that every shingle toggles one bit of: the bits in which two bitmaps differ are no more than the
    shingles in which the sets differ, which bounds the overlap from above. Pairs that pass, of different components
    so far, are intersected as sorted arrays.
+4. Long sets fill a bitmap, so it tells nothing about them. From `LONG` shingles on a set also has how many shingles each
+   of 1024 cells holds: the counts differ by no more than the sets do. Pairs are held against these before a set moves.
 
 Tiles hold about `TILE` sets, so a hot group becomes many tile pairs in many tasks; no pair leaves a tile unless its
 bound passes. Nothing about documents is collected but counts in cells and bit sets (see grains.Bits).
@@ -37,13 +39,14 @@ from tabwright.llm.common import digest16, discard, stored
 from tabwright.llm.components import components
 from tabwright.llm.grains import Bits, chunks, gram_hashes, signed
 from tabwright.llm.registry import register, table
-from tabwright.llm.tiles import BITMAP, TILE, bitmap, compare, near, open_groups, overlap_enough, tile_pairs, tiles  # noqa: F401
+from tabwright.llm.tiles import BITMAP, TILE, alike, bitmap, cell_counts, compare, near, open_groups, overlap_enough, tile_pairs, tiles  # noqa: F401
 
 SHINGLE = 5
 PERCENT = 80
 CELLS = 20  # 2^20 counters
 CELL_ROW = 1024
 STARS = 2  # star rounds before tiles
+LONG = 1024  # shingles from which a set has counts
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -122,21 +125,23 @@ def _describe(size: int, percent: int, classes):
         low = np.uint64((1 << 56) - 1)
         for batch in batches:
             n = batch.num_rows
-            keys, sizes, maps, prefixes = [None] * n, [0] * n, [None] * n, [None] * n
+            keys, sizes, maps, counts, prefixes = [None] * n, [0] * n, [None] * n, [None] * n, [None] * n
             for row, found in shingle_sets(batch.column(1).to_pylist(), size):
                 order = (held[found >> np.uint64(64 - CELLS)].astype(np.uint64) << np.uint64(56)) | (found & low)
                 short = prefix_length(len(found), percent)
                 first = np.partition(order, short - 1)[:short] if short < len(order) else order
                 keys[row], sizes[row], maps[row], prefixes[row] = digest16(found), len(found), bitmap(found), first.view(np.int64)
+                counts[row] = cell_counts(found) if len(found) >= LONG else None
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(keys, type=pa.binary()),
                     pa.array(sizes, type=pa.int64()),
                     pa.array(maps, type=pa.binary()),
+                    pa.array(counts, type=pa.binary()),
                     pa.array(prefixes, type=pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n", "bitmap", "prefix"],
+                names=["doc_id", "key", "n", "bitmap", "counts", "prefix"],
             )
 
     return run
@@ -173,7 +178,7 @@ def _intersect(percent: int):
 
 def _links(pairs: DataFrame, nodes: DataFrame, slim: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The (a, b) pairs whose sets are similar enough; the sets of their nodes are read from the texts again."""
-    pairs = stored(pairs, "ngramjoin-pairs")
+    pairs = stored(alike(stored(pairs, "ngramjoin-met"), nodes, percent), "ngramjoin-pairs")
     ends = pairs.select(F.col("a").alias("_m")).unionAll(pairs.select("b")).distinct()
     some = stored(nodes.join(ends, F.col("node") == F.col("_m")).select("doc_id", "key", "node"), "ngramjoin-ends")
     wanted = Bits(some.select(F.xxhash64("doc_id").alias("h")))
@@ -213,16 +218,17 @@ def ngram_components(
         raise ValueError("percent lies above 0 and up to 100")
     slim = documents.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     classes = frequency_classes(slim.select("text"), shingle)
-    shape = "doc_id long, key binary, n long, bitmap binary, prefix array<long>"
+    shape = "doc_id long, key binary, n long, bitmap binary, counts binary, prefix array<long>"
     found = slim.mapInArrow(_describe(shingle, percent, classes), shape).withColumn("at", F.monotonically_increasing_id())
     found = stored(found, "ngramjoin-sets")
     real = found.where(F.col("key").isNotNull())
     nodes = stored(real.groupBy("key").agg(F.min("at").alias("node"), F.min("doc_id").alias("least")), "ngramjoin-nodes")
 
     own = real.join(nodes.select("node"), F.col("at") == F.col("node"))
-    held = own.select("node", "n", F.explode("prefix").alias("token")).repartition("token")
+    # groups and members take the same columns of the same rows, so that one exchange serves both
+    held = own.select("node", "n", F.explode("prefix").alias("token")).where(F.col("token").isNotNull()).repartition("token")
     groups = held.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", "n")).alias("x"), F.bit_xor(F.xxhash64("node", "n", F.lit(7))).alias("y")
     )
     # of shingles with the same members one is enough
     kept = groups.where("size > 1").groupBy("size", "x", "y").agg(F.min("token").alias("_kept")).select("_kept")
@@ -242,7 +248,7 @@ def ngram_components(
 def _roots(slim: DataFrame, real: DataFrame, members: DataFrame, percent: int, shingle: int, stars: int, tile: int) -> DataFrame:
     """(node, root) of the nodes that have links."""
     some = real.join(members.select(F.col("node").alias("_m")).distinct(), F.col("at") == F.col("_m")).select(
-        "doc_id", "key", F.col("at").alias("node"), "n", "bitmap"
+        "doc_id", "key", F.col("at").alias("node"), "n", "bitmap", "counts"
     )
     some = stored(some, "ngramjoin-candidates")
     links, labels, left = None, None, members

@@ -26,6 +26,11 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=BITMAP) & 1).astype(bool), bitorder="little").tobytes()
 
 
+def cell_counts(found: np.ndarray) -> bytes:
+    """How many items fall on each bit of the bitmap, modulo 256."""
+    return np.bincount((found & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP).astype(np.uint8).tobytes()
+
+
 def overlap_enough(na, nb, overlap, percent: float):
     return 100 * overlap >= percent * (na + nb - overlap)
 
@@ -98,6 +103,31 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: float) -> DataFrame:
     return both.mapInArrow(bounded(percent), "a long, b long")
 
 
+def counted(percent: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                ok = True
+                if x is not None and y is not None:
+                    ahead = np.frombuffer(x, dtype=np.uint8) - np.frombuffer(y, dtype=np.uint8)  # modulo 256
+                    apart = int(np.minimum(ahead, -ahead).sum(dtype=np.int64))
+                    ok = bool(overlap_enough(n + m, 0, min((n + m - apart) // 2, n, m), percent))
+                keep.append(ok)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, percent: float) -> DataFrame:
+    """The (a, b) pairs whose cell counts allow a link; pairs with a set that has none pass."""
+    long = nodes.where(F.col("counts").isNotNull())
+    left = long.select(F.col("node").alias("_a"), "n", F.col("counts").alias("x"))
+    right = long.select(F.col("node").alias("_b"), F.col("n").alias("m"), F.col("counts").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("_a"), "left").join(right, F.col("b") == F.col("_b"), "left")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(counted(percent), "a long, b long")
+
+
 def open_groups(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members of groups that hold several components, with their root."""
     if roots is None:

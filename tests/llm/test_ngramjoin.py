@@ -7,7 +7,7 @@ import pytest
 
 from tabwright.llm import ngramjoin
 from tabwright.llm.ngramjoin import BITMAP, bitmap, ngram_components, prefix_length, shingle_sets, tile_pairs
-from tabwright.llm.tiles import compare
+from tabwright.llm.tiles import cell_counts, compare, counted
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -128,3 +128,28 @@ def test_frequent_shingles_stand_last(llm):
     classes = ngramjoin.frequency_classes(texts, 5).value
     (_, found_), = shingle_sets(["common words of all texts"], 5)
     assert classes[int(found_[0] >> np.uint64(44))] == int(4 * np.log2(201)) and (classes > 0).sum() > 500
+
+
+def test_counts_of_cells_tell_long_sets_apart_and_lose_no_link():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    rows = []
+    for n in (1024, 3000, 9000, 40_000):
+        one, other = draw(n), draw(n)
+        near = np.concatenate((one[n // 10 :], draw(n // 9)))  # a tenth is replaced: a Jaccard similarity of 0.8 and more
+        rows += [(n, one, other), (n, one, near)]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "a": list(range(len(rows) + 1)), "b": list(range(len(rows) + 1)), "n": [len(x) for _, x, _ in rows] + [None], "m": [len(y) for _, _, y in rows] + [9000],
+            "x": [cell_counts(x) for _, x, _ in rows] + [None], "y": [cell_counts(y) for _, _, y in rows] + [cell_counts(draw(9000))],
+        }
+    )
+    (kept,) = counted(80)([batch])
+    # bitmaps pass the unrelated sets of 3000 and 9000 as well
+    assert kept.column("a").to_pylist() == [1, 3, 5, 6, 7, 8]
+    assert all(len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) for _, x, y in rows[1::2])
+
+
+def test_components_where_all_sets_have_counts(prose, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LONG", 1)
+    assert found(prose) == brute([(r["doc_id"], r["text"]) for r in prose.collect()])

@@ -12,9 +12,11 @@ share at least a = ceil(t / (1 + t) (n + m)) words, so
 * bitmap: maps of 64 bits (128 for sets of `WIDE` words and more) in which every word toggles its bit differ in at most
   n + m - 2 a bits; common words cancel out, so long lines are told apart as well,
 
-and what is left is verified on the full sets. A pair belongs to its rarest common word. Where more than `hot`
-sets share a prefix word, pairs are not emitted: the sets are dealt into blocks, each pair of blocks is compared
-inside one task by an incidence product, and only counts and the earliest partner leave it.
+and what is left is verified on the full sets. Sets meet by word in one exchange of sizes and maps, sorted by size, so that each
+is held against those in reach of its length alone; a word with more than `TILE` sets is dealt into parts that meet in pairs.
+A pair belongs to its rarest common word. Where more than `hot` sets share a word and pass by the maps so often that pairs
+would grow with the square of a cluster, only the sets that pass are named: these are dealt into blocks with their words, each
+pair of blocks is compared inside one task by an incidence product, and only counts and the earliest partner leave it.
 
 A line goes when an earlier line, in the order (doc_id, line), has the same set or a similar one.
 
@@ -36,12 +38,17 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import bit_set, dense, digest16, row_digest, spot, spot_of, stored, taken, word_spans
 from tabwright.llm.registry import register, table
+from tabwright.session import BROADCAST_ROWS
 
 THRESHOLD = 0.8
 HOT = 512
 BLOCK = 384
 COUNTERS = 20  # bits
 WIDE = 72  # words from which a set has 128 bits
+TILE = 1 << 14  # sets of a word that are compared in one place
+ROWS = 1 << 16  # postings that are compared at once
+CELLS = 1 << 18  # pairs whose maps are held at once
+RUN = 48  # sets of a word from which they are compared as a matrix
 AT_ONCE = 1 << 17  # characters whose lines are coded at once
 
 _LINES = "doc_id long, line int, key binary, n int, bits long, wide long, prefix array<int>"
@@ -164,8 +171,8 @@ def _line_rows(held, t: float):
     return run
 
 
-def _full_sets(held, bits):
-    """(key, packed codes) of the lines whose spot in the bit set is taken."""
+def _full_sets(held, bits, power: int):
+    """(key, packed codes) of the lines whose spot in the bit set of 2^power places is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, flags = held.value, bits.value
@@ -173,7 +180,7 @@ def _full_sets(held, bits):
             wanted = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    wanted += [x for k, x in enumerate(text.split("\n")) if taken(flags, spot_of(doc, k))]
+                    wanted += [x for k, x in enumerate(text.split("\n")) if taken(flags, spot_of(doc, k, bits=power))]
             for some in _chunks(wanted):
                 n, line, code = _codes("\n".join(wanted[some.start : some.stop]), rarity)
                 raw, ends = code.tobytes(), 8 * np.searchsorted(line, np.arange(n + 1))
@@ -191,26 +198,161 @@ def _shared_least(n: Column, m: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - 1e-9)
 
 
-def _candidates(postings: DataFrame, t: float) -> DataFrame:
-    """(a, b): distinct pairs, a the smaller set.
+def _dealt(postings: DataFrame) -> DataFrame:
+    """The postings by place of comparison: (key, at, id, bits, wide), sorted by key in their partitions.
 
-    Both sides are the same rows by word, so one exchange serves them.
+    `key` holds the word, the two parts that meet and the size, so equal upper 48 bits are one place; `at` holds the size, the
+    position and, in its lowest bits, whether the word is dealt into parts and of which of the two parts a set is.
     """
-    small = postings.select(*[F.col(c).alias(f"{c}_a") for c in postings.columns])
-    large = postings.select(*[F.col(c).alias(f"{c}_b") for c in postings.columns])
-    na, nb = F.col("n_a"), F.col("n_b")
-    least = _shared_least(na, nb, t)
-    # the 64 bits are the 128 folded, `wide` is their upper half
-    low, high = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("bits", "wide"))
-    fits = (
-        (F.col("word_a") == F.col("word_b"))
-        & ((na < nb) | ((na == nb) & (F.col("id_a") < F.col("id_b"))))
-        & (na >= F.lit(t) * nb - 1e-9)
-        & (F.lit(1) + F.least(na - F.col("pos_a") - 1, nb - F.col("pos_b") - 1) >= least)
-        & (F.bit_count(low) <= na + nb - 2 * least)
-        & ((na < WIDE) | (F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high) <= na + nb - 2 * least))
-    )
-    return small.join(large, fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    # only words whose counter is that high can have as many sets
+    often = postings.where(F.shiftright("word", 25) >= int(2 * math.log2(TILE + 1)))
+    parts = often.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE)
+    parts = stored(parts.select(F.col("word").alias("_word"), F.least(F.ceil(F.col("m") / F.lit(TILE)), F.lit(256)).cast("int").alias("parts")), "line-parts")
+    own = F.lit(0)
+    many = parts.count()
+    if many:
+        parts = F.broadcast(parts) if many <= BROADCAST_ROWS else parts
+        postings = postings.join(parts, F.col("word") == F.col("_word"), "left")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        # bits 2 to 17: the parts, the smaller one first
+        met = F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1),
+            lambda x: F.shiftleft(F.least(x, part), 10).bitwiseOR(F.shiftleft(F.greatest(x, part), 2)).bitwiseOR(F.lit(2)).bitwiseOR((part > x).cast("int")),
+        )
+        postings = postings.withColumn("place", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(met)))
+        own = F.col("place")
+    size = F.least(F.col("n"), F.lit(0xFFFF)).cast("long")
+    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(F.shiftright(own, 2).cast("long"), 16)).bitwiseOR(size)
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 2)).bitwiseOR(own.bitwiseAND(F.lit(3)).cast("long"))
+    placed = postings.select(key.alias("key"), at.alias("at"), "id", "bits", "wide")
+    return placed.repartition(F.shiftright("key", 16)).sortWithinPartitions("key")
+
+
+class _Places:
+    """Postings of whole places, in order: which of them are candidates."""
+
+    def __init__(self, key: np.ndarray, at: np.ndarray, id_: np.ndarray, bits: np.ndarray, wide: np.ndarray, t: float):
+        self.key, self.id, self.low, self.high, self.t = key, id_, bits, wide, t
+        self.n, self.pos, self.side = at >> 32, (at >> 2) & 0x3FFFFFFF, at & 1
+        self.many = (at & 2) > 0  # the word is dealt into parts
+        self.apart = ((key >> 24) & 0xFF) != ((key >> 16) & 0xFF)  # two parts meet, each of which is compared elsewhere
+        place = key >> 16
+        self.first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        self.end = np.append(self.first[1:], len(key))
+        # partners follow in the order of sizes, up to n / t
+        reach = np.minimum(np.floor((self.n + 1e-9) / max(t, 1e-9)), 0xFFFF).astype(np.int64)
+        self.reach = np.searchsorted(key, (place << 16) | reach, side="right")
+        self.most = np.minimum(self.n * (1 - t) / max(t, 1e-9) + 1e-6, 255).astype(np.uint8)  # bits that maps of partners differ in
+
+    def pass_(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of postings those that pass all filters."""
+        n, m = self.n[x], self.n[y]
+        least = np.ceil(self.t / (1 + self.t) * (n + m) - 1e-9)
+        apart = n + m - 2 * least
+        low = self.low[x] ^ self.low[y]
+        ok = (np.bitwise_count(low) <= apart) & (np.minimum(n, m) >= self.t * np.maximum(n, m) - 1e-9)
+        ok &= 1 + np.minimum(n - self.pos[x] - 1, m - self.pos[y] - 1) >= least
+        ok &= (self.id[x] != self.id[y]) & (~self.apart[x] | (self.side[x] != self.side[y]))
+        x, y, low, apart, n, m = (v[ok] for v in (x, y, low, apart, n, m))
+        # the 64 bits are the 128 folded, `wide` is their upper half
+        high = self.high[x] ^ self.high[y]
+        ok = (np.minimum(n, m) < WIDE) | (np.bitwise_count(low ^ high).astype(np.int64) + np.bitwise_count(high) <= apart)
+        return x[ok], y[ok]
+
+    def short(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of the chosen postings, pair by pair."""
+        count = self.reach[chosen] - chosen - 1
+        chosen, count = chosen[count > 0], count[count > 0]
+        total = np.cumsum(count)
+        a = 0
+        while a < len(chosen):
+            before = total[a] - count[a]
+            b = max(a + 1, int(np.searchsorted(total, before + CELLS, side="right")))
+            x = np.repeat(chosen[a:b], count[a:b])
+            y = x + 1 + np.arange(len(x)) - np.repeat(total[a:b] - count[a:b] - before, count[a:b])
+            near = np.flatnonzero(np.bitwise_count(self.low[x] ^ self.low[y]) <= self.most[x])
+            yield self.pass_(x[near], y[near])
+            a = b
+
+    def long(self, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of one place, by matrices of maps."""
+        a = first
+        while a < end:
+            b = min(end, a + max(1, CELLS // max(1, int(self.reach[a]) - a)))
+            last = int(self.reach[b - 1])
+            x, y = np.nonzero(np.bitwise_count(self.low[a:b, None] ^ self.low[None, a:last]) <= self.most[a:b, None])
+            x, y = x + a, y + a
+            ahead = (y > x) & (y < self.reach[x])
+            yield self.pass_(x[ahead], y[ahead])
+            a = b
+
+
+def _meet(t: float, hot: int):
+    """Candidates among sorted postings: (a, b, word), where `word` is given if it is dealt into parts; (a, null, word) for the
+    sets that are candidates at a place where pairs are too many to be named."""
+
+    def found(rows: _Places) -> Iterator[tuple[np.ndarray, ...]]:
+        size = rows.end - rows.first
+        long = (size > min(hot, RUN)) | rows.many[rows.first]
+        few = np.repeat(~long, size)
+        for x, y in rows.short(np.flatnonzero(few)):
+            yield rows.id[x], rows.id[y], np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+        for first, end in zip(rows.first[long].tolist(), rows.end[long].tolist(), strict=True):
+            # so many pairs a set can be named, whatever the size of a cluster
+            most = (end - first) * hot / 32 if end - first > hot else math.inf
+            held, count, active, named = [], 0, np.zeros(end - first, dtype=bool), True
+            for x, y in rows.long(first, end):
+                active[x - first] = active[y - first] = True
+                count += len(x)
+                named = named and count <= most
+                held = [*held, (x, y)] if named else []
+            word = rows.key[first] >> 32
+            if named:
+                if count:
+                    x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                    yield rows.id[x], rows.id[y], np.full(count, word), np.full(count, rows.many[first])
+            else:
+                x = np.flatnonzero(active) + first
+                yield rows.id[x], np.full(len(x), -1), np.full(len(x), word), np.ones(len(x), dtype=bool)
+
+    def rows_of(places: _Places) -> Iterator[pa.RecordBatch]:
+        for a, b, word, told in found(places):
+            low, high, one = np.minimum(a, b), np.maximum(a, b), b < 0
+            columns = [
+                pa.array(np.where(one, a, low)),
+                pa.array(high, mask=one),
+                pa.array(word.astype(np.int32), mask=~told),
+            ]
+            if len(a):
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def whole(last: bool) -> Iterator[_Places]:
+            """Places that are whole; the last one may go on."""
+            nonlocal held, size
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            place = columns[0] >> 16
+            cut = len(place) if last else int(np.searchsorted(place, place[-1]))
+            if cut:
+                yield _Places(*(c[:cut] for c in columns), t)
+            held, size = [tuple(c[cut:] for c in columns)], len(place) - cut
+
+        wanted = ROWS
+        for batch in batches:
+            key, at, id_, bits, wide = (c.to_numpy() for c in batch.columns)
+            held.append((key, at, id_, bits.view(np.uint64), wide.view(np.uint64)))
+            size += len(key)
+            if size >= wanted:
+                for places in whole(False):
+                    yield from rows_of(places)
+                wanted = max(ROWS, 2 * size)
+        if size:
+            for places in whole(True):
+                yield from rows_of(places)
+
+    return run
 
 
 def _verify(t: float):
@@ -237,7 +379,9 @@ def _block_pairs(t: float):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                out += _links_of(r["word"], r["left"], r["right"], r["i"] == r["j"], t)
+                same = r["i"] == r["j"]
+                if same or (r["left"] and r["right"]):
+                    out += _links_of(r["word"], r["left"], r["left"] if same else r["right"], same, t)
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["id", "links", "f_doc", "f_line"])
@@ -320,20 +464,21 @@ def _links(slim: DataFrame, nodes: DataFrame, held, t: float, hot: int, block: i
     # sets so small that not even one more word keeps the similarity link to none
     able = nodes.where(F.col("n") >= F.lit(t) * (F.col("n") + 1) - 1e-9)
     postings = able.select("id", "n", "bits", "wide", F.posexplode("prefix").alias("pos", "word"))
-    # only words whose counter is that high can be hot
-    often = postings.where(F.shiftright("word", 25) >= int(2 * math.log2(hot + 1)))
-    heavy_words = often.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot)
-    heavy_words = stored(heavy_words.select(F.col("word").alias("_word"), "m"), "line-words")
-    light = postings.join(heavy_words, F.col("word") == F.col("_word"), "left_anti")
-    pairs = stored(_candidates(light, t), "line-pairs")
-    heavy = often.join(heavy_words, F.col("word") == F.col("_word")).select("id", "word", "m")
-    heavy = stored(heavy, "line-heavy")
+    met = stored(_dealt(postings).mapInArrow(_meet(t, hot), "a long, b long, word int"), "line-met")
+    pairs = stored(met.where(F.col("b").isNotNull()).select("a", "b").distinct(), "line-pairs")
+    heavy_words = stored(met.where(F.col("b").isNull()).select(F.col("word").alias("_word")).distinct(), "line-words")
+    # a place of a heavy word may have named its pairs
+    told = met.where(F.col("word").isNotNull()).select("word", F.explode(F.array("a", "b")).alias("id")).where(F.col("id").isNotNull())
+    heavy = told.join(heavy_words, F.col("word") == F.col("_word"), "left_semi").distinct()
+    sized = heavy.groupBy(F.col("word").alias("_w")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    heavy = stored(heavy.join(sized, F.col("word") == F.col("_w")).select("id", "word", "blocks"), "line-heavy")
 
     # full sets of the lines that are candidates anywhere
     wanted = pairs.select(F.col("a").alias("_k")).unionAll(pairs.select(F.col("b").alias("_k"))).unionAll(heavy.select(F.col("id").alias("_k")))
     at = stored(nodes.select("id", "key", "f").join(wanted.distinct(), F.col("id") == F.col("_k")).drop("_k"), "line-wanted")
-    bits = bit_set(at.select(spot(F.col("f.doc"), F.col("f.line")).alias("s")))
-    sets = slim.mapInArrow(_full_sets(held, bits), "key binary, words binary")
+    power = min(28, max(16, (max(1, at.count()) * 8 - 1).bit_length()))
+    bits = bit_set(at.select(spot(F.col("f.doc"), F.col("f.line"), bits=power).alias("s")), power)
+    sets = slim.mapInArrow(_full_sets(held, bits, power), "key binary, words binary")
     sets = sets.join(at.select("id", F.col("key").alias("_key"), "f"), F.col("key") == F.col("_key"))
     sets = sets.groupBy("key").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.first("f").alias("f"))
     sets = stored(sets.drop("key"), "line-sets")
@@ -350,13 +495,13 @@ def _links(slim: DataFrame, nodes: DataFrame, held, t: float, hot: int, block: i
     )
 
     full = heavy.join(sets.withColumnRenamed("id", "_ks"), F.col("id") == F.col("_ks"))
-    full = full.withColumn("_b", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / F.lit(block))))
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    full = full.withColumns({"_b": part, "_o": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     row = F.struct("id", "words", F.col("f.doc").alias("f_doc"), F.col("f.line").alias("f_line"))
-    blocks = stored(full.groupBy("word", "_b").agg(F.collect_list(row).alias("sets")), "line-blocks")
-    one = blocks.select("word", F.col("_b").alias("i"), F.col("sets").alias("left"))
-    two = blocks.select(F.col("word").alias("_w"), F.col("_b").alias("j"), F.col("sets").alias("right"))
-    met = one.join(two, (F.col("word") == F.col("_w")) & (F.col("i") <= F.col("j"))).select("word", "i", "j", "left", "right")
-    met = met.repartition(F.xxhash64("word", "i", "j")).mapInArrow(_block_pairs(t), "id long, links long, f_doc long, f_line int")
+    cells = full.groupBy("word", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j")).agg(
+        F.collect_list(F.when(F.col("_b") <= F.col("_o"), row)).alias("left"), F.collect_list(F.when(F.col("_b") > F.col("_o"), row)).alias("right")
+    )
+    met = cells.mapInArrow(_block_pairs(t), "id long, links long, f_doc long, f_line int")
     dense = met.groupBy("id").agg(F.sum("links").alias("links"), F.min(_earliest("f_doc", "f_line")).alias("early"))
     return sparse.unionAll(dense).groupBy("id").agg(F.sum("links").alias("links"), F.min("early").alias("early"))
 

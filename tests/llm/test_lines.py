@@ -120,3 +120,27 @@ def test_bit_sets_are_held_packed(llm):
     assert len(held) == 1 << (BITS - 3)
     wanted = {r["s"] for r in df.collect()}
     assert all(taken(held, spot_of(k)) == (spot_of(k) in wanted) for k in range(3000))
+
+
+def test_words_of_many_lines_move_the_sets_that_are_alike_only(llm, monkeypatch):
+    """Of 400 lines that share their rarest word, only near copies are compared by their full sets."""
+    from tabwright.llm import lines
+
+    rng = random.Random(8)
+    often = [f"often{k}" for k in range(300)]
+    rows = [(k, " ".join(["hub", *rng.sample(often, 24)])) for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + " changed") for k in range(8)]
+    rows += [(2000 + k, " ".join(often)) for k in range(1000)]  # so that `hub` is the rarest word
+    full = []
+    stored = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: (full.append(df.count()) if name == "line-sets" else None, stored(df, name))[1])
+    assert found(llm.createDataFrame(rows, "doc_id long, text string"), hot=64) == brute(rows)
+    assert 16 <= full[0] <= 40  # all 408 when the sets of a frequent word moved with each pair of its blocks
+
+
+@pytest.mark.parametrize("hot,block", [(512, 384), (4, 3)])
+def test_words_dealt_into_parts(prose, monkeypatch, hot, block):
+    from tabwright.llm import lines
+
+    monkeypatch.setattr(lines, "TILE", 5)
+    assert found(prose, hot=hot, block=block) == brute([(r["doc_id"], r["text"]) for r in prose.collect()])

@@ -144,3 +144,21 @@ def test_words_dealt_into_parts(prose, monkeypatch, hot, block):
 
     monkeypatch.setattr(lines, "TILE", 5)
     assert found(prose, hot=hot, block=block) == brute([(r["doc_id"], r["text"]) for r in prose.collect()])
+
+
+def test_texts_with_a_word_of_many_lines_move_the_sets_that_are_alike_only(llm, monkeypatch):
+    """As above for the step of the pipeline: its rows lose their later near copies."""
+    from tabwright.llm import lines
+
+    rng = random.Random(9)
+    often = [f"often{k}" for k in range(300)]
+    rows = [(k, " ".join(["hub", *rng.sample(often, 24)])) for k in range(200)]
+    rows += [(1000 + k, "intro\n" + rows[k][1] + " changed") for k in range(6)]
+    rows += [(2000 + k, " ".join(often)) for k in range(600)]
+    full = []
+    stored = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: (full.append(df.count()) if name == "line-sets" else None, stored(df, name))[1])
+    kept = {r["doc_id"]: r["text"] for r in without_repeated_lines(llm.createDataFrame(rows, "doc_id long, text string"), hot=64).collect()}
+    gone = {(d, k) for d, k, *_, removed in brute(rows) if removed}
+    assert kept == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
+    assert len(gone) >= 605 and 12 <= full[0] <= 40

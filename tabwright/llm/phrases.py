@@ -6,8 +6,9 @@
    word) are proposed: that is the proposal and its negative border. All single words are counted.
 3. A frequent phrase of the border is a failure: longer phrases around it were never counted. A further pass counts
    every phrase not counted before whose parts are frequent or, for the same reason, not counted yet; after
-   it no phrase with frequent parts is uncounted, so one such pass closes the search. That pass also spells the
-   frequent phrases; it runs for their spelling alone where nothing failed.
+   it no phrase with frequent parts is uncounted, so one such pass closes the search.
+4. Nearly all frequent phrases occur in the sample, so it spells them first; the closing pass spells those that are left, else
+   each of its tasks would spell all it meets. It runs for that alone where nothing failed.
 
 Phrases travel as 96-bit hashes of their language and words, counted inside each task before they are shuffled, and
 membership tests use bit sets (grains.Bits), whose foreign hits only count a phrase more. So neither a
@@ -181,8 +182,9 @@ def proposed(sets: dict[int, Bits], longest: int):
     return choose
 
 
-def uncounted(sets: dict[int, Bits], frequent: dict[int, Bits], longest: int):
-    """(phrases not counted before whose parts are frequent or not counted before, frequent ones that were counted)."""
+def uncounted(sets: dict[int, Bits], frequent: dict[int, Bits], longest: int, unspelt: dict[int, Bits] | None = None):
+    """(phrases not counted before whose parts are frequent or not counted before, frequent ones that were counted, of these only
+    the unspelt ones where such are given)."""
     before = proposed(sets, longest)
 
     def choose(grams: Grams) -> tuple[dict, dict]:
@@ -193,6 +195,8 @@ def uncounted(sets: dict[int, Bits], frequent: dict[int, Bits], longest: int):
             fresh = both(possible) & grams.whole(n) & ~counted if n > 1 else np.zeros(len(counted), dtype=bool)
             new[n] = (fresh, hashes)
             possible = old[n][0] | fresh
+            if unspelt is not None:
+                old[n] = (old[n][0] & unspelt[n].has(hashes), hashes)
         return new, old
 
     return choose
@@ -272,6 +276,12 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"n": F.shiftright("k", 32).cast("byte"), "g": F.shiftright(F.shiftleft("k", 32), 32).cast("int")}).drop("k")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """A row for each phrase, with its words and the sum of its counts."""
+    spelt = _packed(rows).groupBy("h", "k").agg(F.sum("c").alias("c"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase"))
+    return _unpacked(spelt).select("n", "h", "g", "c", "lang", "phrase")
+
+
 def _summed(rows: DataFrame, least: int, name: str) -> DataFrame:
     counts = _unpacked(_packed(rows).groupBy("h", "k").agg(F.sum("c").alias("c")))
     return stored(counts.select("n", "h", "g", "c").where((F.col("c") >= least) | (F.col("n") == 0)), name)
@@ -287,7 +297,8 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
         raise ValueError("phrases have two words at least")
     name = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     slim = documents.select(F.xxhash64(name).alias("l"), F.coalesce(F.col(text), F.lit("")).alias("text"), name.alias("lang"))
-    some = slim.where(F.crc32(F.col("text").cast("binary")) % sample == 0).select("l", "text")
+    named = slim.where(F.crc32(F.col("text").cast("binary")) % sample == 0)
+    some = named.select("l", "text")
     lowered = min(least, max(2, least // (2 * sample)))
     drawn = _summed(some.mapInArrow(_count(words_and_pairs), COUNTS), lowered, "phrases-sample")
     proposal = _sets(drawn, (1, 2))
@@ -300,9 +311,12 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST, longest: int = LO
     frequent = _sets(counted, range(1, longest + 1))
     failures = counted.where((F.col("n") > 0) & (F.col("n") < longest)).join(drawn.select("n", "h", "g"), ["n", "h", "g"], "left_anti")
     expand = not failures.isEmpty()
-    closing = slim.mapInArrow(_close(uncounted(proposal, frequent, longest), expand), SPELT)
-    spelt = _packed(closing).groupBy("h", "k").agg(F.sum("c").alias("_c"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase"))
-    both_ = _unpacked(spelt).join(counted, ["n", "h", "g"], "left")
+    first = stored(_once(named.mapInArrow(_close(uncounted(proposal, frequent, longest), False), SPELT)), "phrases-spelt")
+    rest = stored(counted.where("n > 0").join(first.select("n", "h", "g"), ["n", "h", "g"], "left_anti"), "phrases-unspelt")
+    unspelt = _sets(rest, range(1, longest + 1))
+    closing = slim.mapInArrow(_close(uncounted(proposal, frequent, longest, unspelt), expand), SPELT)
+    spelt = _once(closing.unionAll(first)).withColumnRenamed("c", "_c")
+    both_ = spelt.join(counted, ["n", "h", "g"], "left")
     found = both_.select("lang", F.col("n").cast("int").alias("n"), "phrase", F.coalesce("c", "_c").alias("f"))
     return stored(found.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases-frequent")
 

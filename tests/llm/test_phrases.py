@@ -121,3 +121,15 @@ def test_length_and_second_hash_travel_as_one_number(llm):
     packed = _packed(llm.createDataFrame(rows, "n byte, h long, g int, c long"))
     assert packed.columns == ["h", "c", "k"]
     assert sorted(tuple(r) for r in _unpacked(packed).select("n", "h", "g", "c").collect()) == sorted(rows)
+
+
+def test_tasks_do_not_spell_what_the_sample_has_spelt(llm, monkeypatch):
+    spelt = []
+    packed = phrases._packed
+    monkeypatch.setattr(phrases, "_packed", lambda df: (spelt.append(df.where("n > 0").count()) if "phrase" in df.columns else None, packed(df))[1])
+    rows = [("en", f"alpha beta gamma delta epsilon. k{k}") for k in range(512)]
+    df = llm.createDataFrame(rows, "lang string, text string").repartition(32)
+    f = counts(rows)
+    wanted = sorted((lang, n, p, c) for (lang, n, p), c in f.items() if n == 0 or c >= 30)
+    assert sorted(tuple(r) for r in frequent_phrases(df, least=30, sample=64).collect()) == wanted
+    assert len(wanted) == 15 and sum(spelt) < 250  # 14 phrases in each of 32 tasks before
